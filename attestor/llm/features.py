@@ -19,13 +19,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """Words of a batch of texts: places in one buffer, the text of each, and a 64-bit hash of each word, A-Z in lower case."""
+    """Words of a batch of texts: places in one buffer, the text of each, and a 64-bit hash of each word, with fold of A-Z in lower case."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], fold: bool = True):
         self.n = len(texts)
         self.raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        low, inside = LOWER[self.raw], ~SPACE[self.raw]
+        low, inside = LOWER[self.raw] if fold else self.raw, ~SPACE[self.raw]
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.text = np.searchsorted(self.bounds, self.starts, "right") - 1

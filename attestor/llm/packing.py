@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from pyspark.sql.types import StructType
 from attestor.llm.common import Scratch, as_bytes, batch, pieces
 
 END = 1
+#: The places of the parts, a row for each queue and task, are broadcast up to this many; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 100_000
 _loaded: dict = {}
 
 
@@ -37,19 +40,22 @@ class WordEncoder:
 
     def __init__(self, path: str, cache_size: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.cache_size = Tokenizer.from_file(path), cache_size
-        self.cache: dict[bytes, bytes] = {}
+        self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.plain = Tokenizer.from_file(path)  # for words that the normaliser and the splitter would leave alone
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
-    def _encode_words(self, words: list[bytes]) -> None:
+    def _encode_words(self, words: list[str]) -> None:
         """Words of letters go in as lines; the word-end tokens tell them apart."""
         for k in range(0, len(words), 512):
             own = words[k : k + 512]
-            ids = np.array(self.tokenizer.encode(b" ".join(own).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.plain.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(own):
                 flat, cuts = ids.tobytes(), (4 * cuts).tolist()
@@ -57,28 +63,32 @@ class WordEncoder:
             else:
                 self._encode_chunks(own)
 
-    def _encode_chunks(self, chunks: list[bytes]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False), strict=True):
+    def _encode_chunks(self, chunks: list[str]) -> None:
+        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
             self.cache[chunk] = np.array(found.ids, "<u4").tobytes()
 
-    def _learn(self, chunks: set[bytes]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         """A chunk of letters and one mark splits into two; others go to the tokenizer whole."""
-        marked = {c for c in chunks if len(c) > 1 and c[-1:] in (b",", b".") and c[:-1].decode().isalpha()}
-        new = (chunks - marked | {c[:-1] for c in marked} | ({b",", b"."} if marked else set())).difference(self.cache)
-        words = {c for c in new if c.decode().isalpha()}
-        self._encode_words(list(words))
-        self._encode_chunks(list(new - words))
+        marked = [c for c in chunks if c[-1:] in (",", ".") and c[:-1].isalpha()]
+        new = chunks.difference(marked)
+        if marked:
+            new.update((",", "."))
+            new.update([c[:-1] for c in marked])
+        new.difference_update(self.cache)
+        words = [c for c in new if c.isalpha() and c.islower() and is_normalized("NFC", c)]
+        self._encode_words(words)
+        self._encode_chunks(list(new.difference(words)))
         for chunk in marked:
-            self.cache[chunk] = self.cache[chunk[:-1]] + self.cache[chunk[-1:]]
+            self.cache[chunk] = self.cache[chunk[:-1]] + self.cache[chunk[-1]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         if len(self.cache) > self.cache_size:
             self.cache = {}
-        cut = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        cut = [t.lower().decode().replace("\n", " ").split(" ") for t in texts]
         self._learn(set().union(*cut).difference(self.cache))
-        end = END.to_bytes(4, "little")
-        return [b"".join(map(self.cache.__getitem__, chunks)) + end for chunks in cut]
+        end, known = END.to_bytes(4, "little"), self.cache.__getitem__
+        return [b"".join(map(known, chunks)) + end for chunks in cut]
 
 
 class Schedule:
@@ -164,7 +174,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, *, window: int = 2048,
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, and ids (bytes) or, with digest, ids_crc32.
 
     mixture: target weight by source; None takes each source's share of all tokens. A source it doesn't name comes when the named ones are dry.
-    max_queues bounds what the driver holds: if there are more sources, the smaller ones share the last queue.
+    The tokens are encoded once and written; max_queues bounds what the driver holds: if there are more sources, the smaller ones share the last queue.
     """
     scratch = Scratch(spark, "pack")
     tokens = scratch.write(tokenise(docs, path, id_col, text_col, source_col), "tokens")
@@ -196,5 +206,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, *, window: int = 2048,
             own = [ids[r][4 * s : 4 * (s + n)] for r, s, n in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
             yield batch(schema, doc.take(pa.array(row)), start, size, col["n"][row], a // window, a % window, [zlib.crc32(x) for x in own] if digest else own)
 
+    if bases.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     placed = tokens.join(bases, ["queue", "part"]).select("q", (F.col("base") + F.col("start")).alias("first"), "n", "doc_id", "ids")
     return placed.mapInArrow(run, out)
