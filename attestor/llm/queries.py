@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, packing, phrases, quality, simhash
+from attestor.llm import bpe, hmm, packing, phrases, quality, simhash
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), WORD_VOCABULARY, digest=True)
 
 
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(spark, documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -42,6 +46,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_hidden_markov": op2_hidden_markov,
     "op3_quality_rules": op3_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_byte_bpe": op6_byte_bpe,
