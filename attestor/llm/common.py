@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Word rule of every operator here: bytes.split() cuts at exactly 0x20 and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,7 +37,10 @@ class Scratch:
     def write(self, df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         path = f"{self.path}/{table}"
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.read(table, df.schema)
+
+    def read(self, table: str, schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
 
     def drop(self, table: str = "") -> None:
         """Delete one table or all; silent once the session has ended."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, hmm, packing, phrases, quality, simhash, toxicity
+from attestor.llm import bpe, hmm, packing, phrases, quality, simhash, topk, toxicity
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(spark, documents(spark, sf_dir), digest_id="doc_id")
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_hidden_markov": op2_hidden_markov,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pivot_topk": op4_pivot_topk,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,
