@@ -202,3 +202,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = scratch.write(named.join(least, "root").select("fp", "component_id"), "classes")
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without near copies: of each component one row of least id stays.
+
+    A row with a null id stays only if its component has no id; of rows that repeat an id the first by text hash stays.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    scratch = Scratch(spark, "keep")
+    rows = scratch.write(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    ids = rows.select("row", F.col(key).cast("long").alias("own"), F.xxhash64(text).alias("hash"))
+    found = near_duplicates(spark, rows.select("row", text), words=words, id_col="row", text_col=text)
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).join(ids, "row")
+    first = F.min(F.struct(F.col("own").isNull().alias("unnamed"), "own", "hash", "row")).alias("least")
+    kept = found.groupBy("component").agg(first).select(F.col("least.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
