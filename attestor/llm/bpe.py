@@ -56,6 +56,7 @@ class SegmentTreeBpe:
         self.words: dict[bytes, bytes] = {}
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}  # what is used again moves to the new cache
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
@@ -141,10 +142,13 @@ class SegmentTreeBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if max(len(self.words), len(self.rest), len(self.first)) > self.cache_size:
-            self.words, self.first, self.rest = {}, {}, {}
+            self.older, self.words, self.first, self.rest = self.rest, {}, {}, {}
         cut = [t.split(" ") for t in texts]
         self._learn({c[0] for c in cut}.difference(self.first), self.first, "")
-        self._learn(set().union(*(c[1:] for c in cut)).difference(self.rest), self.rest, " ")
+        need = set().union(*(c[1:] for c in cut)).difference(self.rest)
+        again = need.intersection(self.older)
+        self.rest.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._learn(need.difference(again), self.rest, " ")
         out = []
         for text, chunks in zip(texts, cut, strict=True):
             parts = [self.first[chunks[0]], *map(self.rest.__getitem__, chunks[1:])]

@@ -38,12 +38,13 @@ _loaded: dict = {}
 class WordEncoder:
     """Ids of whole texts by a `tokenizers` file whose normaliser and splitter never reach over white space: chunks between spaces are encoded once and remembered."""
 
-    def __init__(self, path: str, cache_size: int = 250_000):
+    def __init__(self, path: str, cache_size: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.cache_size = Tokenizer.from_file(path), cache_size
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what is used again moves to the new cache
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -53,9 +54,9 @@ class WordEncoder:
 
     def _encode_words(self, words: list[str]) -> None:
         """Words of letters go in as lines; the word-end tokens tell them apart."""
-        for k in range(0, len(words), 512):
-            own = words[k : k + 512]
-            ids = np.array(self.plain.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+        groups = [words[k : k + 512] for k in range(0, len(words), 512)]
+        for own, found in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(own):
                 flat, cuts = ids.tobytes(), (4 * cuts).tolist()
@@ -81,12 +82,21 @@ class WordEncoder:
         for chunk in marked:
             self.cache[chunk] = self.cache[chunk[:-1]] + self.cache[chunk[-1]]
 
+    @staticmethod
+    def _lower(text: bytes) -> str:
+        """Letter by letter, as the normaliser does; str.lower() differs for a final sigma and a dotted capital I."""
+        whole = text.decode()
+        return text.lower().decode() if "\u03a3" in whole or "\u0130" in whole else whole.lower()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         if len(self.cache) > self.cache_size:
-            self.cache = {}
-        cut = [t.lower().decode().replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*cut).difference(self.cache))
+            self.older, self.cache = self.cache, {}
+        cut = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
+        need = set().union(*cut).difference(self.cache)
+        again = need.intersection(self.older)
+        self.cache.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._learn(need.difference(again))
         end, known = END.to_bytes(4, "little"), self.cache.__getitem__
         return [b"".join(map(known, chunks)) + end for chunks in cut]
 
