@@ -1,15 +1,14 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features of a text are its distinct words without outer marks (A-Z in lower case) and their prefixes of 3 to 6
-letters. Of all labelled documents, features are counted by class over the cluster; those that are over-represented
-in toxic documents by at least Z standard deviations, with at least SUPPORT toxic documents, enter the model (at
-most FEATURES, by significance: a documented bound of the classifier). Labels are binary, so severity grades of the
+letters. The classifier is fitted on at most SAMPLE labelled ids, those of least hash (a documented bound). Their
+features are counted by class over the cluster; those that are over-represented in toxic documents by at least Z
+standard deviations, with at least SUPPORT toxic documents, enter the model (at most FEATURES, by significance). Labels are binary, so severity grades of the
 training rows come from evidence: 0 for a label of 0; a toxic document is 1, 2 or 3 as its number of words with a
 selected feature, repeats included, is up to 1, up to 3, or more.
 
 The proportional-odds model P(grade <= j | x) = sigmoid(theta_j - w.x) shares w over its thresholds theta_1 < theta_2
-< theta_3. It is fitted on at most SAMPLE labelled rows (least hash of the id; a documented bound), and every text is
-scored whole: probabilities of the grades, expected severity sum j P(j), toxic if P(grade >= 1) >= THRESHOLD.
+< theta_3. Every text is scored whole: probabilities of the grades, expected severity sum j P(j), toxic if P(grade >= 1) >= THRESHOLD.
 
 Null text has no features. Null labels and labels without a document are left out; if labels hold no toxic document
 all texts get severity 0. Rows that repeat score alike; empty tables give no rows; other columns are not read.
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import as_bytes, batch, pieces
+from attestor.llm.common import Scratch, as_bytes, batch, pieces
 
 GRADES, FEATURES, SAMPLE, THRESHOLD = 3, 2048, 20_000, 0.5
 Z, SUPPORT, PREFIXES = 8.0, 5, (3, 4, 5, 6)
@@ -96,7 +95,7 @@ def fit_ordinal(rows: list[list[int]], grade: np.ndarray, size: int, steps: int
 
 
 def select_features(known: DataFrame, n: int, n_toxic: int, limit: int = FEATURES) -> list[str]:
-    """known: toxic, text of all labelled documents. Features by significance, most first."""
+    """known: toxic, text of the labelled rows. Features by significance, most first."""
     out = StructType.fromDDL("feature string, toxic long, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +120,10 @@ def select_features(known: DataFrame, n: int, n_toxic: int, limit: int = FEATURE
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> ToxicityModel:
     """docs: doc_id, text; labels: doc_id, toxic."""
     labels = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(labels, "doc_id")
-    n, n_toxic = labels.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = Scratch(spark, "toxicity").write(texts.join(F.broadcast(chosen), "doc_id"), "known")  # at most `sample` ids
+    n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     empty = ToxicityModel({}, np.zeros(0), np.full(GRADES, 30.0))
     if not 0 < n_toxic < n:
         return empty
@@ -139,8 +140,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: in
             yield batch(schema, piece.column("doc_id"), piece.column("toxic"), [w for w, _ in found], [f for _, f in found])
             seen.clear()
 
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, out)
+    rows = known.select("doc_id", "toxic", "text").mapInArrow(run, out)
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(sample).collect()
     grade = np.array([0 if not r["toxic"] else 1 if r["words"] <= 1 else 2 if r["words"] <= 3 else 3 for r in rows], np.int64)
     return ToxicityModel(model.features, *fit_ordinal([r["features"] for r in rows], grade, len(names)))
