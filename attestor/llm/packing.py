@@ -48,6 +48,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.dtype = "<u2" if len(self.ends) <= 1 << 16 else "<u4"
         self.plain = Tokenizer.from_file(path)  # for words that the normaliser and the splitter would leave alone
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -56,17 +57,17 @@ class WordEncoder:
         """Words of letters go in as lines; the word-end tokens tell them apart."""
         groups = [words[k : k + 512] for k in range(0, len(words), 512)]
         for own, found in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
+            ids = np.array(found.ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(own):
-                flat, cuts = ids.tobytes(), (4 * cuts).tolist()
+                flat, cuts = ids.tobytes(), (ids.itemsize * cuts).tolist()
                 self.cache.update(zip(own, [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
             else:
                 self._encode_chunks(own)
 
     def _encode_chunks(self, chunks: list[str]) -> None:
         for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.cache[chunk] = np.array(found.ids, "<u4").tobytes()
+            self.cache[chunk] = np.array(found.ids, self.dtype).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
         """A chunk of letters and one mark splits into two; others go to the tokenizer whole."""
@@ -89,7 +90,7 @@ class WordEncoder:
         return text.lower().decode() if "\u03a3" in whole or "\u0130" in whole else whole.lower()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+        """Ids of each text and the end id, as little-endian unsigned integers of 16 bits, or 32 if the vocabulary needs them."""
         if len(self.cache) > self.cache_size:
             self.older, self.cache = self.cache, {}
         cut = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
@@ -97,7 +98,7 @@ class WordEncoder:
         again = need.intersection(self.older)
         self.cache.update(zip(again, map(self.older.__getitem__, again), strict=True))
         self._learn(need.difference(again))
-        end, known = END.to_bytes(4, "little"), self.cache.__getitem__
+        end, known = np.array([END], self.dtype).tobytes(), self.cache.__getitem__
         return [b"".join(map(known, chunks)) + end for chunks in cut]
 
 
@@ -170,7 +171,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, source_col:
         encoder, schema, part, given = _loaded[path], to_arrow_schema(out), TaskContext.get().partitionId(), {}
         for piece in pieces(batches, "text"):
             ids = encoder.encode(as_bytes(piece.column("text")))
-            queues, sizes, starts = piece.column("queue").to_pylist(), [len(x) // 4 for x in ids], []
+            queues, sizes, starts = piece.column("queue").to_pylist(), [len(x) // np.dtype(encoder.dtype).itemsize for x in ids], []
             for q, n in zip(queues, sizes, strict=True):
                 starts.append(given.get(q, 0))
                 given[q] = starts[-1] + n
@@ -206,6 +207,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, *, window: int = 2048,
         for piece in pieces(batches, "ids"):
             col = {n: piece.column(n).to_numpy(zero_copy_only=False) for n in ("q", "first", "n")}
             ids, doc = as_bytes(piece.column("ids")), piece.column("doc_id")
+            ids = [x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes() for x, n in zip(ids, col["n"].tolist(), strict=True)]
             row, start, place, size = schedule.place(col["q"].astype(np.int64), col["first"].astype(np.int64), col["n"].astype(np.int64))
             count = (place + size - 1) // window - place // window + 1
             cut = np.repeat(np.arange(len(row)), count)
