@@ -60,7 +60,7 @@ def citations(column: str) -> Column:
 
 
 def citations_sql(column: str) -> str:
-    return f"list_transform(list_zip(regexp_extract_all({column}, '{K.CITATION}', 1), regexp_extract_all({column}, '{K.CITATION}', 2)), lambda z: case when z[2] = '' then z[1] else z[1] || '#' || z[2] end)"
+    return f"list_transform(list_zip(regexp_extract_all({column}, '{K.CITATION}', 1), regexp_extract_all({column}, '{K.CITATION}', 2)), lambda z: case when coalesce(z[2], '') = '' then z[1] else z[1] || '#' || z[2] end)"
 
 
 def strict(column: str) -> Column:
@@ -97,7 +97,7 @@ def cue_sql(column: str) -> str:
 
 def names_it(text: Column, name: Column) -> Column:
     """The name stands in the text as a whole word."""
-    return text.rlike(F.concat(F.lit(r"(?i)\b\Q"), name, F.lit(r"\E\b")))
+    return F.rlike(text, F.concat(F.lit(r"(?i)\b\Q"), name, F.lit(r"\E\b")))
 
 
 def normal_argument(kind: str, query: str, drug: str, codes: str) -> Column:
