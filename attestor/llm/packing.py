@@ -70,8 +70,8 @@ class WordEncoder:
             self.cache[chunk] = np.array(found.ids, self.dtype).tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
-        """A chunk of letters and one mark splits into two; others go to the tokenizer whole."""
-        marked = [c for c in chunks if c[-1:] in (",", ".") and c[:-1].isalpha()]
+        """A chunk of letters and one mark splits into two (if its letters stay letters); others go to the tokenizer whole."""
+        marked = [c for c in chunks if c[-1:] in (",", ".") and c[:-1].isalpha() and (c.isascii() or is_normalized("NFC", c) and "\u0130" not in c)]
         new = chunks.difference(marked)
         if marked:
             new.update((",", "."))

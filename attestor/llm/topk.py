@@ -42,7 +42,8 @@ def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.zeros((len(queries), len(rows)), np.int64)
     if np.abs(queries).max() * np.abs(rows).max() * queries.shape[1] < EXACT:
         return (queries @ rows.T).astype(np.int64)
-    whole = queries.astype(object) @ rows.astype(object).T
+    exact = np.vectorize(int, otypes=[object])
+    whole = exact(queries) @ exact(rows).T
     return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
