@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from attestor.llm.common import Scratch, as_bytes, batch, pieces
 from attestor.llm.features import ODD, Tokens, mix
 
-WINDOW, SHINGLE, BLOCK, SHARD = 35, 8, 4 << 20, 20_000
+WINDOW, SHINGLE, BLOCK, SHARD = 35, 8, 2 << 20, 20_000
 MIN_BITS, MAX_BITS, BITS_FOR_EACH = 1 << 16, 1 << 30, 32
 NEXT = np.uint64(0x2545F4914F6CDD1D)
 

@@ -26,6 +26,8 @@ from attestor.llm.common import as_bytes, batch, pieces
 from attestor.llm.features import Tokens, families
 
 BITS, SAMPLE, SCALE = 14, 2000, 20.0
+#: Bytes of texts that are turned into features at once; a worker takes about 60 times as much memory.
+PIECE = 1 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT, REJECT_BELOW = 50, 50, 0.2
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -101,7 +103,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             yield batch(schema, piece.column("doc_id"), piece.column("quality"), *zip(*_rows(as_bytes(piece.column("text"))), strict=True))
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -152,7 +154,7 @@ def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             counts, failed, p = _judge(as_bytes(piece.column("text")), model)
             yield batch(schema, piece.column("doc_id"), *zip(*counts, strict=True), failed, ~failed & (p >= REJECT_BELOW), p)
 
@@ -163,7 +165,7 @@ def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -
     """The rows of docs, with all their columns, that neither the rules nor the model reject."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text_col):
+        for piece in pieces(batches, text_col, PIECE):
             _, failed, p = _judge(as_bytes(piece.column(text_col)), model)
             yield piece.filter(pa.array(~failed & (p >= REJECT_BELOW)))
 
