@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.plans import evidence, retrieval
+from attestor.plans import evaluation, evidence, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **evidence.QUERIES}
-ORACLE_SQL: dict[str, str] = {**retrieval.ORACLE_SQL, **evidence.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **evidence.QUERIES, **evaluation.QUERIES}
+ORACLE_SQL: dict[str, str] = {**retrieval.ORACLE_SQL, **evidence.ORACLE_SQL, **evaluation.ORACLE_SQL}
