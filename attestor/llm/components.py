@@ -21,13 +21,13 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b")))
 
 
-def connected(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame, scratch: Scratch, rounds: int = 60, name: str = "links") -> DataFrame:
     """links: a, b, distinct longs. Returns node, root for every node that has a link; root is the least node reachable."""
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    state, before = scratch.write(pairs, "links0"), None
+    state, before = scratch.write(pairs, f"{name}0"), None
     for k in range(1, rounds + 1):
-        state = scratch.write(_small_star(_large_star(state)).distinct(), f"links{k}")
-        scratch.drop(f"links{k - 1}")
+        state = scratch.write(_small_star(_large_star(state)).distinct(), f"{name}{k}")
+        scratch.drop(f"{name}{k - 1}")
         now = state.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).first()
         if now == before:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(state.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

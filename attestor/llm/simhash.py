@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import Scratch, as_bytes, batch, pieces
+from attestor.llm.common import Scratch, as_bytes, batch, lean, pieces
 from attestor.llm.components import connected
 
 SEED, RADIUS = 42, 4
@@ -111,13 +111,13 @@ def pair_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def bucket_links(prints: np.ndarray) -> list[tuple[int, int]]:
+def bucket_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between distinct fingerprints: what is connected already is compared no more."""
     links, waiting = [], prints
     while len(waiting):
         front, waiting = waiting[:1], waiting[1:]
         while len(front) and len(waiting):
-            near = np.bitwise_count(waiting ^ front[0]) <= RADIUS
+            near = np.bitwise_count(waiting ^ front[0]) <= radius
             links += [(int(front[0]), int(x)) for x in waiting[near]]
             front, waiting = np.concatenate([front[1:], waiting[near]]), waiting[~near]
     return links
@@ -135,10 +135,10 @@ def _keyed(prints: DataFrame) -> DataFrame:
                 row, key = pair_keys(part.view(np.uint64))
                 yield batch(schema, key.astype(np.int32), part[row])
 
-    return prints.select("fp").mapInArrow(run, out)
+    return prints.select("fp").mapInArrow(lean(run), out)
 
 
-def _linked(grouped: DataFrame) -> DataFrame:
+def _linked(grouped: DataFrame, radius: int) -> DataFrame:
     """grouped: key, fp with the rows of a key next to each other."""
     out = StructType.fromDDL("a long, b long")
 
@@ -150,10 +150,10 @@ def _linked(grouped: DataFrame) -> DataFrame:
             found = []
             for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
                 if b == a + 2:
-                    if (int(fp[a]) ^ int(fp[a + 1])).bit_count() <= RADIUS:
+                    if (int(fp[a]) ^ int(fp[a + 1])).bit_count() <= radius:
                         found.append((int(fp[a]), int(fp[a + 1])))
                 elif b > a + 1:
-                    found += bucket_links(fp[a:b])
+                    found += bucket_links(fp[a:b], radius)
             new = list(dict.fromkeys(x for x in found if x not in seen))
             if len(seen) < 1_000_000:
                 seen.update(new)
@@ -172,17 +172,18 @@ def _linked(grouped: DataFrame) -> DataFrame:
         if len(held):
             yield links(held_key, held)
 
-    return grouped.mapInArrow(run, out)
+    return grouped.mapInArrow(lean(run), out)
 
 
-def links_of(prints: DataFrame) -> DataFrame:
-    """prints: fp, distinct. Links a, b that join all fingerprints at RADIUS or fewer bits, directly or over others."""
+def links_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints: fp, distinct. Links a, b that join all fingerprints at 4 or fewer bits, directly or over others; at a
+    larger radius, those of them that share a key."""
     keyed = _keyed(prints).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     light = keyed.where(F.col("n") <= BUCKET).select(F.col("key").cast("long"), "fp")
     blocks = F.ceil(F.col("n") * 2 / BUCKET).cast("int")
     heavy = keyed.where(F.col("n") > BUCKET).withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     heavy = heavy.withColumn("block", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).repartition("block").sortWithinPartitions("block")
-    return _linked(light).union(_linked(heavy.select(F.col("block").alias("key"), "fp"))).distinct()
+    return _linked(light, radius).union(_linked(heavy.select(F.col("block").alias("key"), "fp"), radius)).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +195,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_
         for piece in pieces(batches, "text", 2 << 20):
             yield batch(schema, piece.column("doc_id"), fingerprints_of(as_bytes(piece.column("text")), words).view(np.int64))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
     rows = scratch.write(rows, "rows")
     prints = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = connected(links_of(prints), scratch)
@@ -204,18 +205,115 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, without near copies: of each component one row of least id stays.
 
-    A row with a null id stays only if its component has no id; of rows that repeat an id the first by text hash stays.
+def word_prints(texts: list[bytes]) -> np.ndarray:
+    """Fingerprints over the distinct words of each text (A-Z in lower case): near copies differ in few words."""
+    digest, out = xxhash.xxh64_intdigest, np.zeros(len(texts), np.uint64)
+    for k, text in enumerate(texts):
+        if own := set(text.lower().split()):
+            bits = np.unpackbits(np.array([digest(w, SEED) for w in own], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            out[k] = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(own)).view(">u8")[0]
+    return out
+
+
+def shingles_of(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; of the whole text if it has fewer words."""
+    own = text.lower().split()
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(own[k : k + words]), SEED) for k in range(max(1, len(own) - words + 1))], np.uint64))
+
+
+def similar_links(rows: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose shingle sets have a Jaccard similarity of at least `similarity`.
+
+    One set at a time meets, over an inverted index, all that are not connected yet."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else owner
+    order = np.argsort(code, kind="stable")
+    by_code, bounds = owner[order], np.r_[0, np.cumsum(np.bincount(code))]
+    cuts = np.r_[0, np.cumsum(sizes)]
+    open_, links = np.ones(len(sets), bool), []
+    while open_.any():
+        front = [int(np.flatnonzero(open_)[0])]
+        open_[front[0]] = False
+        while front and open_.any():
+            k = front.pop()
+            own = code[cuts[k] : cuts[k + 1]]
+            common = np.zeros(len(sets), np.int64)
+            for c in own.tolist():
+                common[by_code[bounds[c] : bounds[c + 1]]] += 1
+            found = np.flatnonzero(open_ & (common >= similarity * (sizes + sizes[k] - common) - 1e-9))
+            links += [(rows[k], rows[j]) for j in found.tolist()]
+            open_[found] = False
+            front += found.tolist()
+    return links
+
+
+#: Bits of 64 that word fingerprints of candidates may differ in; texts of a candidate group that are compared at once.
+WORD_RADIUS, GROUP = 14, 1024
+#: Row numbers (8 to 16 bytes each) are broadcast up to this many; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def similar(spark: SparkSession, texts: DataFrame, scratch: Scratch, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """texts: row, text, written, distinct texts. Links a, b (rows) that join the texts at or over the similarity.
+
+    Word fingerprints that share a Golay key pair and differ in at most WORD_RADIUS bits make candidate groups; within
+    a group the exact similarity of shingle sets decides, in blocks of GROUP texts. Candidates are found with high
+    probability, not surely (a pair at 0.8 differs in about 4 bits); what is linked is exact."""
+    out = StructType.fromDDL("row long, fp long")
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", 2 << 20):
+            yield batch(to_arrow_schema(out), piece.column("row"), word_prints(as_bytes(piece.column("text"))).view(np.int64))
+
+    printed = scratch.write(texts.mapInArrow(lean(prints), out), "words")
+    roots = connected(links_of(printed.select("fp").distinct(), WORD_RADIUS), scratch, name="candidates")
+    grouped = printed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("row", F.coalesce("root", "fp").alias("root"))
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    grouped = scratch.write(grouped.join(sizes, "root").select("row", "root", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("blocks")), "groups")
+    held = StructType.fromDDL("row long, root long, blocks int, shingles binary")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", 2 << 20):
+            yield batch(to_arrow_schema(held), *[piece.column(n) for n in ("row", "root", "blocks")], [shingles_of(t, words).tobytes() for t in as_bytes(piece.column("text"))])
+
+    sets = texts.join(_small(grouped), "row").select("row", "root", "blocks", "text").mapInArrow(lean(shingle), held)
+    own = sets.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "shingles")
+    pairs = StructType.fromDDL("a long, b long")
+
+    def compare(group: pa.Table) -> pa.Table:
+        found = similar_links(group.column("row").to_pylist(), [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()], similarity)
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=to_arrow_schema(pairs))
+
+    return own.groupBy("root", "i", "j").applyInArrow(compare, pairs)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without near copies: of each group one row of least id stays.
+
+    Groups join equal texts, texts whose fingerprints link (near_duplicates), and texts whose sets of `words`-word
+    shingles have the similarity or more. A row with a null id stays only if its group has no id; of rows that repeat
+    an id the first by text hash stays.
     """
     names = [f"c{k}" for k in range(len(docs.columns))]
     key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
     scratch = Scratch(spark, "keep")
     rows = scratch.write(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(spark, rows.select("row", text), id_col="row", text_col=text)
+    found = scratch.write(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "found")
+    firsts = found.select(F.col("component").alias("row")).distinct()
+    links = similar(spark, rows.select("row", F.col(text).cast("string").alias("text")).join(_small(firsts), "row", "left_semi"), scratch, words=words, similarity=similarity)
+    merged = connected(links, scratch, name="similar")
     ids = rows.select("row", F.col(key).cast("long").alias("own"), F.xxhash64(text).alias("hash"))
-    found = near_duplicates(spark, rows.select("row", text), words=words, id_col="row", text_col=text)
-    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).join(ids, "row")
-    first = F.min(F.struct(F.col("own").isNull().alias("unnamed"), "own", "hash", "row")).alias("least")
-    kept = found.groupBy("component").agg(first).select(F.col("least.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    groups = found.join(merged.withColumnRenamed("node", "component"), "component", "left").select("row", F.coalesce("root", "component").alias("group"))
+    least = F.min(F.struct(F.col("own").isNull().alias("unnamed"), "own", "hash", "row")).alias("least")
+    kept = groups.join(ids, "row").groupBy("group").agg(least).select(F.col("least.row").alias("row"))
+    gone = scratch.write(groups.select("row").join(kept, "row", "left_anti"), "gone")
+    return rows.join(_small(gone), "row", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

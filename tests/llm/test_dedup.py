@@ -143,3 +143,58 @@ def test_one_of_each_group_stays(spark, odd, nothing):
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
     assert 3 in ids and 4 not in ids and ids.count(6) == 1 and 9 in ids
     assert simhash.keep_one(spark, nothing).count() == 0
+
+
+def brute_similar(texts, similarity):
+    sets = [set(map(int, simhash.shingles_of(t.encode(), 5))) for t in texts]
+    return {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+
+
+def roots(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(n)]
+
+
+def near_texts(seed, n, length):
+    from tests.llm.conftest import prose
+
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        if out and rng.random() < 0.6:
+            w = rng.choice(out).split(" ")
+            for _ in range(rng.randint(0, max(1, length // 30))):
+                w[rng.randrange(len(w))] = f"new{rng.randint(0, 10**6)}"
+            out.append(" ".join(w))
+        else:
+            out.append(prose(rng, length))
+    return out
+
+
+def test_similar_sets_equal_brute_force():
+    texts = near_texts(3, 80, 100)
+    links = simhash.similar_links(list(range(80)), [simhash.shingles_of(t.encode(), 5) for t in texts], 0.8)
+    want = brute_similar(texts, 0.8)
+    assert roots(80, links) == roots(80, want) and len(links) < len(want) and all((max(p), min(p)) in want for p in links)
+
+
+def test_near_copies_go_and_others_stay(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 16)  # several blocks for the large group
+    texts = near_texts(4, 150, 120)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark, docs).collect()}
+    prints = [brute_fingerprint(t) for t in texts]
+    want = brute_similar(texts, 0.8) | {(i, j) for i in range(150) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS}
+    groups = roots(150, want)
+    least = {min(k for k in range(150) if groups[k] == g) for g in set(groups)}
+    found = 150 - len(kept)
+    assert found >= 0.95 * (150 - len(least)) and kept >= {k for k in range(150) if groups.count(groups[k]) == 1}
