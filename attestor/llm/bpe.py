@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from attestor.llm.common import as_bytes, batch, pieces
+from attestor.llm.common import as_bytes, batch, lean, pieces
 
 NONE = np.int64(1) << np.int64(62)
 _loaded: dict = {}
@@ -173,13 +173,13 @@ def load(path: str, pattern: str) -> SegmentTreeBpe:
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), decoded (bytes), one row for each row of docs."""
     out = StructType([StructField("doc_id", LongType()), StructField("ids", BinaryType()), StructField("decoded", BinaryType())])
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_run(path, pattern, out, lambda ids, raw: (ids, raw)), out)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(_run(path, pattern, out, lambda ids, raw: (ids, raw))), out)
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode_documents with counts and SHA-256 digests in place of the bytes, so that they don't leave the worker."""
     out = StructType.fromDDL("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_run(path, pattern, out, lambda ids, raw: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest())), out)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(_run(path, pattern, out, lambda ids, raw: (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()))), out)
 
 
 def _run(path: str, pattern: str, out: StructType, result):

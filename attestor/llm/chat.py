@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import batch
+from attestor.llm.common import batch, lean
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>\n"
 SHAPE = re.compile(r"<\|turn\|>(.*?)<\|body\|>(.*?)<\|end\|>\n", re.S)
@@ -104,7 +104,7 @@ def format_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
             found = [format_turn(r, p) for r, p in zip(roles, b.column("parts").to_pylist(), strict=True)]
             yield batch(schema, b.column("conv_id"), b.column("turn"), b.column("role"), [f for f, _ in found], [r == "assistant" for r in roles], [a for _, a in found], [sum(x["tokens"] for x in a) for _, a in found])
 
-    return turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), parts.alias("parts")).mapInArrow(run, out)
+    return turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), parts.alias("parts")).mapInArrow(lean(run), out)
 
 
 def digest_conversations(formatted: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -139,4 +139,4 @@ def digest_conversations(formatted: DataFrame, partitions: int | None = None) ->
 
     rows = formatted.select("conv_id", "turn", "role", "formatted", "loss")
     rows = rows.repartition(partitions, "conv_id") if partitions else rows.repartition("conv_id")
-    return rows.sortWithinPartitions("conv_id", "turn", "role", "formatted").mapInArrow(run, out)
+    return rows.sortWithinPartitions("conv_id", "turn", "role", "formatted").mapInArrow(lean(run), out)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import Scratch, as_bytes, batch, pieces
+from attestor.llm.common import Scratch, as_bytes, batch, lean, pieces
 
 TOP, BUCKETS, STATES, ROUNDS, SEGMENT, BLOCK = 4096, 2048, 6, 3, 1024, 8 << 20
 END, UNKNOWN = TOP + BUCKETS, TOP + BUCKETS + 1
@@ -152,7 +152,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             numbers[np.arange(len(own)) + np.repeat(np.arange(len(cut)), sizes)] = own + 1
             yield batch(schema, [task << 32 | k], [ids], [(sizes + 1).astype(np.int32)], [zstandard.compress(numbers.tobytes(), 3)], [[words[j] for j in order.tolist()]], [train], [int(trains.sum())])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
 
 
 def score(spark: SparkSession, docs: DataFrame, *, states: int = STATES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,7 +226,7 @@ def _improve(texts: DataFrame, model: Model, mass: np.ndarray) -> Model:
         some = np.flatnonzero(added.any(1))
         yield batch(to_arrow_schema(out), some.astype(np.int32), *added[some].T.copy())
 
-    sums = texts.where("not held_out").select("classes").mapInArrow(run, out).groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(states)]).collect()
+    sums = texts.where("not held_out").select("classes").mapInArrow(lean(run), out).groupBy("row").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(states)]).collect()
     added = np.zeros((CLASSES + states + 1, states))
     for r in sums:
         added[r[0]] = r[1:]
@@ -244,4 +244,4 @@ def _scored(texts: DataFrame, model: Model, total: int) -> DataFrame:
             same = [piece.column(n) for n in ("doc_id", "held_out", "n_tokens", "n_known")]
             yield batch(schema, *same, [total] * piece.num_rows, piece.column("base_score"), found + piece.column("inner").to_numpy(zero_copy_only=False))
 
-    return texts.mapInArrow(run, out)
+    return texts.mapInArrow(lean(run), out)

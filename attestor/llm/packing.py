@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import Scratch, as_bytes, batch, pieces
+from attestor.llm.common import Scratch, as_bytes, batch, lean, pieces
 
 END = 1
 #: The places of the parts, a row for each queue and task, are broadcast up to this many; beyond it they are joined by shuffle.
@@ -178,7 +178,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, source_col:
             yield batch(schema, [part] * len(ids), queues, piece.column("doc_id"), starts, sizes, ids)
 
     queue = F.concat(F.lit("="), F.col(source_col).cast("string"))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(queue, F.lit("null")).alias("queue"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(queue, F.lit("null")).alias("queue"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, *, window: int = 2048, mixture: dict[str | None, float] | None = None, max_queues: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digest: bool = False) -> DataFrame:
@@ -221,4 +221,4 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, *, window: int = 2048,
     if bases.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
     placed = tokens.join(bases, ["queue", "part"]).select("q", (F.col("base") + F.col("start")).alias("first"), "n", "doc_id", "ids")
-    return placed.mapInArrow(run, out)
+    return placed.mapInArrow(lean(run), out)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from attestor.llm.common import Scratch, as_bytes, batch, pieces
+from attestor.llm.common import Scratch, as_bytes, batch, lean, pieces
 from attestor.llm.features import ODD, Tokens, mix
 
 WINDOW, SHINGLE, BLOCK, SHARD = 35, 8, 2 << 20, 20_000
@@ -97,7 +97,7 @@ def recurring_anchors(docs: DataFrame, text_col: str, window: int, shingle: int)
             place, value = Windows(as_bytes(piece.column("text")), window, shingle).anchors()
             yield batch(schema, [twice(value[np.unique(place, return_index=True)[1]])])
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
     return found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
 
 
@@ -203,7 +203,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
             if hit.any():
                 yield batch(schema, *[pa.nulls(1, f.type) for f in list(schema)[: len(columns)]], [block], [2], [twice(windows.hashes()[hit])], [None], [None])
 
-    marked = scratch.write(plain.mapInArrow(mark, marked_schema), "marked")
+    marked = scratch.write(plain.mapInArrow(lean(mark), marked_schema), "marked")
     found = marked.where("__block_kind = 2").select("__block_id", F.explode("__block_windows").alias("hash"))
     confirmed = found.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1").select(F.col("__block_id").alias("id"), "hash")
     waiting = marked.where("__block_kind = 1").drop("__block_kind", "__block_windows", "__block_words", "__block_digest")

@@ -79,7 +79,9 @@ def disclosing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, scr
     after = f"case when length(s.after) = {CONTEXT} then slice({after}, 1, greatest(size({after}) - 1, 0)) else {after} end"
     seen = found.where("size(base) > 0").select("text_key", F.explode("base").alias("s")).select("text_key", F.expr(_normal("s.kind", "s.value")).alias("entity"), F.expr(f"concat({before}, {after})").alias("terms"))
     pairs = seen.select("text_key", "entity", F.explode("terms").alias("term")).distinct()
-    joint = scratch.write(pairs.groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), "joint")
+    beside = pairs.groupBy("term").agg(F.countDistinct("text_key").alias("n_c"))  # texts with the term beside any entity: at most n(t)
+    joint = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    joint = scratch.write(joint.join(beside, "term").where(F.col("n_te") >= F.col("n_c") * SHARE).drop("n_c"), "joint")
     if joint.isEmpty():
         return None
     entities = seen.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))

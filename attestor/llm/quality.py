@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import as_bytes, batch, pieces
+from attestor.llm.common import as_bytes, batch, lean, pieces
 from attestor.llm.features import Tokens, families
 
-BITS, SAMPLE, SCALE = 14, 2000, 20.0
+BITS, SAMPLE, SCALE = 14, 1500, 20.0
 #: Bytes of texts that are turned into features at once; a worker takes about 60 times as much memory.
 PIECE = 1 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT, REJECT_BELOW = 50, 50, 0.2
@@ -108,7 +108,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: in
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = known.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id")
-    found = known.select("doc_id", "quality", "text").mapInArrow(run, out).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("features")).limit(sample).collect()
+    found = known.select("doc_id", "quality", "text").mapInArrow(lean(run), out).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("features")).limit(sample).collect()
     size, good = 3 << BITS, np.array([r["quality"] > 0 for r in found], bool)
     if good.all() or not good.any():
         return QualityModel(np.zeros(size), 10.0, 1.0, 0.0)
@@ -158,7 +158,7 @@ def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_
             counts, failed, p = _judge(as_bytes(piece.column("text")), model)
             yield batch(schema, piece.column("doc_id"), *zip(*counts, strict=True), failed, ~failed & (p >= REJECT_BELOW), p)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -> DataFrame:
@@ -169,4 +169,4 @@ def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text") -
             _, failed, p = _judge(as_bytes(piece.column(text_col)), model)
             yield piece.filter(pa.array(~failed & (p >= REJECT_BELOW)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

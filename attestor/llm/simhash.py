@@ -111,79 +111,77 @@ def pair_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def bucket_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between distinct fingerprints: what is connected already is compared no more."""
-    links, waiting = [], prints
+def bucket_links(nodes: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between nodes (prints: n x words of 64 bits): what is connected already is compared no more."""
+    links, waiting = [], np.arange(len(nodes))
     while len(waiting):
         front, waiting = waiting[:1], waiting[1:]
         while len(front) and len(waiting):
-            near = np.bitwise_count(waiting ^ front[0]) <= radius
-            links += [(int(front[0]), int(x)) for x in waiting[near]]
+            near = np.bitwise_count(prints[waiting] ^ prints[front[0]]).sum(1) <= radius
+            links += [(int(nodes[front[0]]), int(x)) for x in nodes[waiting[near]]]
             front, waiting = np.concatenate([front[1:], waiting[near]]), waiting[~near]
     return links
 
 
 def _keyed(prints: DataFrame) -> DataFrame:
-    out = StructType.fromDDL("key int, fp long")
+    """prints: node, fp, more. key, node, fp, more for every key of fp."""
+    out = StructType.fromDDL("key int, node long, fp long, more long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
         for b in batches:
-            fp = b.column("fp").to_numpy(zero_copy_only=False)
+            node, fp, more = (b.column(n).to_numpy(zero_copy_only=False) for n in ("node", "fp", "more"))
             for k in range(0, len(fp), 8192):
-                part = fp[k : k + 8192]
-                row, key = pair_keys(part.view(np.uint64))
-                yield batch(schema, key.astype(np.int32), part[row])
+                row, key = pair_keys(np.ascontiguousarray(fp[k : k + 8192]).view(np.uint64))
+                yield batch(schema, key.astype(np.int32), node[k : k + 8192][row], fp[k : k + 8192][row], more[k : k + 8192][row])
 
-    return prints.select("fp").mapInArrow(lean(run), out)
+    return prints.select("node", "fp", "more").mapInArrow(lean(run), out)
 
 
 def _linked(grouped: DataFrame, radius: int) -> DataFrame:
-    """grouped: key, fp with the rows of a key next to each other."""
+    """grouped: key, node, fp, more with the rows of a key next to each other."""
     out = StructType.fromDDL("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, seen = to_arrow_schema(out), set()
 
-        def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def links(rows: np.ndarray) -> pa.RecordBatch:
+            key, node, prints = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            found = []
-            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-                if b == a + 2:
-                    if (int(fp[a]) ^ int(fp[a + 1])).bit_count() <= radius:
-                        found.append((int(fp[a]), int(fp[a + 1])))
-                elif b > a + 1:
-                    found += bucket_links(fp[a:b], radius)
+            pairs = cuts[:-1][np.diff(cuts) == 2]
+            near = np.bitwise_count(prints[pairs] ^ prints[pairs + 1]).sum(1) <= radius if len(pairs) else np.empty(0, bool)
+            found = list(zip(node[pairs[near]].tolist(), node[pairs[near] + 1].tolist(), strict=True))
+            for k in np.flatnonzero(np.diff(cuts) > 2).tolist():
+                found += bucket_links(node[cuts[k] : cuts[k + 1]], prints[cuts[k] : cuts[k + 1]], radius)
             new = list(dict.fromkeys(x for x in found if x not in seen))
             if len(seen) < 1_000_000:
                 seen.update(new)
-            a, b = np.array(new, np.uint64).reshape(-1, 2).T
-            return batch(schema, a.view(np.int64) if len(a) else [], np.ascontiguousarray(b).view(np.int64) if len(b) else [])
+            a, b = zip(*new, strict=True) if new else ((), ())
+            return batch(schema, np.array(a, np.int64), np.array(b, np.int64))
 
-        held_key, held = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held = np.empty((0, 4), np.int64)
         for b in batches:
-            key = np.concatenate([held_key, b.column("key").to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([held, b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
-            if len(key):
-                last = int(np.searchsorted(key == key[-1], True)) if key[0] != key[-1] else 0
-                held_key, held = key[last:], fp[last:]
+            rows = np.concatenate([held, np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("key", "node", "fp", "more")], 1)])
+            if len(rows):
+                last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                held = rows[last:]
                 if last:
-                    yield links(key[:last], fp[:last])
+                    yield links(rows[:last])
         if len(held):
-            yield links(held_key, held)
+            yield links(held)
 
     return grouped.mapInArrow(lean(run), out)
 
 
 def links_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """prints: fp, distinct. Links a, b that join all fingerprints at 4 or fewer bits, directly or over others; at a
-    larger radius, those of them that share a key."""
+    """prints: node, fp, more (further bits of the print, 0 if there are none). Links a, b that join all nodes that share
+    a key and differ in at most radius bits, directly or over others; up to 4 bits of fp all share a key."""
     keyed = _keyed(prints).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    light = keyed.where(F.col("n") <= BUCKET).select(F.col("key").cast("long"), "fp")
+    light = keyed.where(F.col("n") <= BUCKET).select("key", "node", "fp", "more")
     blocks = F.ceil(F.col("n") * 2 / BUCKET).cast("int")
-    heavy = keyed.where(F.col("n") > BUCKET).withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    heavy = heavy.withColumn("block", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).repartition("block").sortWithinPartitions("block")
-    return _linked(light, radius).union(_linked(heavy.select(F.col("block").alias("key"), "fp"), radius)).distinct()
+    heavy = keyed.where(F.col("n") > BUCKET).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    heavy = heavy.withColumn("block", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).repartition("block").sortWithinPartitions("block", "node")
+    return _linked(light, radius).union(_linked(heavy.select(F.col("block").alias("key"), "node", "fp", "more"), radius)).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +196,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
     rows = scratch.write(rows, "rows")
     prints = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = connected(links_of(prints), scratch)
+    roots = connected(links_of(prints.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("more"))), scratch)
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = scratch.write(named.join(least, "root").select("fp", "component_id"), "classes")
@@ -207,12 +205,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_
 
 
 def word_prints(texts: list[bytes]) -> np.ndarray:
-    """Fingerprints over the distinct words of each text (A-Z in lower case): near copies differ in few words."""
-    digest, out = xxhash.xxh64_intdigest, np.zeros(len(texts), np.uint64)
+    """128-bit fingerprints (two columns) over the distinct words of each text (A-Z in lower case): near copies differ in few words."""
+    digest, out = xxhash.xxh128_digest, np.zeros((len(texts), 2), np.uint64)
     for k, text in enumerate(texts):
         if own := set(text.lower().split()):
-            bits = np.unpackbits(np.array([digest(w, SEED) for w in own], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            out[k] = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(own)).view(">u8")[0]
+            bits = np.unpackbits(np.frombuffer(b"".join([digest(w, SEED) for w in own]), np.uint8).reshape(-1, 16), axis=1)
+            out[k] = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(own)).view(">u8")
     return out
 
 
@@ -249,8 +247,8 @@ def similar_links(rows: list[int], sets: list[np.ndarray], similarity: float) ->
     return links
 
 
-#: Bits of 64 that word fingerprints of candidates may differ in; texts of a candidate group that are compared at once.
-WORD_RADIUS, GROUP = 14, 1024
+#: Bits of 128 that word fingerprints of candidates may differ in; texts of a candidate group that are compared at once.
+WORD_RADIUS, GROUP = 18, 1024
 #: Row numbers (8 to 16 bytes each) are broadcast up to this many; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -262,19 +260,20 @@ def _small(df: DataFrame) -> DataFrame:
 def similar(spark: SparkSession, texts: DataFrame, scratch: Scratch, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """texts: row, text, written, distinct texts. Links a, b (rows) that join the texts at or over the similarity.
 
-    Word fingerprints that share a Golay key pair and differ in at most WORD_RADIUS bits make candidate groups; within
-    a group the exact similarity of shingle sets decides, in blocks of GROUP texts. Candidates are found with high
-    probability, not surely (a pair at 0.8 differs in about 4 bits); what is linked is exact."""
-    out = StructType.fromDDL("row long, fp long")
+    Word fingerprints whose first halves share a Golay key pair and that differ in at most WORD_RADIUS bits make
+    candidate groups (texts without kinship differ in about 55 bits); within a group the exact similarity of shingle
+    sets decides, in blocks of GROUP texts. Candidates are found with high probability, not surely (a pair at 0.8
+    differs in about 7 bits); what is linked is exact."""
+    out = StructType.fromDDL("node long, fp long, more long")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 2 << 20):
-            yield batch(to_arrow_schema(out), piece.column("row"), word_prints(as_bytes(piece.column("text"))).view(np.int64))
+            found = word_prints(as_bytes(piece.column("text"))).view(np.int64)
+            yield batch(to_arrow_schema(out), piece.column("row"), np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1]))
 
-    printed = scratch.write(texts.mapInArrow(lean(prints), out), "words")
-    roots = connected(links_of(printed.select("fp").distinct(), WORD_RADIUS), scratch, name="candidates")
-    grouped = printed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("row", F.coalesce("root", "fp").alias("root"))
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    printed = scratch.write(texts.select("row", "text").mapInArrow(lean(prints), out), "words")
+    grouped = connected(links_of(printed, WORD_RADIUS), scratch, name="candidates").select(F.col("node").alias("row"), "root")
+    sizes = grouped.groupBy("root").agg(F.count("*").alias("n"))
     grouped = scratch.write(grouped.join(sizes, "root").select("row", "root", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("blocks")), "groups")
     held = StructType.fromDDL("row long, root long, blocks int, shingles binary")
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import Scratch, batch
+from attestor.llm.common import Scratch, batch, lean
 
 SCALE, PIVOTS, ANNULUS, SHELF, QUERY_BLOCK = 256, 64, 1024, 8, 4096
 EXACT = float(1 << 53)
@@ -135,8 +135,8 @@ def _search(scratch: Scratch, vectors: DataFrame, dim: int, n: int, most: float,
         if held:
             yield close()
 
-    keyed = vectors.select("vec_id", "v").mapInArrow(key, keyed_schema)
-    index = keyed.repartitionByRange(parts, "cell", "far", "vec_id").sortWithinPartitions("cell", "far", "vec_id").mapInArrow(rings, ring_schema)
+    keyed = vectors.select("vec_id", "v").mapInArrow(lean(key), keyed_schema)
+    index = keyed.repartitionByRange(parts, "cell", "far", "vec_id").sortWithinPartitions("cell", "far", "vec_id").mapInArrow(lean(rings), ring_schema)
     index = scratch.write(index, f"index{dim}")
     blocks = max(1, -(-n // (every * QUERY_BLOCK)))
     queries = index.where(F.size("query_ids") > 0).select("ring", F.expr(f"transform(query_at, a -> slice(v, a * {dim} + 1, {dim}))").alias("q"), "query_ids", "query_at", "query_least", F.pmod(F.xxhash64("ring"), F.lit(blocks)).cast("int").alias("block"))

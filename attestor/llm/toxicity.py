@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import Scratch, as_bytes, batch, pieces
+from attestor.llm.common import Scratch, as_bytes, batch, lean, pieces
 
 GRADES, FEATURES, SAMPLE, THRESHOLD = 3, 2048, 20_000, 0.5
 Z, SUPPORT, PREFIXES = 8.0, 5, (3, 4, 5, 6)
@@ -112,7 +112,7 @@ def select_features(known: DataFrame, n: int, n_toxic: int, limit: int = FEATURE
             yield batch(schema, toxic + clean, [count[f][0] for f in toxic] + [0] * len(clean), [count[f][1] for f in toxic + clean])
 
     share = n_toxic / n
-    counts = known.select("toxic", "text").mapInArrow(run, out).groupBy("feature").agg(F.sum("toxic").alias("k"), F.sum("n").alias("n"))
+    counts = known.select("toxic", "text").mapInArrow(lean(run), out).groupBy("feature").agg(F.sum("toxic").alias("k"), F.sum("n").alias("n"))
     z = (F.col("k") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
     return [r["feature"] for r in counts.where(F.col("k") >= SUPPORT).withColumn("z", z).where(F.col("z") >= Z).orderBy(F.desc("z"), "feature").limit(limit).collect()]
 
@@ -140,7 +140,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: in
             yield batch(schema, piece.column("doc_id"), piece.column("toxic"), [w for w, _ in found], [f for _, f in found])
             seen.clear()
 
-    rows = known.select("doc_id", "toxic", "text").mapInArrow(run, out)
+    rows = known.select("doc_id", "toxic", "text").mapInArrow(lean(run), out)
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "words").limit(sample).collect()
     grade = np.array([0 if not r["toxic"] else 1 if r["words"] <= 1 else 2 if r["words"] <= 3 else 3 for r in rows], np.int64)
     return ToxicityModel(model.features, *fit_ordinal([r["features"] for r in rows], grade, len(names)))
@@ -158,4 +158,4 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
             p = model.probabilities([f for _, f in model.counts(as_bytes(piece.column("text")), seen)])
             yield batch(schema, piece.column("doc_id"), p @ np.arange(GRADES + 1), p.argmax(1).astype(np.int32), 1 - p[:, 0], 1 - p[:, 0] >= threshold)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)

@@ -112,7 +112,7 @@ def test_links_join_what_brute_force_joins(spark, monkeypatch):
     for bucket in (1 << 15, 4):  # the second sends most buckets to the blocks of the heavy ones
         monkeypatch.setattr(simhash, "BUCKET", bucket)
         prints = chained(250, random.Random(bucket))
-        frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "fp long").repartition(3)
+        frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "fp long").selectExpr("fp as node", "fp", "0L as more").repartition(3)
         links = simhash.links_of(frame)
         roots = dict(components.connected(links, Scratch(spark, "test")).collect())
         sign = lambda x: x - (1 << 64) if x >> 63 else x
