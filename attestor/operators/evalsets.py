@@ -135,3 +135,41 @@ def answerable(rows: DataFrame) -> DataFrame:
     """rows: entity, target (text). Keeps entities that look like one and whose first word stands in the target."""
     core = F.lower(F.regexp_replace(F.element_at(F.split("entity", " "), 1), r"^[,.()]+|[,.()]+$", ""))
     return rows.where(F.col("entity").rlike(r"^[A-Za-z][A-Za-z\- ]{3,60}$") & ~core.isin("with", "and", "or", "the", "a", "an", "this", "that", "these") & (F.length(core) >= 4) & F.contains(F.lower("target"), core))
+
+
+#: Second turns that refer back, with the intent they ask for.
+FOLLOW_UPS = [("What about it with alcohol on top of that?", "interaction"), ("How much of it should I take?", "dosage"), ("Are there any warnings for that?", "precaution")]
+#: Scripts of whole sessions; each turn is a template.
+SCENARIOS = [("dose_then_warning", ["How much {drug} should I take?", "Are there any warnings for it?"]), ("use_then_dose", ["What is {drug} used for?", "What is the recommended dose of it?"]), ("combination", ["Can I take {drug} together with {entity}?", "Is it safe to combine them?"])]
+
+
+def intent_set(labels: DataFrame) -> DataFrame:
+    """labels: drug, codes. Two turns, the second by anaphora: qid, turns, referent, intent, resolved_query, gold_loinc."""
+    t = F.broadcast(labels.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(FOLLOW_UPS)], "k int, follow_up string, intent string"))
+    first = F.concat(F.lit("What is "), "drug", F.lit(" used for?"))
+    rows = labels.join(t).withColumn("gold", F.filter(_codes()[F.col("intent")], lambda c: F.array_contains("codes", c))).where(F.size("gold") > 0)
+    return rows.select(F.concat_ws("|", "drug", "k").alias("qid"), F.array(first, "follow_up").alias("turns"), F.col("drug").alias("referent"), "intent", F.concat("follow_up", F.lit(" ("), "drug", F.lit(")")).alias("resolved_query"), F.element_at("gold", 1).alias("gold_loinc"))
+
+
+def e2e_set(labels: DataFrame, entities: DataFrame) -> DataFrame:
+    """Scripted sessions over labels; a script that names an entity is only made where there is one."""
+    s = F.broadcast(labels.sparkSession.createDataFrame(SCENARIOS, "scenario string, script array<string>"))
+    one = entities.groupBy("drug").agg(F.min("entity").alias("entity"))
+    rows = labels.join(s).join(one, "drug", "left").where("entity is not null or not exists(script, x -> contains(x, '{entity}'))")
+    filled = F.transform("script", lambda x: F.replace(F.replace(x, F.lit("{drug}"), F.col("drug")), F.lit("{entity}"), F.coalesce("entity", F.lit(""))))
+    return rows.select(F.concat_ws("|", "drug", "scenario").alias("qid"), "scenario", "drug", filled.alias("turns"), F.size("script").alias("n_turns"))
+
+
+def unsupported_golds(questions: DataFrame, corpus_keys: DataFrame) -> DataFrame:
+    """questions: qid, golds (citation keys). Hand-written golds that the corpus does not hold."""
+    g = questions.select("qid", F.explode("golds").alias("cite_key"))
+    return g.join(corpus_keys.select("cite_key").distinct(), "cite_key", "left_anti")
+
+
+def manifest(sets: dict[str, DataFrame]) -> DataFrame:
+    """name, n: rows of each set."""
+    out = None
+    for name, rows in sets.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.union(one)
+    return out

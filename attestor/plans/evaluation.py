@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
-from attestor.operators import evalsets, ledger, routing
+from attestor.operators import evalsets, ledger, metrics, routing
 from attestor.plans.evidence import _STEPS, _names, ledger_steps
 from attestor.plans.retrieval import CHUNKS, Corpus
 from attestor.sources import labels as source
@@ -120,7 +120,47 @@ def stream_windows(spark, sf_dir):
     return events.run_to_end(w)
 
 
-QUERIES = {f.__name__: f for f in (locate_set, boundary_set, paired_set, cap_round_robin, cap_stratified, cap_paired, probe_set, hard_set, set_audit, page_sections, pick_label, corpus_growth, corpus_fingerprint, cache_split, run_traces, ledger_violations, entities, stream_windows)}
+def intent_set(spark, sf_dir):
+    return evalsets.intent_set(_labels(spark, sf_dir)).withColumn("turns", F.array_join("turns", "|"))
+
+
+def e2e_set(spark, sf_dir):
+    e = evalsets.e2e_set(_labels(spark, sf_dir), _names(spark, sf_dir).select("drug", F.col("name").alias("entity")))
+    return e.withColumn("turns", F.array_join("turns", "|"))
+
+
+def set_manifest(spark, sf_dir):
+    s = _set(spark, sf_dir)
+    return evalsets.manifest({"locate": s, "paired": evalsets.paired_set(s), "boundary": evalsets.boundary_set(_labels(spark, sf_dir))})
+
+
+def pool_probe(spark, sf_dir):
+    """The lexical pool against the section of the first hit of the question's label."""
+    from attestor.plans.evidence import _pool
+
+    p = _pool(spark, sf_dir).select("qid", "question", F.col("rank").alias("pos"), F.concat("doc_id", F.lit("#"), "loinc").alias("cite_key"), "text", "drug", "asked")
+    gold = p.where("array_contains(asked, drug)").groupBy("qid").agg(F.min_by("cite_key", "pos").alias("cite_key"))
+    return metrics.pool_probe(p, gold)
+
+
+def complementarity(spark, sf_dir):
+    """BM25 and keywords on questions by template."""
+    from attestor.operators import ranking
+
+    c = Corpus(spark, sf_dir)
+    keyed = c.chunks.select("chunk_key", "section", F.slice(T.tokens("text"), 1, 8).alias("keywords"))
+    top = lambda df, s: ranking.ranked(df, s, 5).join(c.chunks.select("chunk_key", "drug"), "chunk_key").join(c.located.select("qid", F.col("drug").alias("named")), "qid").groupBy("qid").agg(F.max((F.col("drug") == F.col("named")).cast("int")).alias("h")).select("qid", (F.col("h") == 1).alias("hit"))
+    kinds = c.located.select("qid", F.coalesce("intent", F.lit("none")).alias("kind"))
+    return metrics.complementarity(top(c.bm25, "bm25"), top(ranking.keyword_scores(c.questions, keyed), "score"), kinds)
+
+
+def policy_paths(spark, sf_dir):
+    from attestor.plans.evidence import agent_runs
+
+    return metrics.path_survey(agent_runs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (locate_set, boundary_set, paired_set, cap_round_robin, cap_stratified, cap_paired, probe_set, hard_set, set_audit, page_sections, pick_label, corpus_growth, corpus_fingerprint, cache_split, run_traces, ledger_violations, entities, stream_windows, intent_set, e2e_set, set_manifest, pool_probe, complementarity, policy_paths)}
 
 _TEMPLATES = "templates(intent, template_id, template, needs) as (values " + ", ".join(f"('{i}', {n}, '" + t.replace("'", "''") + f"', {'{entity}' in t})" for i, g in K.TEMPLATES.items() for n, t in enumerate(g)) + ")"
 _CODES = "map {" + ", ".join("'" + i + "': ['" + "', '".join(c) + "']" for i, c in K.INTENT_CODES.items()) + "}"
@@ -137,6 +177,10 @@ _VALUES = lambda rows: ", ".join("(" + ", ".join("'" + str(x).replace("'", "''")
 _EXP = K.EXPECTED
 
 ORACLE_SQL = {
+    "intent_set": f"""{_LABELS}, t as (select * from (values {_VALUES([(k, *x) for k, x in enumerate(evalsets.FOLLOW_UPS)])}) v(k, follow_up, intent)), r as (select *, list_filter({_CODES}[intent], lambda c: list_contains(codes, c)) as gold from labels, t)
+        select drug || '|' || k as qid, 'What is ' || drug || ' used for?|' || follow_up as turns, drug as referent, intent, follow_up || ' (' || drug || ')' as resolved_query, gold[1] as gold_loinc from r where len(gold) > 0""",
+    "e2e_set": f"""{_LABELS}, {_NAMES}, s as (select * from (values {", ".join(f"('{n}', " + "['" + "', '".join(t) + "'])" for n, t in evalsets.SCENARIOS)}) v(scenario, script))
+        select l.drug || '|' || scenario as qid, scenario, l.drug, array_to_string(list_transform(script, lambda x: replace(replace(x, '{{drug}}', l.drug), '{{entity}}', coalesce(n.name, ''))), '|') as turns, len(script) as n_turns from labels l join s on true left join names n on n.drug = l.drug""",
     "locate_set": f"{_SET} select qid, question, intent, drug, entity, template_id, gold_loinc, array_to_string(accept, ',') as gold_loinc_any from qset",
     "boundary_set": f"""{_LABELS}, q as (select question, 'out_of_scope' as boundary_class from (values {_VALUES([(x,) for x in K.OUT_OF_SCOPE])}) v(question)
         union all select replace(t, '{{drug}}', drug), 'beyond_label' from labels, (values {_VALUES([(x,) for x in K.BEYOND_LABEL])}) v(t)
