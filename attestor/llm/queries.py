@@ -76,4 +76,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '<', '\l'), '[', '\b')"
+
+#: The operators whose whole result SQL can express; the others are held against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op4_pivot_topk": """with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings),
+        s as (select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score from v q join v c on q.vec_id % 50 = 0 and q.r <> c.r)
+        select query_id, rank, vec_id, score from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s) where rank <= 5""",
+    "op5_substring_dedup": f"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as w from documents),
+        windows as (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35), keyed as (select r, i, array_to_string(w[i:i + 34], ' ') as k from windows),
+        again as (select k from keyed group by k having count(*) > 1), gone as (select distinct r, unnest(range(i, i + 35)) as p from keyed join again using (k)),
+        words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+        kept as (select words.r, string_agg(word, ' ' order by words.p) filter (gone.r is null) as text, count(gone.r) as n from words left join gone on gone.r = words.r and gone.p = words.p group by words.r)
+        select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from d left join kept using (r)""",
+    "op7_chat_format": f"""with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations union all select -7, n, role, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) x(n, role))
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+          coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+          sum(24 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}))::bigint as formatted_chars from t group by conv_id""",
+}

@@ -78,3 +78,19 @@ def test_contract_columns(spark):
 
 def test_thresholds_are_fixed():
     assert (quality.MIN_WORDS, quality.MAX_REPEAT_PERCENT, phrases.WINDOW) == (50, 50, 35) and np.isclose(quality.REJECT_BELOW, 0.2)
+
+
+def test_queries_with_sql_equal_it(spark):
+    import duckdb
+
+    from attestor.llm.queries import ORACLE_SQL, QUERIES
+
+    con, folder = duckdb.connect(), "/root/testdata/sf0.001"
+    for name in ("documents", "embeddings", "conversations"):
+        con.sql(f"create view {name} as select * from read_parquet('{folder}/{name}.parquet')")
+    for name, sql in ORACLE_SQL.items():
+        relation, frame = con.sql(sql), QUERIES[name](spark, folder)
+        columns = sorted(frame.columns)
+        assert columns == sorted(relation.columns)
+        at = [relation.columns.index(c) for c in columns]
+        assert sorted(map(tuple, frame.select(*columns).collect())) == sorted(tuple(r[k] for k in at) for r in relation.fetchall()), name
