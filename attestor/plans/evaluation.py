@@ -81,7 +81,7 @@ def pick_label(spark, sf_dir):
 def corpus_growth(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("drug"), F.col("c_custkey").cast("int").alias("ord"), (F.col("c_custkey") % 7).cast("int").alias("n_sections"))
     have = table(spark, sf_dir, "customer").where("c_custkey % 11 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("drug"))
-    return source.grow(have, c, 100)
+    return source.grow(have, c, 200)
 
 
 def corpus_fingerprint(spark, sf_dir):
@@ -196,7 +196,7 @@ ORACLE_SQL = {
         select * from p where len({routing.intents_sql('question')}) = 0""",
     "set_audit": f"{_SET} select 'question_twice' as \"check\", count(*) as n from (select question from qset group by question having count(*) > 1) union all select 'code_malformed', count(*) filter (not regexp_full_match(gold_loinc, '\\d{{5}}-\\d')) from qset union all select 'gold_not_acceptable', count(*) filter (not list_contains(accept, gold_loinc)) from qset union all select 'labels_covered', count(distinct drug) from qset",
     "pick_label": "with p as (select p_brand as drug, p_partkey::varchar as setid, p_size > 25 as has_interactions, (row_number() over (partition by p_brand order by p_partkey % 23, p_partkey) - 1)::int as ord from part) select drug, setid, ord, has_interactions from (select *, row_number() over (partition by drug order by has_interactions desc, ord) as n from p where ord < 20) where n = 1",
-    "corpus_growth": "with h as (select 'c' || c_custkey as drug from customer where c_custkey % 11 = 0), n as (select 'c' || c_custkey as drug, c_custkey::int as ord from customer where c_custkey % 7 >= 3 and c_custkey % 11 <> 0), r as (select *, row_number() over (order by ord) as place from n) select * from r where place <= greatest(100 - (select count(*) from h), 0)",
+    "corpus_growth": "with h as (select 'c' || c_custkey as drug from customer where c_custkey % 11 = 0), n as (select 'c' || c_custkey as drug, c_custkey::int as ord from customer where c_custkey % 7 >= 3 and c_custkey % 11 <> 0), r as (select *, row_number() over (order by ord) as place from n) select * from r where place <= greatest(200 - (select count(*) from h), 0)",
     "cache_split": "with d as (select doc_id, lang, sha1('model|' || text) as key from documents), c as (select distinct key from d where doc_id % 3 = 0) select case when key in (select key from c) then 'hit' else 'miss' end as kind, lang, count(*) as n from d group by all",
     "run_traces": f"with {_STEPS} select run_id, md5(string_agg('#' || step || ' ' || action || ' cost=' || cost || ' left=' || budget_left, chr(10) order by step)) as trace_md5 from steps group by run_id",
     "ledger_violations": f"""with {_STEPS}, s as (select *, case when step % 2 = 0 then 'q' end as query from steps) select rule, count(*) as n from (
