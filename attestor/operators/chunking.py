@@ -35,7 +35,9 @@ def build_chunks(sections: DataFrame, target: int = K.TARGET_CHARS, drop_tail: b
     Sections need setid, drug, sec_ord, loinc, section, text. Blank sections give no chunk. Chunks of a document's
     sections that share a code are numbered through, from 1.
     """
-    s = sections.withColumn("text", F.trim("text")).where(F.col("text") != "").withColumn("s", T.sentences("text", K.CHUNK_SENTENCE))
+    spread = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = sections.repartition(spread, "setid")  # the numbering needs documents together; here it also spreads the fold of a few large files
+    s = s.withColumn("text", F.trim("text")).where(F.col("text") != "").withColumn("s", T.sentences("text", K.CHUNK_SENTENCE))
     s = s.withColumn("sizes", F.transform("s", F.length))
     places = "aggregate(s, named_struct('at', 1, 'out', cast(array() as array<int>)), (a, x) -> named_struct('at', locate(x, text, a.at) + length(x), 'out', concat(a.out, array(locate(x, text, a.at) - 1))), a -> a.out)"
     s = s.withColumn("places", F.expr(places)).withColumn("spans", packed("sizes", target, drop_tail))
