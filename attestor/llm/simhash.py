@@ -14,6 +14,7 @@ no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,17 +204,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-
-def word_prints(texts: list[bytes]) -> np.ndarray:
-    """128-bit fingerprints (two columns) over the distinct words of each text (A-Z in lower case): near copies differ in few words."""
-    digest, out = xxhash.xxh128_digest, np.zeros((len(texts), 2), np.uint64)
-    for k, text in enumerate(texts):
-        if own := set(text.lower().split()):
-            bits = np.unpackbits(np.frombuffer(b"".join([digest(w, SEED) for w in own]), np.uint8).reshape(-1, 16), axis=1)
-            out[k] = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(own)).view(">u8")
-    return out
-
-
 def shingles_of(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; of the whole text if it has fewer words."""
     own = text.lower().split()
@@ -247,8 +237,10 @@ def similar_links(rows: list[int], sets: list[np.ndarray], similarity: float) ->
     return links
 
 
-#: Bits of 128 that word fingerprints of candidates may differ in; texts of a candidate group that are compared at once.
-WORD_RADIUS, GROUP = 18, 1024
+#: Texts of a candidate group that are compared at once; texts of a group that is cut anew by its own shingle counts.
+GROUP, LARGE = 1024, 64
+#: Texts whose shingles say which are common, over all texts and over large groups; shingles that are told at most. They set the order only.
+SAMPLE, OWN_SAMPLE, COMMON = 8192, 1 << 16, 1 << 19
 #: Row numbers (8 to 16 bytes each) are broadcast up to this many; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -257,22 +249,61 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similar(spark: SparkSession, texts: DataFrame, scratch: Scratch, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """texts: row, text, written, distinct texts. Links a, b (rows) that join the texts at or over the similarity.
+def prefix_of(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's sorted shingles in an order of all shingles (common ones last, by count): two sets of at least the similarity share one of them.
+
+    Their overlap is at least similarity * len(shingles), so all but one less of that many may be left out."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, counts[at], 0)
+        if rank.any():
+            shingles = shingles[np.lexsort((shingles, rank))]
+    return shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
+
+
+def _common(texts: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that several of at most about `most` texts hold, COMMON of them at most, and their counts. They only set the order, so any sample is right."""
+    out = StructType.fromDDL("token long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", 2 << 20):
+            yield batch(to_arrow_schema(out), np.concatenate([shingles_of(t, words) for t in as_bytes(piece.column("text"))]).view(np.int64))
+
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(texts.count() // most + 1)) == 0).select("text")
+    found = sample.mapInArrow(lean(run), out).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    token, count = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], count[order]
 
-    Word fingerprints whose first halves share a Golay key pair and that differ in at most WORD_RADIUS bits make
-    candidate groups (texts without kinship differ in about 55 bits); within a group the exact similarity of shingle
-    sets decides, in blocks of GROUP texts. Candidates are found with high probability, not surely (a pair at 0.8
-    differs in about 7 bits); what is linked is exact."""
-    out = StructType.fromDDL("node long, fp long, more long")
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def candidates(texts: DataFrame, *, words: int, similarity: float, sample: int = SAMPLE) -> DataFrame:
+    """Links a, b that join, directly or over others, all texts whose sets have the similarity: neighbours by size among the texts that share a shingle of
+    their prefixes. Sets of more different sizes can't be similar; what lies between two sizes near enough is near enough to both."""
+    (common, counts), out = _common(texts, words, sample), StructType.fromDDL("token long, row long, size int")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 2 << 20):
-            found = word_prints(as_bytes(piece.column("text"))).view(np.int64)
-            yield batch(to_arrow_schema(out), piece.column("row"), np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1]))
+            sets = [shingles_of(t, words) for t in as_bytes(piece.column("text"))]
+            own = [prefix_of(x, common, counts, similarity) for x in sets]
+            many = [len(x) for x in own]
+            yield batch(to_arrow_schema(out), np.concatenate(own).view(np.int64), np.repeat(piece.column("row").to_numpy(), many), np.repeat(np.array([len(x) for x in sets], np.int32), many))
+
+    before = Window.partitionBy("token").orderBy("size", "row")
+    beside = texts.select("row", "text").mapInArrow(lean(prefixes), out).select(F.lag("row").over(before).alias("a"), F.lag("size").over(before).alias("less"), F.col("row").alias("b"), "size")
+    return beside.where(F.col("less") >= F.col("size") * similarity - 1e-9).select("a", "b").distinct()
 
-    printed = scratch.write(texts.select("row", "text").mapInArrow(lean(prints), out), "words")
-    grouped = connected(links_of(printed, WORD_RADIUS), scratch, name="candidates").select(F.col("node").alias("row"), "root")
+
+def similar(spark: SparkSession, texts: DataFrame, scratch: Scratch, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """texts: row, text, written, distinct texts. Links a, b (rows) that join the texts at or over the similarity, and no others.
+
+    Texts that share a shingle of their prefixes make candidate groups, which hold every pair at the similarity. The texts of large groups are grouped
+    once more, by prefixes in the order of their own counts: shingles that are common but not in the sample join what has no kinship. Within a group the exact
+    similarity of shingle sets decides, in blocks of GROUP texts."""
+    first = connected(candidates(texts, words=words, similarity=similarity), scratch, name="candidates").select(F.col("node").alias("row"), "root")
+    first = scratch.write(first.join(first.groupBy("root").agg(F.count("*").alias("n")), "root"), "first")
+    large = scratch.write(texts.join(_small(first.where(F.col("n") > LARGE).select("row")), "row", "left_semi").select("row", "text"), "large")
+    anew = connected(candidates(large, words=words, similarity=similarity, sample=OWN_SAMPLE), scratch, name="anew").select(F.col("node").alias("row"), "root")
+    grouped = first.where(F.col("n") <= LARGE).select("row", "root").union(anew)
     sizes = grouped.groupBy("root").agg(F.count("*").alias("n"))
     grouped = scratch.write(grouped.join(sizes, "root").select("row", "root", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("blocks")), "groups")
     held = StructType.fromDDL("row long, root long, blocks int, shingles binary")

@@ -198,3 +198,30 @@ def test_near_copies_go_and_others_stay(spark, monkeypatch):
     least = {min(k for k in range(150) if groups[k] == g) for g in set(groups)}
     found = 150 - len(kept)
     assert found >= 0.95 * (150 - len(least)) and kept >= {k for k in range(150) if groups.count(groups[k]) == 1}
+
+
+def test_passage_edits_are_linked_as_by_brute_force(spark, monkeypatch):
+    """One appended, cut or replaced passage at a Jaccard similarity near 0.8; also with all groups regrouped."""
+    rng, texts = random.Random(6), []
+    for _ in range(25):
+        w = [f"w{rng.randint(0, 10**9)}" for _ in range(200)]
+        new = [f"n{rng.randint(0, 10**9)}" for _ in range(60)]
+        a, n = rng.randint(0, 160), rng.randint(12, 22)
+        texts += [" ".join(x) for x in (w, w + new[: rng.randint(40, 56)], w[: rng.randint(155, 170)], w[:a] + new[:n] + w[a + n :])]
+    want = brute_similar(texts, 0.8)
+    assert 40 < len(want) < 75
+    frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(4)
+    for large in (64, 1):
+        monkeypatch.setattr(simhash, "LARGE", large, raising=False)
+        scratch = Scratch(spark, f"passages{large}")
+        links = [tuple(r) for r in simhash.similar(spark, frame, scratch).collect()]
+        assert roots(100, links) == roots(100, want)
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    for n in range(1, 200):
+        x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        common, counts = np.sort(rng.permutation(x)[: n // 2]), rng.integers(2, 9, n // 2)
+        y = np.sort(rng.permutation(x)[: max(1, int(np.ceil(0.8 * n - 1e-9)))])
+        assert set(simhash.prefix_of(x, common, counts, 0.8).tolist()) & set(simhash.prefix_of(y, common, counts, 0.8).tolist())
