@@ -329,7 +329,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 5, similarity
     """The rows of docs, with all their columns, without near copies: of each group one row of least id stays.
 
     Groups join equal texts, texts whose fingerprints link (near_duplicates), and texts whose sets of `words`-word
-    shingles have the similarity or more. A row with a null id stays only if its group has no id; of rows that repeat
+    shingles have the similarity or more; one row of each distinct text is compared, whatever its fingerprint links to. A row with a null id stays only if its group has no id; of rows that repeat
     an id the first by text hash stays.
     """
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -338,9 +338,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 5, similarity
     rows = scratch.write(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
     found = near_duplicates(spark, rows.select("row", text), id_col="row", text_col=text)
     found = scratch.write(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "found")
-    firsts = found.select(F.col("component").alias("row")).distinct()
-    links = similar(spark, rows.select("row", F.col(text).cast("string").alias("text")).join(_small(firsts), "row", "left_semi"), scratch, words=words, similarity=similarity)
-    merged = connected(links, scratch, name="similar")
+    firsts = rows.groupBy(F.sha2(F.col(text).cast("string"), 256)).agg(F.min("row").alias("row")).select("row")
+    links = similar(spark, rows.select("row", F.col(text).cast("string").alias("text")).join(_small(scratch.write(firsts, "firsts")), "row", "left_semi"), scratch, words=words, similarity=similarity)
+    links = scratch.write(links, "similar")
+    for end in ("a", "b"):  # from rows to their components
+        links = links.join(found.withColumnRenamed("row", end), end).drop(end).withColumnRenamed("component", end)
+    merged = connected(links, scratch, name="merged")
     ids = rows.select("row", F.col(key).cast("long").alias("own"), F.xxhash64(text).alias("hash"))
     groups = found.join(merged.withColumnRenamed("node", "component"), "component", "left").select("row", F.coalesce("root", "component").alias("group"))
     least = F.min(F.struct(F.col("own").isNull().alias("unnamed"), "own", "hash", "row")).alias("least")

@@ -225,3 +225,19 @@ def test_prefixes_of_similar_sets_meet():
         common, counts = np.sort(rng.permutation(x)[: n // 2]), rng.integers(2, 9, n // 2)
         y = np.sort(rng.permutation(x)[: max(1, int(np.ceil(0.8 * n - 1e-9)))])
         assert set(simhash.prefix_of(x, common, counts, 0.8).tolist()) & set(simhash.prefix_of(y, common, counts, 0.8).tolist())
+
+
+def test_texts_of_a_fingerprint_group_are_compared_themselves(spark):
+    """a and b link by fingerprint, c is like b but not like a, the first row of the group."""
+    for seed in range(1000):
+        rng = random.Random(seed)
+        w = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
+        b = w.copy()
+        b[100], b[200] = "changed", "words"
+        texts = [" ".join(x) for x in (w, b, b + [f"n{rng.randint(0, 10**9)}" for _ in range(73)])]
+        p = [brute_fingerprint(t) for t in texts]
+        if (p[0] ^ p[1]).bit_count() <= simhash.RADIUS < min((p[0] ^ p[2]).bit_count(), (p[1] ^ p[2]).bit_count()):
+            break
+    assert brute_similar(texts, 0.8) == {(1, 0), (2, 1)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert [r["doc_id"] for r in simhash.keep_one(spark, docs).collect()] == [0]
