@@ -2,7 +2,7 @@
 
 Protected entities are e-mail addresses, IPv4 addresses, card numbers and phone numbers (KINDS). Terms are runs of
 four or more letters. Over the corpus, counting each distinct text once: n(e) texts hold entity e, n(t) hold term t,
-n(t, e) hold t within CONTEXT characters of e. Knowing t reveals log2(n(t, e) N / (n(t) n(e))) bits about e
+n(t, e) hold the whole of t within the CONTEXT characters of the text before or after e, whatever else stands there. Knowing t reveals log2(n(t, e) N / (n(t) n(e))) bits about e
 (pointwise mutual information). A term discloses e if n(t, e) >= SUPPORT, its bits are at least BITS and
 P(e | t) = n(t, e) / n(t) is at least SHARE; every occurrence of such a term is a span of kind `term`, and is
 removed from P = REMOVE on, else generalised to its initial.
@@ -36,14 +36,14 @@ def _quoted(pattern: str) -> str:
 
 
 def _spans(text: str, pattern: str, kind: str, when: str, test: str) -> str:
-    """SQL: array of (kind, start, end, value, before, after) of the matches of a pattern that pass its test.
+    """SQL: array of (kind, start, end, value) of the matches of a pattern that pass its test.
 
     split() gives what lies between the matches that regexp_extract_all() gives, so places are running lengths.
     """
-    part = f"named_struct('kind', '{kind}', 'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.m), 'value', x.m, 'before', right(x.gap, {CONTEXT}), 'after', left(x.next, {CONTEXT}))"
-    none = "cast(array() as array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>)"
+    part = f"named_struct('kind', '{kind}', 'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.m), 'value', x.m)"
+    none = "cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"
     walk = (
-        f"aggregate(transform(hits, (m, i) -> named_struct('m', m, 'gap', gaps[i], 'next', gaps[i + 1])), named_struct('at', 0, 'found', {none}), "
+        f"aggregate(transform(hits, (m, i) -> named_struct('m', m, 'gap', gaps[i])), named_struct('at', 0, 'found', {none}), "
         f"(a, x) -> named_struct('at', a.at + length(x.gap) + length(x.m), 'found', concat(a.found, array({part}))), a -> filter(a.found, s -> transform(array(s.value), m -> {test})[0]))"
     )
     both = f"transform(array(named_struct('hits', regexp_extract_all({text}, {pattern}, 0), 'gaps', split({text}, {pattern}, -1))), z -> {walk.replace('hits,', 'z.hits,').replace('gaps[', 'z.gaps[')})[0]"
@@ -60,10 +60,13 @@ def _written(spans: str) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, and base: the base spans of all kinds, as listed, then by start."""
+    """doc_id, text_key, base (the base spans of all kinds, as listed, then by start) and around: kind, value, and what stands before and after, CONTEXT characters and one more."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), *[F.expr(sql).alias(kind) for kind, sql in base_spans("text")])
-    return rows.select("doc_id", "text_key", F.concat(*[F.col(kind) for kind, *_ in KINDS]).alias("base"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"), *[F.expr(sql).alias(kind) for kind, sql in base_spans("text")])
+    rows = rows.select("doc_id", "text_key", "text", F.concat(*[F.col(kind) for kind, *_ in KINDS]).alias("base"))
+    before = f"substring(text, greatest(s.start - {CONTEXT + 1}, 0) + 1, least(s.start, {CONTEXT + 1}))"
+    around = f"transform(base, s -> named_struct('kind', s.kind, 'value', s.value, 'before', {before}, 'after', substring(text, s.end + 1, {CONTEXT + 1})))"
+    return rows.select("doc_id", "text_key", "base", F.expr(around).alias("around"))
 
 
 def _normal(kind: str, value: str) -> str:
@@ -73,11 +76,9 @@ def _normal(kind: str, value: str) -> str:
 def disclosing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame | None:
     """term, share: terms whose disclosure of an entity is over the thresholds; None if there is none. found: find(docs), written."""
     letters = _quoted(TERM)
-    before = f"regexp_extract_all(lower(s.before), {letters}, 0)"
-    before = f"case when length(s.before) = {CONTEXT} then slice({before}, 2, greatest(size({before}) - 1, 0)) else {before} end"  # the first may be cut
-    after = f"regexp_extract_all(lower(s.after), {letters}, 0)"
-    after = f"case when length(s.after) = {CONTEXT} then slice({after}, 1, greatest(size({after}) - 1, 0)) else {after} end"
-    seen = found.where("size(base) > 0").select("text_key", F.explode("base").alias("s")).select("text_key", F.expr(_normal("s.kind", "s.value")).alias("entity"), F.expr(f"concat({before}, {after})").alias("terms"))
+    ends = {"before": _quoted(r"^\p{L}++"), "after": _quoted(r"\p{L}++\z")}  # a run of letters that reaches beyond the context is no term of it
+    before, after = [f"regexp_extract_all(lower(case when length(s.{n}) > {CONTEXT} then regexp_replace(s.{n}, {end}, '') else s.{n} end), {letters}, 0)" for n, end in ends.items()]
+    seen = found.where("size(base) > 0").select("text_key", F.explode("around").alias("s")).select("text_key", F.expr(_normal("s.kind", "s.value")).alias("entity"), F.expr(f"concat({before}, {after})").alias("terms"))
     pairs = seen.select("text_key", "entity", F.explode("terms").alias("term")).distinct()
     beside = pairs.groupBy("term").agg(F.countDistinct("text_key").alias("n_c"))  # texts with the term beside any entity: at most n(t)
     joint = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)

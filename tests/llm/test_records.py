@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from attestor.llm import chat, pii, topk
+from attestor.llm.common import Scratch
 from tests.llm.conftest import DOC
 
 VEC = "vec_id long, embedding array<float>, label int"
@@ -147,3 +148,15 @@ def test_redaction_keeps_rows_columns_and_clean_texts(spark, odd, odd_rows, noth
 def test_no_python_on_the_way(spark, odd):
     plan = pii.redact(spark, odd)._jdf.queryExecution().executedPlan().toString() + pii.report(spark, odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_context_reaches_over_other_hits_and_ends_at_80_characters(spark):
+    """Numbers that are no cards and other addresses stand between a term and its entity; a term beyond the context, or cut by it, is not beside it."""
+    rare = ["Zanzibort 42, 1987, card 4111 1111 1111 1111", "zed@mail.example.com, ann@b.example, Quorvaleth", "Farnoquist" + " -" * 41 + " +49 30 1234567", "Yondermath" + "." * 75 + "10.0.0.1", "Edgewisely" + "." * 70 + "10.0.0.2"]
+    rows = [(k, f"{t} common {k}", "en", "s", 0) for n, t in enumerate(rare) for k in range(10 * n, 10 * n + 4)]
+    rows += [(k, f"common words number {k} wrote nothing", "en", "s", 0) for k in range(100, 400)]
+    docs = spark.createDataFrame(rows, DOC)
+    scratch = Scratch(spark, "context")
+    found = scratch.write(pii.find(docs), "found")
+    got = {r["term"] for r in pii.disclosing_terms(spark, docs, found, scratch).collect()}
+    assert {"zanzibort", "card", "quorvaleth", "edgewisely"} <= got and not got & {"farnoquist", "yondermath", "common"}
