@@ -114,10 +114,10 @@ def entities(spark, sf_dir):
 
 
 def stream_windows(spark, sf_dir):
-    """Complete tumbling windows of the event stream, drained to its end."""
+    """All tumbling windows of the event stream, drained to its end, in whatever order its files lie."""
     path = f"{sf_dir}/event[s].parquet"  # a pattern, so that it may be a file or a folder
     w = events.windowed(events.read_events(spark, path)).withColumn("total", F.round("total", 6))
-    return events.run_to_end(w)
+    return events.run_to_end(w, "complete")
 
 
 def intent_set(spark, sf_dir):

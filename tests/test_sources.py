@@ -96,3 +96,15 @@ def test_stream_windows_equal_the_batch(spark):
     want = {(r["window_start"], r["event_type"]): r["n"] for r in batch.collect()}
     got = {(r["window_start"], r["event_type"]): r["n"] for r in out.collect()}
     assert got and all(want[k] == n for k, n in got.items()) and len(got) > len(want) / 2
+
+
+def test_stream_windows_of_unordered_files_equal_the_batch(spark, tmp_path):
+    from attestor.plans import evaluation
+
+    rows = spark.read.parquet(f"{DIR}/events.parquet")
+    rows.repartition(4, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    batch = rows.groupBy(F.window("ts", "1 hour").start.alias("window_start"), "event_type").agg(F.count("*").alias("n"))
+    got = evaluation.stream_windows(spark, str(tmp_path)).select("window_start", "event_type", "n")
+    assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
+    rows.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    assert evaluation.stream_windows(spark, str(tmp_path)).isEmpty()
