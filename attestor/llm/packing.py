@@ -32,6 +32,8 @@ from attestor.llm.common import Scratch, as_bytes, batch, lean, pieces
 END = 1
 #: The places of the parts, a row for each queue and task, are broadcast up to this many; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Queues times rounds that a task looks at at once.
+CELLS = 1 << 20
 _loaded: dict = {}
 
 
@@ -147,14 +149,20 @@ class Schedule:
         run = np.repeat(np.arange(len(first)), count)
         rounds = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[run]
         distinct, where = np.unique(rounds, return_inverse=True)
-        here, then = self.taken(distinct), self.taken(distinct + 1)
-        ahead = np.cumsum(then, 0) - then + here.sum(0) - (np.cumsum(here, 0) - here)  # earlier queues have given this round's share
-        own = queue[run]
-        a = np.maximum(first[run], here[own, where])
-        b = np.minimum(first[run] + length[run], then[own, where])
+        own, order = queue[run], np.argsort(where, kind="stable")
+        begun, given, base = np.empty((3, len(run)), np.int64)
+        width = max(1, CELLS // len(self.totals))
+        for k in range(0, len(distinct), width):
+            here, then = self.taken(distinct[k : k + width]), self.taken(distinct[k : k + width] + 1)
+            ahead = np.cumsum(then, 0) - then + here.sum(0) - (np.cumsum(here, 0) - here)  # earlier queues have given this round's share
+            now = order[np.searchsorted(where[order], k) : np.searchsorted(where[order], k + width)]
+            cell = own[now], where[now] - k
+            begun[now], given[now], base[now] = here[cell], then[cell], (ahead - here)[cell]
+        a = np.maximum(first[run], begun)
+        b = np.minimum(first[run] + length[run], given)
         full = b > a
         run, start, size = run[full], a[full], (b - a)[full]
-        place = (ahead[own, where] - here[own, where])[full] + start
+        place = base[full] + start
         head = np.ones(len(run), bool)
         head[1:] = (run[1:] != run[:-1]) | (place[1:] != place[:-1] + size[:-1])
         heads = np.flatnonzero(head)
@@ -181,19 +189,26 @@ def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, source_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(queue, F.lit("null")).alias("queue"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
 
 
-def pack(spark: SparkSession, docs: DataFrame, path: str, *, window: int = 2048, mixture: dict[str | None, float] | None = None, max_queues: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digest: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, path: str, *, window: int = 2048, mixture: dict[str | None, float] | None = None, max_queues: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digest: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, and ids (bytes) or, with digest, ids_crc32.
 
     mixture: target weight by source; None takes each source's share of all tokens. A source it doesn't name comes when the named ones are dry.
-    The tokens are encoded once and written; max_queues bounds what the driver holds: if there are more sources, the smaller ones share the last queue.
+    The tokens are encoded once and written. Every source is a queue of its own, and the driver holds a row for each; only where max_queues is given and
+    there are more sources do the smaller ones that the mixture doesn't name share the last queue.
     """
     scratch = Scratch(spark, "pack")
     tokens = scratch.write(tokenise(docs, path, id_col, text_col, source_col), "tokens")
     by_part = tokens.groupBy("queue", "part").agg(F.sum("n").alias("held"))
-    largest = by_part.groupBy("queue").agg(F.sum("held").alias("held")).orderBy(F.desc("held"), "queue").limit(max_queues).collect()
-    own = largest if len(largest) < max_queues else largest[: max_queues - 1]
+    named = F.col("queue").isin(["null" if s is None else f"={s}" for s in mixture or ()])
+    largest = by_part.groupBy("queue").agg(F.sum("held").alias("held")).orderBy(F.desc(named), F.desc("held"), "queue")
+    if max_queues is None:
+        own = largest.collect()
+    else:
+        most = max(max_queues, len(mixture or ()) + 1)
+        own = largest.limit(most).collect()
+        own = own if len(own) < most else own[: most - 1]
     names = spark.createDataFrame([(r["queue"], k) for k, r in enumerate(own)] or [("", 0)], "queue string, q int")
-    by_part = by_part.join(F.broadcast(names), "queue", "left").fillna(len(own), ["q"])
+    by_part = by_part.join(F.broadcast(names) if len(own) <= BROADCAST_ROWS else names, "queue", "left").fillna(len(own), ["q"])
     before = Window.partitionBy("q").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("queue", "part", "q", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     totals = {r["q"]: r["held"] for r in by_part.groupBy("q").agg(F.sum("held").alias("held")).collect()}

@@ -111,3 +111,21 @@ def test_schedule_places_every_token_once():
         order = np.argsort(place)
         ends = place[order] + size[order]
         assert place.min() == 0 and (place[order][1:] == ends[:-1]).all() and ends[-1] == sum(totals)
+
+
+def test_every_source_keeps_its_target(spark, monkeypatch):
+    """More sources than were kept apart before: each small one has its share from the start, and one that is named comes first."""
+    monkeypatch.setattr(packing, "CELLS", 5000)  # several rounds at once, not all
+    rows = [(k, "moss quill brant " * (4 if k < 1100 else 2), "en", f"src{k}", 0) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    pieces = packing.pack(spark, docs, WORD, window=2400).collect()
+    first = Counter()
+    for p in pieces:
+        if p["sequence_id"] < 3:
+            first[p["doc_id"]] += p["length"]
+    whole = {p["doc_id"]: p["doc_tokens"] for p in pieces}
+    total = sum(whole.values())
+    assert len(whole) == 1200 and sum(p["length"] for p in pieces) == total > 3 * 2400
+    assert all(abs(first[k] - 3 * 2400 * n / total) <= 2 for k, n in whole.items())
+    named = packing.pack(spark, docs, WORD, window=whole[1199], mixture={"src1199": 1.0}).where("sequence_id = 0").collect()
+    assert {p["doc_id"] for p in named} == {1199} and sum(p["length"] for p in named) == whole[1199]
