@@ -239,8 +239,8 @@ def similar_links(rows: list[int], sets: list[np.ndarray], similarity: float) ->
 
 #: Texts of a candidate group that are compared at once; texts of a group that is cut anew by its own shingle counts.
 GROUP, LARGE = 1024, 64
-#: Texts whose shingles say which are common, over all texts and over large groups; shingles that are told at most. They set the order only.
-SAMPLE, OWN_SAMPLE, COMMON = 8192, 1 << 16, 1 << 19
+#: One text of so many says which shingles are common (in large groups every text does); shingles that are told at most. They set the order only.
+SAMPLE, COMMON = 8, 1 << 18
 #: Row numbers (8 to 16 bytes each) are broadcast up to this many; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -261,15 +261,15 @@ def prefix_of(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, simi
     return shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
 
 
-def _common(texts: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that several of at most about `most` texts hold, COMMON of them at most, and their counts. They only set the order, so any sample is right."""
+def _common(texts: DataFrame, words: int, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that several of one text in `every` hold, COMMON of them at most, and their counts. They only set the order, so any sample is right."""
     out = StructType.fromDDL("token long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 2 << 20):
             yield batch(to_arrow_schema(out), np.concatenate([shingles_of(t, words) for t in as_bytes(piece.column("text"))]).view(np.int64))
 
-    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(texts.count() // most + 1)) == 0).select("text")
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text")
     found = sample.mapInArrow(lean(run), out).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     token, count = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(token)
@@ -302,7 +302,7 @@ def similar(spark: SparkSession, texts: DataFrame, scratch: Scratch, *, words: i
     first = connected(candidates(texts, words=words, similarity=similarity), scratch, name="candidates").select(F.col("node").alias("row"), "root")
     first = scratch.write(first.join(first.groupBy("root").agg(F.count("*").alias("n")), "root"), "first")
     large = scratch.write(texts.join(_small(first.where(F.col("n") > LARGE).select("row")), "row", "left_semi").select("row", "text"), "large")
-    anew = connected(candidates(large, words=words, similarity=similarity, sample=OWN_SAMPLE), scratch, name="anew").select(F.col("node").alias("row"), "root")
+    anew = connected(candidates(large, words=words, similarity=similarity, sample=1), scratch, name="anew").select(F.col("node").alias("row"), "root")
     grouped = first.where(F.col("n") <= LARGE).select("row", "root").union(anew)
     sizes = grouped.groupBy("root").agg(F.count("*").alias("n"))
     grouped = scratch.write(grouped.join(sizes, "root").select("row", "root", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("blocks")), "groups")
