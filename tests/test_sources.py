@@ -108,3 +108,25 @@ def test_stream_windows_of_unordered_files_equal_the_batch(spark, tmp_path):
     assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
     rows.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
     assert evaluation.stream_windows(spark, str(tmp_path)).isEmpty()
+
+
+def test_sessions_and_complementarity_take_whole_texts(spark, monkeypatch):
+    from attestor.operators import ranking, sessions
+    from attestor.plans import evaluation, evidence
+
+    class Seen(Exception):
+        pass
+
+    def look(*args):
+        raise Seen(args)
+
+    monkeypatch.setattr(sessions, "run_turns", look)
+    monkeypatch.setattr(ranking, "keyword_scores", look)
+    turns = spark.createDataFrame([("c", 0, " ".join(f"w{k}" for k in range(40)))], "conv_id string, turn int, question string")
+    monkeypatch.setattr(sessions, "resolve", lambda _: turns.withColumn("drugs", F.array(F.lit("src1"))))
+    with pytest.raises(Seen) as seen:
+        evidence.session_runs(spark, DIR)
+    assert seen.value.args[0][2].first()["question"].split(" ")[-1] == "w39"
+    with pytest.raises(Seen) as seen:
+        evaluation.complementarity(spark, DIR)
+    assert seen.value.args[0][1].agg(F.max(F.size("keywords"))).first()[0] > 8
