@@ -2,56 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
 
-_OUT = "array<struct<a:int,b:int>>"
-
 
-def packed(sizes: str, target: int = K.TARGET_CHARS, drop_tail: bool = False) -> Column:
-    """First and last sentence of each chunk, from an array of sentence lengths.
+def packed(sizes: list[int], target: int = K.TARGET_CHARS, drop_tail: bool = False) -> list[tuple[int, int]]:
+    """First and last sentence of each chunk, from the lengths of the sentences.
 
-    One pass over the sentences: a chunk closes when it has `target` characters; the next begins with its last
-    sentence unless that was its only one. What is open at the end closes, followed by its last sentence alone.
+    A chunk closes when it has `target` characters; the next begins with its last sentence unless that was its only
+    one. What is open at the end closes, followed by its last sentence alone (not with drop_tail).
     """
-    step = f"""(s, k) -> transform(array(s.cur + {sizes}[k] + 1), cur -> case
-        when cur < {target} then named_struct('start', s.start, 'cur', cur, 'out', s.out)
-        when s.start = k then named_struct('start', k + 1, 'cur', 0, 'out', concat(s.out, array(named_struct('a', k, 'b', k))))
-        when {sizes}[k] + 1 >= {target} then named_struct('start', k + 1, 'cur', 0, 'out', concat(s.out, array(named_struct('a', s.start, 'b', k), named_struct('a', k, 'b', k))))
-        else named_struct('start', k, 'cur', {sizes}[k] + 1, 'out', concat(s.out, array(named_struct('a', s.start, 'b', k)))) end)[0]"""
-    last = f"size({sizes}) - 1"
-    tail = "array(named_struct('a', s.start, 'b', {0}))" if drop_tail else "array(named_struct('a', s.start, 'b', {0}), named_struct('a', {0}, 'b', {0}))"
-    end = f"""s -> case when s.start > {last} then s.out when s.start = {last} then concat(s.out, array(named_struct('a', {last}, 'b', {last}))) else concat(s.out, {tail.format(last)}) end"""
-    fold = f"aggregate(sequence(0, {last}), named_struct('start', 0, 'cur', 0, 'out', cast(array() as {_OUT})), {step}, {end})"
-    return F.expr(f"case when size({sizes}) > 0 then {fold} else cast(array() as {_OUT}) end")
+    at, last = [0, *accumulate(n + 1 for n in sizes)], len(sizes) - 1
+    out, first = [], 0
+    while first <= last:
+        end = bisect_left(at, at[first] + target, first + 1)
+        out.append((first, min(end, last + 1) - 1))
+        if end > last + 1 and drop_tail:
+            break
+        first = max(first + 1, out[-1][1])
+    return out
 
 
 def build_chunks(sections: DataFrame, target: int = K.TARGET_CHARS, drop_tail: bool = False) -> DataFrame:
     """chunk_key (order of the corpus), chunk_id, doc_id, loinc, section, drug, text, char_span, heading_path, content_hash.
 
     Sections need setid, drug, sec_ord, loinc, section, text. Blank sections give no chunk. Chunks of a document's
-    sections that share a code are numbered through, from 1.
+    sections that share a code are numbered through, from 1: documents stream in order through one pass, so neither
+    a long section nor a long document takes more than its sentences and a count for each code.
     """
     spread = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = sections.repartition(spread, "setid")  # the numbering needs documents together; here it also spreads the fold of a few large files
-    s = s.withColumn("text", F.trim("text")).where(F.col("text") != "").withColumn("s", T.sentences("text", K.CHUNK_SENTENCE))
-    s = s.withColumn("sizes", F.transform("s", F.length))
-    places = "aggregate(s, named_struct('at', 1, 'out', cast(array() as array<int>)), (a, x) -> named_struct('at', locate(x, text, a.at) + length(x), 'out', concat(a.out, array(locate(x, text, a.at) - 1))), a -> a.out)"
-    s = s.withColumn("places", F.expr(places)).withColumn("spans", packed("sizes", target, drop_tail))
-    c = s.select("setid", "drug", "sec_ord", "loinc", "section", "s", "sizes", "places", F.posexplode("spans").alias("nth", "x"))
-    c = c.select(
-        "setid", "drug", "sec_ord", "loinc", "section", "nth",
-        F.expr("array_join(slice(s, x.a + 1, x.b - x.a + 1), ' ')").alias("text"),
-        F.struct(F.expr("places[x.a]").alias("start"), F.expr("places[x.b] + sizes[x.b]").alias("end")).alias("char_span"),
-    )
-    number = F.row_number().over(Window.partitionBy("setid", "loinc").orderBy("sec_ord", "nth"))
+    s = sections.select(*[F.col(c).cast("string") for c in ("setid", "drug", "loinc", "section")], F.col("sec_ord").cast("int").alias("sec_ord"), F.trim("text").alias("text")).where("text <> ''")
+    s = s.repartition(spread, "setid").sortWithinPartitions("setid", "sec_ord").withColumn("s", T.sentences("text", K.CHUNK_SENTENCE))
+    out = StructType.fromDDL("setid string, drug string, sec_ord int, loinc string, section string, nth int, number long, text string, start int, end int")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, here, numbers = to_arrow_schema(out), None, {}
+        for b in batches:
+            rows, texts, starts, ends = [], [], [], []
+            ids, codes = b.column("setid").to_pylist(), b.column("loinc").to_pylist()
+            for row, (setid, code, text, pieces) in enumerate(zip(ids, codes, b.column("text").to_pylist(), b.column("s").to_pylist(), strict=True)):
+                if setid != here:
+                    here, numbers = setid, {}
+                places, at = [], 0
+                for piece in pieces:
+                    places.append(text.find(piece, at))
+                    at = places[-1] + len(piece)
+                for nth, (first, last) in enumerate(packed([len(x) for x in pieces], target, drop_tail)):
+                    numbers[code] = numbers.get(code, 0) + 1
+                    rows.append((row, nth, numbers[code]))
+                    texts.append(" ".join(pieces[first : last + 1]))
+                    starts.append(places[first])
+                    ends.append(places[last] + len(pieces[last]))
+            row, nth, number = zip(*rows, strict=True) if rows else ((), (), ())
+            own = b.select(["setid", "drug", "sec_ord", "loinc", "section"]).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, f.type) for x, f in zip((nth, number, texts, starts, ends), list(schema)[5:], strict=True))], schema=schema)
+
+    c = s.select("setid", "drug", "sec_ord", "loinc", "section", "text", "s").mapInArrow(cut, out)
     return c.select(
         F.format_string("%s#%08d#%08d", "setid", "sec_ord", "nth").alias("chunk_key"),
-        F.concat_ws("#", "setid", "loinc", number.cast("string")).alias("chunk_id"),
-        F.col("setid").alias("doc_id"), "loinc", "section", "drug", "text", "char_span",
+        F.concat_ws("#", "setid", "loinc", F.col("number").cast("string")).alias("chunk_id"),
+        F.col("setid").alias("doc_id"), "loinc", "section", "drug", "text", F.struct("start", "end").alias("char_span"),
         F.concat("drug", F.lit(" / "), "section").alias("heading_path"),
         F.substring(F.sha1("text"), 1, 12).alias("content_hash"),
     )

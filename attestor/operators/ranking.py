@@ -6,10 +6,15 @@ ranked, so that equal scores stay equal in whatever order they were added up.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
@@ -44,12 +49,23 @@ def ranked(scores: DataFrame, score: str, k: int | None = None, name: str = "ran
     return out if k is None else out.where(F.col(name) <= k)
 
 
+#: Bins of scores in which an order statistic is looked for first.
+BINS = 1024
+
+
 def lexical_confidence(scores: DataFrame) -> DataFrame:
-    """qid, confidence: how far the top score stands above the one a tenth down the list; 0 for fewer than 5 scores."""
-    r = ranked(scores, "bm25").withColumn("n", F.count("*").over(Window.partitionBy("qid")))
-    out = r.groupBy("qid").agg(F.max("bm25").alias("top"), F.max(F.when(F.col("rank") == F.floor(F.col("n") / 10) + 1, F.col("bm25"))).alias("tenth"), F.max("n").alias("n"))
-    value = F.when(F.col("n") < 5, 0.0).otherwise(F.greatest(F.lit(0.0), (F.col("top") - F.col("tenth")) / F.col("top")))
-    return out.select("qid", F.round(value, 9).alias("confidence"))
+    """qid, confidence: how far the top score stands above the one a tenth down the list; 0 for fewer than 5 scores.
+
+    The score a tenth down is found without ranking the list: counts of BINS bins of each question tell its bin, and
+    only that bin is ranked."""
+    top = scores.groupBy("qid").agg(F.max("bm25").alias("top"), F.count("*").alias("n"))
+    x = scores.select("qid", "bm25").join(top.where("n >= 5"), "qid").withColumn("bin", F.floor((1 - F.col("bm25") / F.col("top")) * BINS))
+    bins = x.groupBy("qid", "bin").agg(F.count("*").alias("here"), F.max("n").alias("n"))
+    bins = bins.withColumn("upto", F.sum("here").over(Window.partitionBy("qid").orderBy("bin"))).withColumn("nth", F.floor(F.col("n") / 10) + 1 - F.col("upto") + F.col("here"))
+    own = x.join(bins.where("nth between 1 and here").select("qid", "bin", "nth"), ["qid", "bin"])
+    tenth = own.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bm25")))).where("place = nth").select("qid", F.col("bm25").alias("tenth"))
+    value = F.coalesce(F.greatest(F.lit(0.0), (F.col("top") - F.col("tenth")) / F.col("top")), F.lit(0.0))
+    return top.join(tenth, "qid", "left").select("qid", F.round(value, 9).alias("confidence"))
 
 
 def boosted(scores: DataFrame, chunks: DataFrame, located: DataFrame, factor: float = K.SECTION_BOOST) -> DataFrame:
@@ -63,9 +79,62 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """queries: qid, vector; vectors: chunk_key, vector; both of unit length. A stated query set against all vectors."""
-    return queries.select("qid", F.col("vector").alias("q")).join(vectors.select("chunk_key", F.col("vector").alias("v"))).select("qid", "chunk_key", F.round(cosine(F.col("q"), F.col("v")), 9).alias("dense"))
+#: Bytes of query vectors that go to all tasks at once; more queries go in more passes over the vectors.
+QUERY_BYTES = 16 << 20
+
+
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """qid, chunk_key, dense, rank: the k vectors of highest inner product for each query, never the one of its own key.
+
+    queries: qid, vector and, if a query is a row of vectors itself, own (its chunk_key); vectors: chunk_key, vector and, to
+    have the best k of each of a few parts, part; all of one length, unit length for cosines. A stated query set against all
+    vectors: queries are taken in blocks of bounded bytes, each task multiplies its batches with a block and keeps its best k."""
+    spark, out = queries.sparkSession, StructType.fromDDL("at int, part string, chunk_key string, dense double")
+    own = F.col("own") if "own" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("qid", own.alias("own"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
+    n, dim = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n * (dim or 1) * 8 // query_bytes))
+    found = spark.createDataFrame([], StructType([asked.schema["qid"], *out.fields[1:]]))
+    part = F.col("part").cast("string") if "part" in vectors.columns else F.lit("")
+    rows = vectors.where("vector is not null").select(F.col("chunk_key").cast("string").alias("chunk_key"), F.coalesce(part, F.lit("")).alias("part"), F.col("vector").cast("array<double>").alias("vector"))
+    for block in range(blocks):
+        asks = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).orderBy("qid").collect()
+        if not asks:
+            continue
+        q, mine = np.array([r["v"] for r in asks]), {}
+        for at, r in enumerate(asks):
+            mine.setdefault(r["own"], []).append(at)
+
+        def best(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, mine: dict = mine) -> Iterator[pa.RecordBatch]:
+            held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            for b in batches:
+                parts = np.array(b.column("part").to_pylist(), object)
+                for name in dict.fromkeys(parts):
+                    own = b.filter(pa.array(parts == name))
+                    for start in range(0, own.num_rows, 1024):
+                        x = own.slice(start, 1024)
+                        keys = np.array(x.column("chunk_key").to_pylist())
+                        new = np.round(q @ x.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1).T, 9)
+                        for at, key in enumerate(keys.tolist()):
+                            new[mine.get(key, []), at] = -np.inf
+                        score, key = held.get(name, (np.empty((len(q), 0)), np.empty((len(q), 0), keys.dtype)))
+                        score, key = np.concatenate([score, new], 1), np.concatenate([key, np.broadcast_to(keys, new.shape)], 1)
+                        order = np.lexsort((key, -score), axis=1)[:, :k]
+                        held[name] = np.take_along_axis(score, order, 1), np.take_along_axis(key, order, 1)
+            for name, (score, key) in held.items():
+                at, col = np.nonzero(score > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([name] * len(at), pa.string()), pa.array(key[at, col].tolist(), pa.string()), pa.array(score[at, col], pa.float64())], schema=to_arrow_schema(out))
+
+        names = F.broadcast(spark.createDataFrame([(at, r["qid"]) for at, r in enumerate(asks)], StructType([out["at"], asked.schema["qid"]])))
+        found = found.union(rows.mapInArrow(best, out).join(names, "at").select("qid", "part", "chunk_key", "dense"))
+    order = F.row_number().over(Window.partitionBy("qid", "part").orderBy(F.desc("dense"), "chunk_key"))
+    return found.withColumn("rank", order).where(F.col("rank") <= k).select("qid", "chunk_key", "dense", "rank")
+
+
+def dense_pairs(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pairs (qid, chunk_key) with dense, the inner product of their vectors."""
+    both = pairs.select("qid", "chunk_key").join(queries.select("qid", F.col("vector").alias("q")), "qid").join(vectors.select("chunk_key", F.col("vector").alias("v")), "chunk_key")
+    return both.select("qid", "chunk_key", F.round(cosine(F.col("q"), F.col("v")), 9).alias("dense"))
 
 
 def dense_gate(scores: DataFrame, gate: float = K.DENSE_GATE) -> DataFrame:
@@ -73,23 +142,38 @@ def dense_gate(scores: DataFrame, gate: float = K.DENSE_GATE) -> DataFrame:
     return scores.groupBy("qid").agg(F.max("dense").alias("top")).withColumn("passes", F.col("top") >= gate)
 
 
-def section_candidates(chunks: DataFrame, located: DataFrame, bm25: DataFrame, dense: DataFrame | None = None) -> DataFrame:
+@dataclass
+class Dense:
+    """The dense side of a request set: its best RRF_CUT chunks (dense_top), and the vectors of both sides for pairs that are scored besides."""
+
+    top: DataFrame
+    queries: DataFrame
+    vectors: DataFrame
+
+
+def section_candidates(chunks: DataFrame, located: DataFrame, bm25: DataFrame, dense: Dense | None = None) -> DataFrame:
     """Chunks of the first named label in located sections, zero scores included; ranked by dense, lexical, corpus order."""
     c = located.where(F.size("loincs") > 0).select("qid", F.col("drug").alias("named"), "loincs").join(chunks.select("chunk_key", "drug", "loinc"), F.expr("drug = named and array_contains(loincs, loinc)"))
-    c = c.select("qid", "chunk_key").join(bm25, ["qid", "chunk_key"], "left")
-    c = c.join(dense, ["qid", "chunk_key"], "left") if dense is not None else c.withColumn("dense", F.lit(0.0))
-    order = Window.partitionBy("qid").orderBy(F.desc(F.coalesce("dense", F.lit(0.0))), F.desc(F.coalesce("bm25", F.lit(0.0))), "chunk_key")
-    return c.select("qid", "chunk_key", F.row_number().over(order).alias("rank"))
+    return _by_relevance(c.select("qid", "chunk_key"), bm25, dense, [], None).select("qid", "chunk_key", "rank")
 
 
-def fuse(sections: DataFrame, bm25: DataFrame, confidence: DataFrame, dense: DataFrame | None = None) -> DataFrame:
+def _by_relevance(pairs: DataFrame, bm25: DataFrame, dense: Dense | None, first: list[str], k: int | None) -> DataFrame:
+    """Adds rank: by the columns of first, dense score, lexical score, corpus order; what has no score has 0."""
+    c = pairs.join(bm25, ["qid", "chunk_key"], "left")
+    c = c.join(dense_pairs(pairs, dense.queries, dense.vectors), ["qid", "chunk_key"], "left") if dense is not None else c.withColumn("dense", F.lit(0.0))
+    order = Window.partitionBy("qid").orderBy(*first, F.desc(F.coalesce("dense", F.lit(0.0))), F.desc(F.coalesce("bm25", F.lit(0.0))), "chunk_key")
+    out = c.withColumn("rank", F.row_number().over(order))
+    return out if k is None else out.where(F.col("rank") <= k)
+
+
+def fuse(sections: DataFrame, bm25: DataFrame, confidence: DataFrame, dense: Dense | None = None) -> DataFrame:
     """Weighted reciprocal ranks. The lexical list weighs its confidence (none: it is left out), the dense list counts
     where its gate passes; both are cut at RRF_CUT, the section list is not. qid, chunk_key, rrf, rank."""
     lists = [sections.select("qid", "chunk_key", "rank", F.lit(K.RRF_SECTION).alias("w"))]
     lexical = ranked(bm25, "bm25", K.RRF_CUT).join(confidence.where("confidence > 0"), "qid")
     lists.append(lexical.select("qid", "chunk_key", "rank", F.col("confidence").alias("w")))
     if dense is not None:
-        open_ = ranked(dense, "dense", K.RRF_CUT).join(dense_gate(dense).where("passes").select("qid"), "qid")
+        open_ = dense.top.where(F.col("rank") <= K.RRF_CUT).join(dense_gate(dense.top).where("passes").select("qid"), "qid")
         lists.append(open_.select("qid", "chunk_key", "rank", F.lit(K.RRF_DENSE).alias("w")))
     both = lists[0]
     for more in lists[1:]:
@@ -113,14 +197,27 @@ def constrained_rerank(fused: DataFrame, chunks: DataFrame, located: DataFrame,
     return p.select("qid", "chunk_key", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
-def soft_restrict(chunks: DataFrame, asked: DataFrame, bm25: DataFrame, dense: DataFrame | None = None, k: int | None = None) -> DataFrame:
-    """asked: qid, drugs, loincs. The label is a filter (none: all), sections are a tier; zero scores stay. qid, chunk_key, tier, rank."""
-    c = asked.select("qid", "drugs", "loincs").join(chunks.select("chunk_key", "drug", "loinc"), F.expr("size(drugs) = 0 or array_contains(transform(drugs, d -> lower(d)), lower(drug))"))
-    c = c.withColumn("tier", F.when(F.array_contains("loincs", F.col("loinc")), 0).otherwise(1)).select("qid", "chunk_key", "tier").join(bm25, ["qid", "chunk_key"], "left")
-    c = c.join(dense, ["qid", "chunk_key"], "left") if dense is not None else c.withColumn("dense", F.lit(0.0))
-    order = Window.partitionBy("qid").orderBy("tier", F.desc(F.coalesce("dense", F.lit(0.0))), F.desc(F.coalesce("bm25", F.lit(0.0))), "chunk_key")
-    out = c.select("qid", "chunk_key", "tier", F.row_number().over(order).alias("rank"))
-    return out if k is None else out.where(F.col("rank") <= k)
+def soft_restrict(chunks: DataFrame, asked: DataFrame, bm25: DataFrame, dense: Dense | None = None, k: int = 5) -> DataFrame:
+    """asked: qid, drugs, loincs. The label is a filter (none: all), sections are a tier; zero scores stay. qid, chunk_key, tier, rank (the first k).
+
+    What can be among the first k has a score, or is one of the first k of its label and section in corpus order: these are
+    a few rows for each label, so neither the requests nor the chunks are paired with all of the others."""
+    c = chunks.select("chunk_key", F.lower("drug").alias("low"), "loinc")
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("chunk_key"))
+    heads = c.withColumn("n", place("low", "loinc")).where(F.col("n") <= k)
+    every = heads.withColumn("n", place("loinc")).where(F.col("n") <= k).groupBy().agg(F.collect_list(F.struct("chunk_key", "loinc")).alias("heads"))  # k rows for each section code
+    a = asked.select("qid", "loincs", F.transform("drugs", F.lower).alias("drugs"))
+    named, free = a.where(F.size("drugs") > 0).withColumn("low", F.explode(F.array_distinct("drugs"))).drop("drugs"), a.where(F.size("drugs") == 0).drop("drugs")
+    scored = bm25.select("qid", "chunk_key").join(c, "chunk_key")
+    if dense is None:
+        by_label = named.join(heads, "low").select("qid", "loincs", "chunk_key", "loinc").union(named.join(scored, ["qid", "low"]).select("qid", "loincs", "chunk_key", "loinc"))
+    else:  # a dense score may lift any chunk of the label, and any of a section
+        by_label = named.join(c, "low").select("qid", "loincs", "chunk_key", "loinc")
+        tops = dense_top(dense.queries.join(free.select("qid"), "qid", "left_semi"), dense.vectors.join(c.select("chunk_key", F.col("loinc").alias("part")), "chunk_key"), k)
+        scored = scored.union(tops.select("qid", "chunk_key").join(c, "chunk_key"))
+    by_all = free.join(F.broadcast(every)).select("qid", "loincs", F.explode("heads").alias("h")).select("qid", "loincs", "h.chunk_key", "h.loinc").union(free.join(scored, "qid").select("qid", "loincs", "chunk_key", "loinc"))
+    pairs = by_label.union(by_all).withColumn("tier", F.when(F.array_contains("loincs", F.col("loinc")), 0).otherwise(1)).select("qid", "chunk_key", "tier").distinct()
+    return _by_relevance(pairs, bm25, dense, ["tier"], k).select("qid", "chunk_key", "tier", "rank")
 
 
 def hard_restrict(bm25: DataFrame, chunks: DataFrame, asked: DataFrame, k: int, after: bool = False) -> DataFrame:
@@ -163,3 +260,12 @@ lists as (select qid, chunk_key, rank, {K.RRF_SECTION}::double as w from sect
   union all select qid, chunk_key, rank, confidence from lexical join confidence using (qid) where rank <= {K.RRF_CUT} and confidence > 0),
 rrf as (select qid, chunk_key, round(sum(w / ({K.RRF_K} + rank)), 9) as rrf from lists group by all),
 fused as (select *, row_number() over (partition by qid order by rrf desc, chunk_key) as rank from rrf)"""
+#: The same with the dense list, after a CTE dense.
+FUSED_DENSE_SQL = f"""sect as (select l.qid, c.chunk_key, row_number() over (partition by l.qid order by coalesce(d.dense, 0) desc, coalesce(b.bm25, 0) desc, c.chunk_key) as rank
+  from located l join chunks c on c.drug = l.drug and list_contains(l.loincs, c.loinc) left join bm25 b on b.qid = l.qid and b.chunk_key = c.chunk_key left join dense d on d.qid = l.qid and d.chunk_key = c.chunk_key),
+near as (select * from (select *, row_number() over (partition by qid order by dense desc, chunk_key) as rank, max(dense) over (partition by qid) as top from dense) where rank <= {K.RRF_CUT} and top >= {K.DENSE_GATE}),
+lists as (select qid, chunk_key, rank, {K.RRF_SECTION}::double as w from sect
+  union all select qid, chunk_key, rank, confidence from lexical join confidence using (qid) where rank <= {K.RRF_CUT} and confidence > 0
+  union all select qid, chunk_key, rank, {K.RRF_DENSE}::double from near),
+rrf as (select qid, chunk_key, round(sum(w / ({K.RRF_K} + rank)), 9) as rrf from lists group by all),
+fused as (select *, row_number() over (partition by qid order by rrf desc, chunk_key) as rank from rrf)"""

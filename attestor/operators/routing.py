@@ -25,10 +25,20 @@ def label_codes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("drug").agg(F.array_sort(F.collect_set("loinc")).alias("codes"))
 
 
+#: Names are looked up by so many of their first letters before the whole name is compared.
+KEY = 6
+
+
 def named(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """qid, drug, pos: every name that the lower-case question holds as a substring, with its place."""
+    """qid, drug, pos (and what else names holds): every name that the lower-case question holds as a substring, with its place.
+
+    An equi-join of the questions' runs of letters with the names' first KEY letters (a shorter name: all of it), so the dictionary may be of any size."""
+    sizes = [r[0] for r in names.select(F.least(F.length("drug"), F.lit(KEY)).alias("n")).distinct().collect() if r[0]]
     low = questions.select("qid", F.lower("question").alias("low"))
-    return low.join(names.select("drug", *[c for c in names.columns if c != "drug"]), F.expr("instr(low, drug) > 0")).withColumn("pos", F.expr("instr(low, drug)")).drop("low")
+    runs = [f"case when length(low) >= {n} then transform(sequence(1, length(low) - {n - 1}), i -> substring(low, i, {n})) else cast(array() as array<string>) end" for n in sorted(sizes)]
+    keyed = low.select("qid", "low", F.explode(F.expr(f"array_distinct(concat({', '.join(runs) or 'cast(array() as array<string>)'}))")).alias("key"))
+    found = keyed.join(names.withColumn("key", F.left("drug", F.lit(KEY))), "key").withColumn("pos", F.instr("low", F.col("drug"))).where("pos > 0")
+    return found.drop("low", "key")
 
 
 def locate(questions: DataFrame, labels: DataFrame) -> DataFrame:

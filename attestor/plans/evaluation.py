@@ -15,7 +15,7 @@ from attestor.streaming import events
 
 
 def _labels(spark, sf_dir):
-    return routing.label_codes(Corpus(spark, sf_dir).chunks)
+    return routing.label_codes(Corpus(spark, sf_dir).plan)
 
 
 def _set(spark, sf_dir):
@@ -85,7 +85,7 @@ def corpus_growth(spark, sf_dir):
 
 
 def corpus_fingerprint(spark, sf_dir):
-    return source.fingerprint(Corpus(spark, sf_dir).chunks)
+    return source.fingerprint(Corpus(spark, sf_dir).plan)
 
 
 def cache_split(spark, sf_dir):

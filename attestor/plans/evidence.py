@@ -129,7 +129,7 @@ def linear_pipeline(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     subs = c.questions.select("qid", F.lit(1).alias("sub"), "question").union(table(spark, sf_dir, "benchmark").select("item_id", F.lit(2), "text"))
     asked = subs.select(F.concat_ws("/", "qid", "sub").alias("qid"), "question")
-    hits = ranking.ranked(ranking.bm25_scores(asked, ranking.bm25_index(c.chunks)), "bm25", 5).join(c.chunks.select("chunk_key", "doc_id", "loinc"), "chunk_key")
+    hits = ranking.ranked(ranking.bm25_scores(asked, c.index), "bm25", 5).join(c.chunks.select("chunk_key", "doc_id", "loinc"), "chunk_key")
     h = hits.select(F.substring_index("qid", "/", 1).cast("long").alias("run_id"), F.substring_index("qid", "/", -1).cast("int").alias("sub"), F.concat("doc_id", F.lit("#"), "loinc").alias("cite_key"), "rank")
     return ledger.linear_pipeline(h)
 
@@ -142,7 +142,7 @@ def _names(spark, sf_dir):
 
 
 def consistency_sides(spark, sf_dir):
-    return consistency.sides(consistency.audit_sentences(Corpus(spark, sf_dir).chunks), _names(spark, sf_dir), FIXTURE_WARNING)
+    return consistency.sides(consistency.audit_sentences(Corpus(spark, sf_dir).plan), _names(spark, sf_dir), FIXTURE_WARNING)
 
 
 def consistency_pairs(spark, sf_dir):

@@ -2,39 +2,68 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
 from attestor.operators import chunking, ranking, routing
-from attestor.sources.fixtures import QUESTIONS_SQL, SECTIONS_SQL, questions, sections, table
+from attestor.sources.fixtures import QUESTIONS_SQL, SECTIONS_SQL, encoded, encoded_sql, questions, sections, table
+from attestor.sources.scratch import Workspace
 
 CHUNKS = f"with recursive {SECTIONS_SQL}, {chunking.CHUNKS_SQL}"
 ASKED = f"{CHUNKS}, {QUESTIONS_SQL}"
 LOCATED = f"{ASKED}, {routing.LOCATED_SQL}"
 SCORED = f"{ASKED}, {ranking.BM25_SQL}"
+#: CTE dense, after questions and chunks.
+DENSE = f"""qv as materialized (select qid, {encoded_sql('question')} as v from questions), cv as materialized (select chunk_key, {encoded_sql('text')} as v from chunks),
+dense as (select qid, chunk_key, round(list_sum(list_transform(list_zip(qv.v, cv.v), lambda z: z[1] * z[2])), 9) as dense from qv, cv where qv.v is not null and cv.v is not null)"""
 FUSED = f"{LOCATED}, {ranking.BM25_SQL}, {ranking.FUSED_SQL}"
 
 
 class Corpus:
-    """Frames that the queries share."""
+    """Frames that the queries share. Chunks, postings, scores and vectors are written once, when a query first asks for them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.chunks = chunking.build_chunks(sections(spark, sf_dir))
+        self.spark, self.sf_dir = spark, sf_dir
         self.questions = questions(spark, sf_dir)
 
-    @property
+    @cached_property
+    def work(self) -> Workspace:
+        return Workspace(self.spark, "corpus")
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        """The chunks, for queries that read them once."""
+        return chunking.build_chunks(sections(self.spark, self.sf_dir))
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return self.work.keep(self.plan)
+
+    @cached_property
+    def index(self) -> ranking.Bm25Index:
+        return ranking.Bm25Index(self.work.keep(ranking.bm25_index(self.chunks).postings))
+
+    @cached_property
     def bm25(self) -> DataFrame:
-        return ranking.bm25_scores(self.questions, ranking.bm25_index(self.chunks))
+        return self.work.keep(ranking.bm25_scores(self.questions, self.index))
 
-    @property
+    @cached_property
     def located(self) -> DataFrame:
-        return routing.locate(self.questions, routing.label_codes(self.chunks))
+        return self.work.keep(routing.locate(self.questions, routing.label_codes(self.chunks)))
+
+    @cached_property
+    def dense(self) -> ranking.Dense:
+        vectors = self.work.keep(encoded(self.chunks.select("chunk_key", "text"), "text").select("chunk_key", "vector"))
+        asked = self.work.keep(encoded(self.questions, "question").select("qid", "vector"))
+        return ranking.Dense(self.work.keep(ranking.dense_top(asked, vectors, K.RRF_CUT)), asked, vectors)
 
-    def fused(self) -> DataFrame:
-        bm25 = self.bm25
-        return ranking.fuse(ranking.section_candidates(self.chunks, self.located, bm25), bm25, ranking.lexical_confidence(bm25))
+    def fused(self, dense: bool = False) -> DataFrame:
+        side = self.dense if dense else None
+        return ranking.fuse(ranking.section_candidates(self.chunks, self.located, self.bm25, side), self.bm25, ranking.lexical_confidence(self.bm25), side)
 
 
 def text_tokens(spark, sf_dir):
@@ -48,11 +77,11 @@ def text_sentences(spark, sf_dir):
 
 
 def chunks(spark, sf_dir):
-    return Corpus(spark, sf_dir).chunks.select("chunk_id", "chunk_key", "doc_id", "loinc", "section", "drug", "content_hash", "heading_path", F.length("text").cast("long").alias("n_chars"))
+    return Corpus(spark, sf_dir).plan.select("chunk_id", "chunk_key", "doc_id", "loinc", "section", "drug", "content_hash", "heading_path", F.length("text").cast("long").alias("n_chars"))
 
 
 def chunk_spans(spark, sf_dir):
-    c = Corpus(spark, sf_dir).chunks
+    c = Corpus(spark, sf_dir).plan
     s = sections(spark, sf_dir).select(F.format_string("%s#%08d", "setid", "sec_ord").alias("sec"), F.col("text").alias("whole"))
     x = c.withColumn("sec", F.substring_index("chunk_key", "#", 2)).join(s, "sec")
     inside = F.expr("regexp_replace(substring(whole, char_span.start + 1, char_span.end - char_span.start), '\\\\s+', ' ') = regexp_replace(text, '\\\\s+', ' ')")
@@ -66,11 +95,11 @@ def chunk_verify(spark, sf_dir):
 
 
 def chunk_health(spark, sf_dir):
-    return chunking.health(Corpus(spark, sf_dir).chunks)
+    return chunking.health(Corpus(spark, sf_dir).plan)
 
 
 def corpus_keys(spark, sf_dir):
-    return Corpus(spark, sf_dir).chunks.select("doc_id", "drug", F.concat("doc_id", F.lit("#"), "loinc").alias("cite_key")).distinct()
+    return Corpus(spark, sf_dir).plan.select("doc_id", "drug", F.concat("doc_id", F.lit("#"), "loinc").alias("cite_key")).distinct()
 
 
 def bm25_search(spark, sf_dir):
@@ -82,7 +111,7 @@ def bm25_all(spark, sf_dir):
 
 
 def bm25_index(spark, sf_dir):
-    p = ranking.bm25_index(Corpus(spark, sf_dir).chunks).postings
+    p = ranking.bm25_index(Corpus(spark, sf_dir).plan).postings
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.round(F.max("idf"), 9).alias("idf"))
 
 
@@ -102,7 +131,7 @@ def restrict_before(spark, sf_dir):
 
 def restrict_after(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    return ranking.hard_restrict(c.bm25, c.chunks, c.located, 5, after=True)
+    return ranking.hard_restrict(c.bm25, c.chunks, c.located, 100, after=True)
 
 
 def section_candidates(spark, sf_dir):
@@ -114,22 +143,32 @@ def fusion(spark, sf_dir):
     return Corpus(spark, sf_dir).fused().where("rank <= 20")
 
 
+def fusion_dense(spark, sf_dir):
+    """All three lists; the vectors are a stand-in for an encoder's."""
+    return Corpus(spark, sf_dir).fused(dense=True).where("rank <= 20")
+
+
 def soft_restrict(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     return ranking.soft_restrict(c.chunks, c.located.where("size(loincs) > 0"), c.bm25, k=5)
 
 
+def soft_restrict_dense(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return ranking.soft_restrict(c.chunks, c.located.where("size(loincs) > 0"), c.bm25, c.dense, k=5)
+
+
 def rerank(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    words = c.questions.select("qid", T.content_words("question").alias("q"))
-    scorer = c.fused().where(F.col("rank") <= K.RERANK_POOL).select("qid", "chunk_key").join(words, "qid").join(c.chunks.select("chunk_key", T.content_words("text").alias("t")), "chunk_key")
+    words, fused = c.questions.select("qid", T.content_words("question").alias("q")), c.work.keep(c.fused())
+    scorer = fused.where(F.col("rank") <= K.RERANK_POOL).select("qid", "chunk_key").join(words, "qid").join(c.chunks.select("chunk_key", T.content_words("text").alias("t")), "chunk_key")
     scorer = scorer.select("qid", "chunk_key", F.size(F.array_intersect("q", "t")).cast("double").alias("relevance"))
-    return ranking.constrained_rerank(c.fused(), c.chunks, c.located, scorer, 5)
+    return ranking.constrained_rerank(fused, c.chunks, c.located, scorer, 5)
 
 
 def keyword_search(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    keyed = c.chunks.select("chunk_key", "section", F.slice(T.tokens("text"), 1, 8).alias("keywords"))
+    keyed = c.chunks.select("chunk_key", "section", T.tokens("text").alias("keywords"))
     return ranking.ranked(ranking.keyword_scores(c.questions, keyed), "score", 10)
 
 
@@ -144,19 +183,18 @@ def retrieval_metrics(spark, sf_dir):
     return ranking.recall_mrr(found, gold)
 
 
+def _vectors(spark, sf_dir):
+    """Queries are the rows whose id is divisible by 50, candidates all others."""
+    v = table(spark, sf_dir, "embeddings").select(F.format_string("%010d", "vec_id").alias("chunk_key"), F.col("embedding").alias("vector"), "vec_id")
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("chunk_key").alias("own"), "vector"), v.drop("vec_id")
+
+
 def dense_search(spark, sf_dir):
-    """The first 20 vectors as queries against the others."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    d = v.where("vec_id >= 20").select(F.format_string("%010d", "vec_id").alias("chunk_key"), F.col("embedding").alias("vector"))
-    return ranking.ranked(ranking.dense_scores(q, d).withColumn("dense", F.round("dense", 5)), "dense", 10)
+    return ranking.dense_top(*_vectors(spark, sf_dir), 10)
 
 
 def dense_gate(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    d = v.where("vec_id >= 20").select(F.format_string("%010d", "vec_id").alias("chunk_key"), F.col("embedding").alias("vector"))
-    return ranking.dense_gate(ranking.dense_scores(q, d)).select("qid", F.round("top", 4).alias("top"), "passes")
+    return ranking.dense_gate(ranking.dense_top(*_vectors(spark, sf_dir), 1)).select("qid", F.round("top", 4).alias("top"), "passes")
 
 
 def locate(spark, sf_dir):
@@ -177,10 +215,10 @@ def fusion_trace(spark, sf_dir):
     return c.questions.select("qid").join(sect, "qid", "left").join(lex, "qid", "left").join(ranking.lexical_confidence(c.bm25), "qid", "left").fillna(0, ["n_section", "n_lexical"]).fillna(0.0, ["confidence"])
 
 
-QUERIES = {f.__name__: f for f in (text_tokens, text_sentences, chunks, chunk_spans, chunk_verify, chunk_health, corpus_keys, bm25_index, bm25_search, bm25_all, lexical_confidence, section_boost, restrict_before, restrict_after, section_candidates, fusion, soft_restrict, rerank, keyword_search, retrieval_metrics, dense_search, dense_gate, locate, locator_accuracy, fusion_trace)}
+QUERIES = {f.__name__: f for f in (text_tokens, text_sentences, chunks, chunk_spans, chunk_verify, chunk_health, corpus_keys, bm25_index, bm25_search, bm25_all, lexical_confidence, section_boost, restrict_before, restrict_after, section_candidates, fusion, fusion_dense, soft_restrict, soft_restrict_dense, rerank, keyword_search, retrieval_metrics, dense_search, dense_gate, locate, locator_accuracy, fusion_trace)}
 
 _DOT = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::double * z[2]::double))"
-_DENSE = f"with s as (select q.vec_id as qid, printf('%010d', d.vec_id) as chunk_key, {_DOT} as x from embeddings q, embeddings d where q.vec_id < 20 and d.vec_id >= 20)"
+_DENSE = f"with s as (select q.vec_id as qid, printf('%010d', d.vec_id) as chunk_key, {_DOT} as x from embeddings q, embeddings d where q.vec_id % 50 = 0 and d.vec_id <> q.vec_id)"
 _FRAME_CODES = "[" + ", ".join("['" + "', '".join(K.INTENT_CODES[i]) + "']" for i, g in K.TEMPLATES.items() for _ in g) + "]"
 _N = sum(map(len, K.TEMPLATES.values()))
 
@@ -198,19 +236,21 @@ ORACLE_SQL = {
     "lexical_confidence": f"{SCORED} select * from confidence",
     "section_boost": f"{LOCATED}, {ranking.BM25_SQL}, b as (select qid, chunk_key, round(bm25 * case when c.drug = l.drug and list_contains(loincs, loinc) then {K.SECTION_BOOST} else 1.0 end, 9) as boosted from bm25 join chunks c using (chunk_key) join located l using (qid)) select * from (select *, row_number() over (partition by qid order by boosted desc, chunk_key) as rank from b) where rank <= 10",
     "restrict_before": f"{LOCATED}, {ranking.BM25_SQL} select * from (select qid, chunk_key, bm25, row_number() over (partition by qid order by bm25 desc, chunk_key) as rank from bm25 join chunks c using (chunk_key) join located l using (qid) where (l.drug is null or c.drug = l.drug) and (len(loincs) = 0 or list_contains(loincs, loinc))) where rank <= 5",
-    "restrict_after": f"{LOCATED}, {ranking.BM25_SQL} select qid, chunk_key, bm25, rank from lexical join chunks c using (chunk_key) join located l using (qid) where rank <= 5 and (l.drug is null or c.drug = l.drug) and (len(loincs) = 0 or list_contains(loincs, loinc))",
+    "restrict_after": f"{LOCATED}, {ranking.BM25_SQL} select qid, chunk_key, bm25, rank from lexical join chunks c using (chunk_key) join located l using (qid) where rank <= 100 and (l.drug is null or c.drug = l.drug) and (len(loincs) = 0 or list_contains(loincs, loinc))",
     "section_candidates": f"{FUSED} select * from sect",
     "fusion": f"{FUSED} select * from fused where rank <= 20",
     "soft_restrict": f"{LOCATED}, {ranking.BM25_SQL}, r as (select l.qid, c.chunk_key, case when list_contains(loincs, loinc) then 0 else 1 end as tier, b.bm25 from located l join chunks c on len(l.drugs) = 0 or list_contains(l.drugs, c.drug) left join bm25 b on b.qid = l.qid and b.chunk_key = c.chunk_key where len(loincs) > 0) select * from (select qid, chunk_key, tier, row_number() over (partition by qid order by tier, coalesce(bm25, 0) desc, chunk_key) as rank from r) where rank <= 5",
+    "fusion_dense": f"{LOCATED}, {ranking.BM25_SQL}, {DENSE}, {ranking.FUSED_DENSE_SQL} select * from fused where rank <= 20",
+    "soft_restrict_dense": f"{LOCATED}, {ranking.BM25_SQL}, {DENSE}, r as (select l.qid, c.chunk_key, case when list_contains(loincs, loinc) then 0 else 1 end as tier, b.bm25, d.dense from located l join chunks c on len(l.drugs) = 0 or list_contains(l.drugs, c.drug) left join bm25 b on b.qid = l.qid and b.chunk_key = c.chunk_key left join dense d on d.qid = l.qid and d.chunk_key = c.chunk_key where len(loincs) > 0) select * from (select qid, chunk_key, tier, row_number() over (partition by qid order by tier, coalesce(dense, 0) desc, coalesce(bm25, 0) desc, chunk_key) as rank from r) where rank <= 5",
     "rerank": f"""{FUSED}, pool as (select f.qid, f.chunk_key, f.rank, case when l.drug is null then true when len(loincs) > 0 then c.drug = l.drug and list_contains(loincs, c.loinc) else c.drug = l.drug end as allowed,
         len(list_intersect({T.content_words_sql('l.question')}, {T.content_words_sql('c.text')})) as relevance from fused f join chunks c using (chunk_key) join located l using (qid) where rank <= {K.RERANK_POOL}),
         headed as (select *, count(*) filter (allowed) over (partition by qid) as heads from pool)
         select * from (select qid, chunk_key, row_number() over (partition by qid order by case when allowed and heads > 1 then 0 else 1 end, case when allowed and heads > 1 then relevance else 0 end desc, rank) as rank from headed) where rank <= 5""",
-    "keyword_search": f"{ASKED}, q as (select qid, unnest(list_distinct({T.tokens_sql('question')})) as term from questions), k as (select chunk_key, section, unnest(list_distinct(({T.tokens_sql('text')})[1:8])) as term from chunks), h as (select qid, chunk_key, count(*) as score, case when section = 'Contraindications' then 0.9 else 0.8 end as authority from q join k using (term) group by qid, chunk_key, section) select * from (select *, row_number() over (partition by qid order by score desc, chunk_key) as rank from h) where rank <= 10",
+    "keyword_search": f"{ASKED}, q as (select qid, unnest(list_distinct({T.tokens_sql('question')})) as term from questions), k as (select chunk_key, section, unnest(list_distinct({T.tokens_sql('text')})) as term from chunks), h as (select qid, chunk_key, count(*) as score, case when section = 'Contraindications' then 0.9 else 0.8 end as authority from q join k using (term) group by qid, chunk_key, section) select * from (select *, row_number() over (partition by qid order by score desc, chunk_key) as rank from h) where rank <= 10",
     "retrieval_metrics": f"""{SCORED}, gold as (select item_id as qid, min(struct_pack(d := printf('%08d', doc_id), l := lang)) as g from benchmark b join documents d on instr(d.text, b.text) > 0 group by item_id),
         first as (select gold.qid, g.l as tier, min(rank) as first from gold left join (select qid, rank, doc_id from lexical join chunks using (chunk_key) where rank <= 5) f on f.qid = gold.qid and f.doc_id = g.d group by all)
         select tier, count(*) as n, round(avg(case when first is null then 0.0 else 1.0 end), 9) as recall, round(avg(coalesce(1.0 / first, 0)), 9) as mrr from first group by rollup (tier)""",
-    "dense_search": f"{_DENSE} select * from (select qid, chunk_key, round(round(x, 9), 5) as dense, row_number() over (partition by qid order by round(round(x, 9), 5) desc, chunk_key) as rank from s) where rank <= 10",
+    "dense_search": f"{_DENSE} select * from (select qid, chunk_key, round(x, 9) as dense, row_number() over (partition by qid order by round(x, 9) desc, chunk_key) as rank from s) where rank <= 10",
     "dense_gate": f"{_DENSE} select qid, round(max(round(x, 9)), 4) as top, max(round(x, 9)) >= {K.DENSE_GATE} as passes from s group by qid",
     "locate": f"{LOCATED} select qid, drug, intent, array_to_string(drugs, ',') as drugs, array_to_string(intents, ',') as intents, array_to_string(loincs, ',') as loincs from located",
     "locator_accuracy": f"{LOCATED} select count(*) as n, round(avg(case when list_has_any(loincs, ({_FRAME_CODES})[qid % {_N} + 1]) then 1.0 else 0.0 end), 9) as accuracy from located",

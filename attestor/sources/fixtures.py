@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
+from attestor.functions import text as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,17 +31,34 @@ sections as (
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, question: the first 12 blank-separated words of each benchmark item, framed by a template over a source."""
-    words = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
+    """qid, question: each benchmark item, framed by a template over a source."""
     frames = [t for group in K.TEMPLATES.values() for t in group]
     frame = F.array(*[F.lit(f) for f in frames])[(F.col("item_id") % len(frames)).cast("int")]
     name = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
     asked = F.replace(F.replace(frame, F.lit("{drug}"), name), F.lit("{entity}"), F.lit("it"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(asked, F.lit(" "), words).alias("question"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(asked, F.lit(" "), "text").alias("question"))
+
+
+#: Dimensions of the stand-in vectors.
+DIMS = 32
+
+
+def encoded(rows: DataFrame, text: str) -> DataFrame:
+    """Adds vector, a stand-in for an encoder's: counts of the tokens by their ends and length, of unit length (null without tokens)."""
+    at = F.transform(T.tokens(text), lambda t: F.pmod(F.ascii(t) * 31 + F.ascii(F.substring(t, -1, 1)) * 7 + F.length(t), F.lit(DIMS)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+    return rows.withColumn("vector", F.when(norm > 0, F.transform(counts, lambda x: x / norm)))
+
+
+def encoded_sql(text: str) -> str:
+    at = f"list_transform({T.tokens_sql(text)}, lambda t: (ascii(t) * 31 + ascii(right(t, 1)) * 7 + length(t)) % {DIMS})"
+    counts = f"list_transform(range({DIMS}), lambda k: len(list_filter({at}, lambda x: x = k))::double)"
+    return f"list_transform([{counts}], lambda c: case when list_sum(c) > 0 then list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) end)[1]"
 
 
 _FRAMES = ", ".join("'" + t.replace("'", "''") + "'" for group in K.TEMPLATES.values() for t in group)
 _N = sum(map(len, K.TEMPLATES.values()))
 #: CTE questions.
 QUESTIONS_SQL = f"""questions as (
-  select item_id as qid, replace(replace(([{_FRAMES}])[item_id % {_N} + 1], '{{drug}}', 'src' || (item_id % 20)), '{{entity}}', 'it') || ' ' || array_to_string((string_split(text, ' '))[1:12], ' ') as question from benchmark)"""
+  select item_id as qid, replace(replace(([{_FRAMES}])[item_id % {_N} + 1], '{{drug}}', 'src' || (item_id % 20)), '{{entity}}', 'it') || ' ' || text as question from benchmark)"""
