@@ -9,9 +9,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Word rule of every operator here: bytes.split() cuts at exactly 0x20 and 0x09-0x0D.
@@ -20,9 +22,11 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local one serves a local master; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='attestor-scratch-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -69,6 +73,21 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
         yield batch.slice(start)
 
 
+def bitmap(values: DataFrame, column: str, bits: int) -> bytes:
+    """One bit for each value by its low bits; at most bits / 64 rows reach the driver."""
+    at = F.shiftright(F.col(column).bitwiseAND(F.lit(bits - 1)), 6).alias("at")
+    words = values.groupBy(at).agg(F.expr(f"bit_or(shiftleft(1L, cast({column} & 63 as int)))").alias("word")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    return out.tobytes()
+
+
+def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit values have their bit in a bitmap's bytes."""
+    low = values & np.uint64(8 * len(bits) - 1)
+    return bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from attestor.llm.common import Scratch, as_bytes, batch, lean, pieces
+from attestor.llm.common import Scratch, as_bytes, batch, bitmap, lean, marked, pieces
 from attestor.llm.features import ODD, Tokens, mix
 
 WINDOW, SHINGLE, BLOCK, SHARD = 35, 8, 2 << 20, 20_000
@@ -101,14 +101,6 @@ def recurring_anchors(docs: DataFrame, text_col: str, window: int, shingle: int)
     return found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
 
 
-def bitmap(values: DataFrame, column: str, bits: int) -> bytes:
-    """One bit for each value by its low bits; at most bits / 64 rows reach the driver."""
-    words = values.groupBy(F.shiftright(F.col(column).bitwiseAND(F.lit(bits - 1)), 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({column} & 63 as int)))").alias("word")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
-    return out.tobytes()
-
-
 def phrases_in(words: np.ndarray, text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """First words of phrases that cover the runs of confirmed windows: each window-th start of a run, and its last."""
     if not len(starts):
@@ -189,8 +181,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
         for k, piece in enumerate(pieces(batches, text_at, BLOCK)):
             block, texts = task << 32 | k, as_bytes(piece.column(text_at))
             windows = Windows(texts, window, shingle)
-            low = windows.anchors()[1] & np.uint64(bits - 1)
-            hit = (seen[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            hit = marked(seen, windows.anchors()[1])
             waiting = np.zeros(len(texts), bool)
             waiting[windows.tokens.text[windows.starts[hit]]] = True
             words = np.bincount(windows.tokens.text, minlength=len(texts))
@@ -203,10 +194,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
             if hit.any():
                 yield batch(schema, *[pa.nulls(1, f.type) for f in list(schema)[: len(columns)]], [block], [2], [twice(windows.hashes()[hit])], [None], [None])
 
-    marked = scratch.write(plain.mapInArrow(lean(mark), marked_schema), "marked")
-    found = marked.where("__block_kind = 2").select("__block_id", F.explode("__block_windows").alias("hash"))
+    blocks = scratch.write(plain.mapInArrow(lean(mark), marked_schema), "marked")
+    found = blocks.where("__block_kind = 2").select("__block_id", F.explode("__block_windows").alias("hash"))
     confirmed = found.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1").select(F.col("__block_id").alias("id"), "hash")
-    waiting = marked.where("__block_kind = 1").drop("__block_kind", "__block_windows", "__block_words", "__block_digest")
+    waiting = blocks.where("__block_kind = 1").drop("__block_kind", "__block_windows", "__block_words", "__block_digest")
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = to_arrow_schema(result)
@@ -222,7 +213,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
         return pa.table(columns, schema=schema)
 
     cleaned = waiting.groupBy("__block_id").cogroup(confirmed.groupBy("id")).applyInArrow(clean, result)
-    done = marked.where("__block_kind = 0")
+    done = blocks.where("__block_kind = 0")
     if digest_id:
         done = done.select(F.col("c0").alias("doc_id"), F.col("__block_words").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("__block_digest")).alias("kept_sha256"))
     else:

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import Scratch, as_bytes, batch, lean, pieces
+from attestor.llm.common import Scratch, as_bytes, batch, bitmap, lean, marked, pieces
 from attestor.llm.components import connected
 
 SEED, RADIUS = 42, 4
@@ -140,7 +141,7 @@ def _keyed(prints: DataFrame) -> DataFrame:
 
 
 def _linked(grouped: DataFrame, radius: int) -> DataFrame:
-    """grouped: key, node, fp, more with the rows of a key next to each other."""
+    """grouped: key, node, fp, more with the rows of a key next to each other; links that a task finds again are left out."""
     out = StructType.fromDDL("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +165,7 @@ def _linked(grouped: DataFrame, radius: int) -> DataFrame:
         for b in batches:
             rows = np.concatenate([held, np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("key", "node", "fp", "more")], 1)])
             if len(rows):
-                last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                last = int(np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])[-1])
                 held = rows[last:]
                 if last:
                     yield links(rows[:last])
@@ -174,30 +175,44 @@ def _linked(grouped: DataFrame, radius: int) -> DataFrame:
     return grouped.mapInArrow(lean(run), out)
 
 
-def links_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _heavy(prints: DataFrame) -> DataFrame:
+    """key, blocks: keys that about BUCKET fingerprints or more share, counted on a fixed share of the fingerprints. It sets how buckets are cut, never what is compared."""
+    every = max(1, BUCKET // 512)
+    some = _keyed(prints.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)).groupBy("key").agg((F.count("*") * every).alias("n"))
+    return some.where(F.col("n") > 0.75 * BUCKET).select("key", F.ceil(F.col("n") * 2 / BUCKET).cast("int").alias("blocks"))
+
+
+def links_of(prints: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """prints: node, fp, more (further bits of the print, 0 if there are none). Links a, b that join all nodes that share
     a key and differ in at most radius bits, directly or over others; up to 4 bits of fp all share a key."""
-    keyed = _keyed(prints).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    light = keyed.where(F.col("n") <= BUCKET).select("key", "node", "fp", "more")
-    blocks = F.ceil(F.col("n") * 2 / BUCKET).cast("int")
-    heavy = keyed.where(F.col("n") > BUCKET).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    heavy = heavy.withColumn("block", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).repartition("block").sortWithinPartitions("block", "node")
-    return _linked(light, radius).union(_linked(heavy.select(F.col("block").alias("key"), "node", "fp", "more"), radius)).distinct()
+    heavy = small(scratch.write(_heavy(prints), "heavy"))
+    keyed = _keyed(prints).join(heavy, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.when(F.col("blocks") == 1, F.expr("array(struct(0 as i, 0 as j))")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"))))
+    dealt = keyed.withColumn("pair", F.explode(pairs)).select("key", "pair.i", "pair.j", "node", "fp", "more")
+    shared = dealt.withColumn("n", F.count("*").over(Window.partitionBy("key", "i", "j"))).where("n > 1")  # rows of a bucket, or of two of its blocks
+    bucket = F.when(F.col("j") == 0, F.col("key").cast("long")).otherwise(F.xxhash64("key", "i", "j"))
+    return _linked(shared.select(bucket.alias("key"), "node", "fp", "more"), radius)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), component_id (the least doc_id reachable)."""
-    scratch, out = Scratch(spark, "simhash"), StructType.fromDDL("doc_id long, fp long")
+def fingerprinted(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of each row."""
+    out = StructType.fromDDL("doc_id long, fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
         for piece in pieces(batches, "text", 2 << 20):
             yield batch(schema, piece.column("doc_id"), fingerprints_of(as_bytes(piece.column("text")), words).view(np.int64))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
-    rows = scratch.write(rows, "rows")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), component_id (the least doc_id reachable)."""
+    scratch = Scratch(spark, "simhash")
+    rows = scratch.write(fingerprinted(docs, words, id_col, text_col), "rows")
     prints = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = connected(links_of(prints.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("more"))), scratch)
+    roots = connected(links_of(prints.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("more")), scratch), scratch)
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = scratch.write(named.join(least, "root").select("fp", "component_id"), "classes")
@@ -206,8 +221,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 4, id_
 
 def shingles_of(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; of the whole text if it has fewer words."""
-    own = text.lower().split()
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(own[k : k + words]), SEED) for k in range(max(1, len(own) - words + 1))], np.uint64))
+    own, digest = text.lower().split(), xxhash.xxh64_intdigest
+    joined = b" ".join(own)
+    if len(own) <= words:
+        return np.array([digest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, own), np.int64, len(own))
+    ends = np.cumsum(sizes + 1) - 1
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip((ends - sizes)[: len(own) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64))
 
 
 def similar_links(rows: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -239,58 +259,58 @@ def similar_links(rows: list[int], sets: list[np.ndarray], similarity: float) ->
 
 #: Texts of a candidate group that are compared at once; texts of a group that is cut anew by its own shingle counts.
 GROUP, LARGE = 1024, 64
-#: One text of so many says which shingles are common (in large groups every text does); shingles that are told at most. They set the order only.
-SAMPLE, COMMON = 8, 1 << 18
-#: Row numbers (8 to 16 bytes each) are broadcast up to this many; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: One text of so many says which shingles are common (in large groups every text does), and by how many it is told apart. They set the order only.
+SAMPLE, LEVELS = 8, (2, 8, 64)
+#: Bits of the bitmap of each level, for each shingle of the first level and at most.
+BITS_FOR_EACH, MAX_BITS = 16, 1 << 26
+#: Rows of one or two numbers are broadcast up to this many (some 50 bytes each); beyond it they are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def prefix_of(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a set's sorted shingles in an order of all shingles (common ones last, by count): two sets of at least the similarity share one of them.
+def prefix_of(shingles: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's sorted shingles in one order of all shingles (by rank, a function of the shingle): two sets of at least the similarity share one of them.
 
     Their overlap is at least similarity * len(shingles), so all but one less of that many may be left out."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rank = np.where(common[at] == shingles, counts[at], 0)
-        if rank.any():
-            shingles = shingles[np.lexsort((shingles, rank))]
+    if rank.any():
+        shingles = shingles[np.lexsort((shingles, rank))]
     return shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
 
 
-def _common(texts: DataFrame, words: int, every: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that several of one text in `every` hold, COMMON of them at most, and their counts. They only set the order, so any sample is right."""
-    out = StructType.fromDDL("token long")
+def _ranks(texts: DataFrame, words: int, every: int, scratch: Scratch, name: str) -> Broadcast:
+    """Bitmaps, one for each level, of the shingles that so many of the sampled texts hold. A shingle's rank is the number of bitmaps that have its bit."""
+    out = StructType.fromDDL("tokens array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 2 << 20):
-            yield batch(to_arrow_schema(out), np.concatenate([shingles_of(t, words) for t in as_bytes(piece.column("text"))]).view(np.int64))
+            yield batch(to_arrow_schema(out), [shingles_of(t, words).view(np.int64) for t in as_bytes(piece.column("text"))])
 
-    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text")
-    found = sample.mapInArrow(lean(run), out).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
-    token, count = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(token)
-    return token[order], count[order]
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(lean(run), out).select(F.explode("tokens").alias("token"))
+    found = scratch.write(sample.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), name)
+    bits = min(MAX_BITS, 1 << max(16, (BITS_FOR_EACH * found.count()).bit_length()))
+    levels = [np.frombuffer(bitmap(found.where(F.col("n") >= least), "token", bits), np.uint8) for least in LEVELS]
+    scratch.drop(name)
+    return scratch.spark.sparkContext.broadcast(levels)
 
 
-def candidates(texts: DataFrame, *, words: int, similarity: float, sample: int = SAMPLE) -> DataFrame:
+def candidates(texts: DataFrame, scratch: Scratch, *, words: int, similarity: float, sample: int = SAMPLE, name: str = "ranks") -> DataFrame:
     """Links a, b that join, directly or over others, all texts whose sets have the similarity: neighbours by size among the texts that share a shingle of
     their prefixes. Sets of more different sizes can't be similar; what lies between two sizes near enough is near enough to both."""
-    (common, counts), out = _common(texts, words, sample), StructType.fromDDL("token long, row long, size int")
+    levels, out = _ranks(texts, words, sample, scratch, name), StructType.fromDDL("token long, row long, size int")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 2 << 20):
             sets = [shingles_of(t, words) for t in as_bytes(piece.column("text"))]
-            own = [prefix_of(x, common, counts, similarity) for x in sets]
+            own = [prefix_of(x, sum((marked(bits, x).astype(np.int8) for bits in levels.value), np.zeros(len(x), np.int8)), similarity) for x in sets]
             many = [len(x) for x in own]
             yield batch(to_arrow_schema(out), np.concatenate(own).view(np.int64), np.repeat(piece.column("row").to_numpy(), many), np.repeat(np.array([len(x) for x in sets], np.int32), many))
 
     before = Window.partitionBy("token").orderBy("size", "row")
     beside = texts.select("row", "text").mapInArrow(lean(prefixes), out).select(F.lag("row").over(before).alias("a"), F.lag("size").over(before).alias("less"), F.col("row").alias("b"), "size")
-    return beside.where(F.col("less") >= F.col("size") * similarity - 1e-9).select("a", "b").distinct()
+    return beside.where(F.col("less") >= F.col("size") * similarity - 1e-9).select("a", "b")
 
 
 def similar(spark: SparkSession, texts: DataFrame, scratch: Scratch, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -299,10 +319,10 @@ def similar(spark: SparkSession, texts: DataFrame, scratch: Scratch, *, words: i
     Texts that share a shingle of their prefixes make candidate groups, which hold every pair at the similarity. The texts of large groups are grouped
     once more, by prefixes in the order of their own counts: shingles that are common but not in the sample join what has no kinship. Within a group the exact
     similarity of shingle sets decides, in blocks of GROUP texts."""
-    first = connected(candidates(texts, words=words, similarity=similarity), scratch, name="candidates").select(F.col("node").alias("row"), "root")
+    first = connected(candidates(texts, scratch, words=words, similarity=similarity), scratch, name="candidates").select(F.col("node").alias("row"), "root")
     first = scratch.write(first.join(first.groupBy("root").agg(F.count("*").alias("n")), "root"), "first")
-    large = scratch.write(texts.join(_small(first.where(F.col("n") > LARGE).select("row")), "row", "left_semi").select("row", "text"), "large")
-    anew = connected(candidates(large, words=words, similarity=similarity, sample=1), scratch, name="anew").select(F.col("node").alias("row"), "root")
+    large = scratch.write(texts.join(small(first.where(F.col("n") > LARGE).select("row")), "row", "left_semi").select("row", "text"), "large")
+    anew = connected(candidates(large, scratch, words=words, similarity=similarity, sample=1, name="own_ranks"), scratch, name="anew").select(F.col("node").alias("row"), "root")
     grouped = first.where(F.col("n") <= LARGE).select("row", "root").union(anew)
     sizes = grouped.groupBy("root").agg(F.count("*").alias("n"))
     grouped = scratch.write(grouped.join(sizes, "root").select("row", "root", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("blocks")), "groups")
@@ -312,7 +332,7 @@ def similar(spark: SparkSession, texts: DataFrame, scratch: Scratch, *, words: i
         for piece in pieces(batches, "text", 2 << 20):
             yield batch(to_arrow_schema(held), *[piece.column(n) for n in ("row", "root", "blocks")], [shingles_of(t, words).tobytes() for t in as_bytes(piece.column("text"))])
 
-    sets = texts.join(_small(grouped), "row").select("row", "root", "blocks", "text").mapInArrow(lean(shingle), held)
+    sets = texts.join(small(grouped), "row").select("row", "root", "blocks", "text").mapInArrow(lean(shingle), held)
     own = sets.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "shingles")
     pairs = StructType.fromDDL("a long, b long")
@@ -336,17 +356,19 @@ def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 5, similarity
     key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
     scratch = Scratch(spark, "keep")
     rows = scratch.write(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(spark, rows.select("row", text), id_col="row", text_col=text)
-    found = scratch.write(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "found")
-    firsts = rows.groupBy(F.sha2(F.col(text).cast("string"), 256)).agg(F.min("row").alias("row")).select("row")
-    links = similar(spark, rows.select("row", F.col(text).cast("string").alias("text")).join(_small(scratch.write(firsts, "firsts")), "row", "left_semi"), scratch, words=words, similarity=similarity)
-    links = scratch.write(links, "similar")
-    for end in ("a", "b"):  # from rows to their components
-        links = links.join(found.withColumnRenamed("row", end), end).drop(end).withColumnRenamed("component", end)
-    merged = connected(links, scratch, name="merged")
+    texts = rows.select("row", F.col(text).cast("string").alias("text"))
+    found = scratch.write(fingerprinted(texts, 4, "row", "text").withColumnRenamed("doc_id", "row"), "found")
+    prints = scratch.write(found.groupBy("fp").agg(F.min("row").alias("node")), "prints")  # the rows of a fingerprint are one node
+    links = scratch.write(links_of(prints.select("node", "fp", F.lit(0).cast("long").alias("more")), scratch), "links")
+    firsts = scratch.write(texts.groupBy(F.sha2("text", 256)).agg(F.min("row").alias("row")).select("row"), "firsts")
+    near = scratch.write(similar(spark, texts.join(small(firsts), "row", "left_semi"), scratch, words=words, similarity=similarity), "similar")
+    nodes = found.join(prints, "fp").select("row", "node")
+    for end in ("a", "b"):  # from rows to their nodes
+        near = near.join(nodes.withColumnRenamed("row", end), end).drop(end).withColumnRenamed("node", end)
+    merged = connected(links.unionByName(near), scratch, name="merged")
     ids = rows.select("row", F.col(key).cast("long").alias("own"), F.xxhash64(text).alias("hash"))
-    groups = found.join(merged.withColumnRenamed("node", "component"), "component", "left").select("row", F.coalesce("root", "component").alias("group"))
+    groups = nodes.join(merged, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
     least = F.min(F.struct(F.col("own").isNull().alias("unnamed"), "own", "hash", "row")).alias("least")
     kept = groups.join(ids, "row").groupBy("group").agg(least).select(F.col("least.row").alias("row"))
     gone = scratch.write(groups.select("row").join(kept, "row", "left_anti"), "gone")
-    return rows.join(_small(gone), "row", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return rows.join(small(gone), "row", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
