@@ -98,7 +98,9 @@ def platt(margin: np.ndarray, good: np.ndarray, steps: int = 50) -> tuple[float,
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> QualityModel:
     """docs: doc_id, text; labels: doc_id, quality. At most `sample` labelled rows reach the driver, as features."""
-    chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labels = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    chosen = labels.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     out = StructType.fromDDL("doc_id long, quality int, features binary, shares binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +108,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, sample: in
         for piece in pieces(batches, "text", PIECE):
             yield batch(schema, piece.column("doc_id"), piece.column("quality"), *zip(*_rows(as_bytes(piece.column("text"))), strict=True))
 
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = known.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id")
+    known = docs.join(F.broadcast(chosen), "doc_id")
     found = known.select("doc_id", "quality", "text").mapInArrow(lean(run), out).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("features")).limit(sample).collect()
     size, good = 3 << BITS, np.array([r["quality"] > 0 for r in found], bool)
     if good.all() or not good.any():

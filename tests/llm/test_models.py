@@ -8,8 +8,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from attestor.llm import hmm, quality, toxicity
+from attestor.llm import hmm, quality, queries, toxicity
 from attestor.llm.features import Tokens
 from tests.llm.conftest import DOC, prose
 
@@ -137,6 +138,46 @@ def test_toxicity_on_held_out_rows(spark, odd, odd_rows, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxicity_catches_what_few_labels_show(spark, sf):
+    """87 and 399 labels, 11 and 51 of them toxic."""
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    found = queries.op8_toxicity(spark, f"/root/testdata/{sf}").join(labels.select("doc_id", "toxic").toDF("doc_id", "label"), "doc_id").collect()
+    share = lambda rows, test: sum(map(test, rows)) / len(rows)
+    assert share([r for r in found if r["label"]], lambda r: r["grade"] > 0) >= 0.9
+    assert share([r for r in found if not r["label"]], lambda r: r["grade"] == 0) >= 0.98
+
+
+def test_toxicity_scores_equal_brute_force(spark, odd_rows):
+    rows, docs, labels = labelled(spark, lambda rng: prose(rng, 60) + " " + " ".join(rng.choice(["grumbok", "snarlip", "vileth"]) for _ in range(rng.randint(1, 5))))
+    model = toxicity.train(spark, docs, labels)
+    texts = [t for _, t, *_ in rows[:60]] + [t for _, t, *_ in odd_rows]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(frame, model).collect():
+        words = {w.strip(".,;:!?\"'()[]{}*#$%&|<>-_") for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["doc_id"]] or ""))} - {""}
+        found = {f for w in words for f in [f"={w}"] + [f"^{w[:n]}" for n in (3, 4, 5, 6) if len(w) > n]}
+        margin = sum(model.weights[model.features[f]] for f in found if f in model.features)
+        above = [1 - 1 / (1 + math.exp(-(cut - margin))) for cut in model.thresholds]
+        assert r["severity"] == pytest.approx(sum(above)) and r["p_toxic"] == pytest.approx(above[0]) and r["toxic"] == (above[0] >= 0.5) and r["grade"] == sum(x >= 0.5 for x in above)
+
+
+def test_ordinal_fit_is_the_optimum():
+    rng = np.random.default_rng(2)
+    rows = [sorted(set(rng.integers(0, 6, rng.integers(0, 5)).tolist())) for _ in range(120)]
+    grade = np.array([min(3, max(0, len(r) + rng.integers(-1, 2))) for r in rows])
+
+    def loss(w, cuts):
+        total = 0.05 / 2 * sum(x * x for x in w)
+        for r, g in zip(rows, grade):
+            below = [0.0] + [1 / (1 + math.exp(-(c - sum(w[k] for k in r)))) for c in cuts] + [1.0]
+            total -= math.log(below[g + 1] - below[g])
+        return total / len(rows)
+
+    w, cuts = toxicity.fit_ordinal(rows, grade, 6, steps=3000, penalty=0.05)
+    for _ in range(60):
+        assert loss(w, cuts) <= loss(w + rng.normal(0, 0.02, 6), cuts + rng.normal(0, 0.02, 3)) + 1e-7
+
+
 def test_ordinal_thresholds_rise_and_order_grades():
     rows, grade = [[], [0], [0, 1], [0, 1, 2]] * 40, np.array([0, 1, 2, 3] * 40)
     w, cuts = toxicity.fit_ordinal(rows, grade, 3)
