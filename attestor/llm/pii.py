@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from attestor.llm.common import Scratch
 
 CONTEXT, SUPPORT, BITS, SHARE, REMOVE = 80, 3, 4.0, 0.9, 0.98
+SPANS, BLOCK = "array<struct<kind:string,start:int,end:int,value:string>>", 1024
 #: Kind, cheap test of a text, pattern, SQL test of a match m.
 KINDS = (
     ("email", "contains(text, '@')", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "true"),
@@ -35,21 +36,60 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL of body with name bound to value, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _before(numbers: str, fold: str, tag: str) -> str:
+    """SQL: for each of an array of ints the fold, from 0, of those that stand before it. fold: SQL over s and v.
+
+    Appending to an array copies it, so the array is folded in blocks of the cube root of its size: n^(4/3) steps for
+    n numbers, where a plain fold takes n^2. tag keeps names of nested calls apart.
+    """
+    x, c, s, v, w = (f"{n}_{tag}" for n in "xcsvw")
+    step = fold.replace("{s}", f"{s}.at").replace("{v}", v)
+    scan = lambda of, base: f"aggregate({of}, named_struct('at', {base}, 'out', cast(array() as array<int>)), ({s}, {v}) -> named_struct('at', {step}, 'out', concat({s}.out, array({s}.at))), {s} -> {s}.out)"
+    whole = f"aggregate({w}, 0, ({s}, {v}) -> {fold.replace('{s}', s).replace('{v}', v)})"
+    blocks = f"transform(sequence(0, (size({x}) - 1) div {c}), k_{tag} -> slice({x}, k_{tag} * {c} + 1, {c}))"
+    folded = _bound(blocks, f"b_{tag}", f"flatten(zip_with(b_{tag}, {scan(f'transform(b_{tag}, {w} -> {whole})', '0')}, (o_{tag}, at_{tag}) -> {scan(f'o_{tag}', f'at_{tag}')}))")
+    return _bound(numbers, x, f"case when size({x}) = 0 then cast(array() as array<int>) else {_bound(f'cast(ceil(cbrt(size({x}))) as int)', c, folded)} end")
+
+
 def _spans(text: str, pattern: str, kind: str, when: str, test: str) -> str:
     """SQL: array of (kind, start, end, value) of the matches of a pattern that pass its test.
 
     split() gives what lies between the matches that regexp_extract_all() gives, so places are running lengths.
     """
-    part = f"named_struct('kind', '{kind}', 'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.m), 'value', x.m)"
-    none = "cast(array() as array<struct<kind:string,start:int,end:int,value:string>>)"
-    walk = (
-        f"aggregate(transform(hits, (m, i) -> named_struct('m', m, 'gap', gaps[i])), named_struct('at', 0, 'found', {none}), "
-        f"(a, x) -> named_struct('at', a.at + length(x.gap) + length(x.m), 'found', concat(a.found, array({part}))), a -> filter(a.found, s -> transform(array(s.value), m -> {test})[0]))"
-    )
-    both = f"transform(array(named_struct('hits', regexp_extract_all({text}, {pattern}, 0), 'gaps', split({text}, {pattern}, -1))), z -> {walk.replace('hits,', 'z.hits,').replace('gaps[', 'z.gaps[')})[0]"
+    none = f"cast(array() as {SPANS})"
+    at = _before("transform(z.hits, (m, i) -> length(z.gaps[i]) + length(m))", "{s} + {v}", "at")
+    part = f"transform(z.hits, (m, i) -> named_struct('kind', '{kind}', 'start', ats[i] + length(z.gaps[i]), 'end', ats[i] + length(z.gaps[i]) + length(m), 'value', m))"
+    found = _bound(at, "ats", f"filter({part}, s -> {_bound('s.value', 'm', test)})")
+    both = _bound(f"named_struct('hits', regexp_extract_all({text}, {pattern}, 0), 'gaps', split({text}, {pattern}, -1))", "z", found)
     return f"case when {when} then {both} else {none} end"
 
 
+def _cut(start: str, end: str, blocks: str = "blocks") -> str:
+    """SQL: characters start to end of the text in blocks of BLOCK characters; the length of the text before them costs nothing."""
+    return f"substring(array_join(slice({blocks}, {start} div {BLOCK} + 1, {end} div {BLOCK} - {start} div {BLOCK} + 1), ''), {start} % {BLOCK} + 1, {end} - {start})"
+
+
+def _blocks(when: str) -> str:
+    return f"case when {when} then regexp_extract_all(text, '(?s).{{1,{BLOCK}}}', 0) else cast(array() as array<string>) end"
+
+
+def _replaced(rows: DataFrame, marks: str, name: str, label: str = "h.label") -> DataFrame:
+    """Adds name: the column text with the marks (start, end, label) put in place; marks that overlap are one, with the first one's label.
+    label: SQL over that mark h and the ends of all, of which ends[j] is its own."""
+    ends = _before("transform(marks, x -> x.end)", "greatest({s}, {v})", "end")
+    heads = "filter(transform(marks, (x, i) -> named_struct('i', i, 'start', x.start, 'label', x.label)), h -> h.i = 0 or h.start >= reach[h.i])"
+    last = "transform(heads, (h, j) -> case when j + 1 < size(heads) then reach[heads[j + 1].i] else array_max(transform(marks, x -> x.end)) end)"
+    done = f"concat(array_join(transform(heads, (h, j) -> concat({_cut('(case when j = 0 then 0 else ends[j - 1] end)', 'h.start')}, {label})), ''), {_cut('ends[size(ends) - 1]', 'length(text)')})"
+    rows = rows.withColumn("marks", F.expr(f"array_sort({marks})")).withColumn("blocks", F.expr(_blocks("size(marks) > 0")))
+    put = _bound(ends, "reach", _bound(heads, "heads", _bound(last, "ends", done)))
+    return rows.withColumn(name, F.expr(f"case when size(marks) = 0 then text else {put} end")).drop("marks", "blocks")
+
+
 def base_spans(text: Column | str) -> list[tuple[str, str]]:
     """Kind and SQL of its spans in a column named text."""
     return [(kind, _spans("text", _quoted(pattern), kind, when, test)) for kind, when, pattern, test in KINDS]
@@ -64,8 +104,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"), *[F.expr(sql).alias(kind) for kind, sql in base_spans("text")])
     rows = rows.select("doc_id", "text_key", "text", F.concat(*[F.col(kind) for kind, *_ in KINDS]).alias("base"))
-    before = f"substring(text, greatest(s.start - {CONTEXT + 1}, 0) + 1, least(s.start, {CONTEXT + 1}))"
-    around = f"transform(base, s -> named_struct('kind', s.kind, 'value', s.value, 'before', {before}, 'after', substring(text, s.end + 1, {CONTEXT + 1})))"
+    rows = rows.withColumn("z", F.expr(f"named_struct('blocks', {_blocks('size(base) > 0')}, 'chars', length(text))"))  # once for a text, not for a span
+    before, after = _cut(f"greatest(s.start - {CONTEXT + 1}, 0)", "s.start", "z.blocks"), _cut("s.end", f"least(s.end + {CONTEXT + 1}, z.chars)", "z.blocks")
+    around = _bound("z", "z", f"transform(base, s -> named_struct('kind', s.kind, 'value', s.value, 'before', {before}, 'after', {after}))")
     return rows.select("doc_id", "text_key", "base", F.expr(around).alias("around"))
 
 
@@ -96,17 +137,16 @@ def disclosing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, scr
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key_id, text_key, found: spans of kind term in each distinct row that has one, with the replacement of each."""
+    """key_id, text_key, found, shares: spans of kind term in each distinct row that has one, outside of its base spans (these are
+    blanked before terms are looked for), and the share of each term."""
     rows = docs.select(F.col(id_col).cast("long").alias("key_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = rows.select("key_id", F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), {_quoted(TERM)}, 0)"))).alias("term"))
     has = words.join(terms, "term").groupBy("key_id", "text_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares"))
     texts = rows.withColumn("text_key", F.xxhash64("text")).alias("r").join(has.alias("h"), F.expr("r.key_id <=> h.key_id and r.text_key = h.text_key")).select("r.key_id", "r.text_key", "text", "shares").dropDuplicates(["key_id", "text_key"])
+    texts = texts.withColumn("base", F.concat(*[F.expr(sql) for _, sql in base_spans("text")]))
+    texts = _replaced(texts, "transform(base, s -> named_struct('start', s.start, 'end', s.end, 'label', ''))", "bare", "repeat(' ', ends[j] - h.start)")
     texts = texts.withColumn("pattern", F.expr(r"concat('(?iu)(?<!\\p{L})(?:', array_join(sort_array(map_keys(shares)), '|'), ')(?!\\p{L})')"))
-    return texts.select("key_id", "text_key", F.expr(_spans("text", "pattern", "term", "true", "true")).alias("found"), "shares")
-
-
-def _apart() -> str:
-    return "filter(found, s -> not exists(base, b -> s.start < b.end and b.start < s.end))"
+    return texts.select("key_id", "text_key", F.expr(_spans("bare", "pattern", "term", "true", "true")).alias("found"), "shares")
 
 
 def report(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,7 +160,7 @@ def report(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text
     else:
         more = term_spans(docs, terms, id_col, text_col)
         rows = rows.alias("r").join(more.alias("t"), F.expr("r.doc_id <=> t.key_id and r.text_key = t.text_key"), "left").select("doc_id", "base", "base_text", "found")
-        rows = rows.withColumn("spans", F.expr(f"coalesce({_written(f'concat(base, {_apart()})')}, base_text)"))
+        rows = rows.withColumn("spans", F.expr(f"coalesce({_written('concat(base, found)')}, base_text)"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind, *_ in KINDS]
     return rows.select("doc_id", *counts, F.sha2("base_text", 256).alias("base_sha256"), "spans")
 
@@ -135,18 +175,10 @@ def redact(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text
     rows = docs.toDF(*names).withColumn("text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     rows = rows.withColumn("base", F.concat(*[F.expr(sql) for _, sql in base_spans("text")]))
     label = "named_struct('start', s.start, 'end', s.end, 'label', concat('[', upper(s.kind), ']'))"
-    if terms is None:
-        rows = rows.withColumn("marks", F.expr(f"transform(base, s -> {label})"))
-    else:
+    marks = f"transform(base, s -> {label})"
+    if terms is not None:
         rows = rows.withColumn("text_key", F.xxhash64("text")).alias("r").join(term_spans(docs, terms, id_col, text_col).alias("t"), F.expr(f"cast(r.{key} as bigint) <=> t.key_id and r.text_key = t.text_key"), "left").select(*[f"r.{n}" for n in names], "text", "base", "found", "shares")
-        soft = f"named_struct('start', s.start, 'end', s.end, 'label', case when shares[lower(s.value)] >= {REMOVE} then '[TERM]' else concat(left(s.value, 1), '…') end)"
-        rows = rows.withColumn("marks", F.expr(f"concat(transform(base, s -> {label}), coalesce(transform({_apart()}, s -> {soft}), cast(array() as array<struct<start:int,end:int,label:string>>)))"))
-    merged = F.expr("""aggregate(array_sort(marks), cast(array() as array<struct<start:int,end:int,label:string>>),
-        (a, s) -> case when size(a) > 0 and s.start < element_at(a, -1).end
-            then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end), 'label', element_at(a, -1).label)))
-            else concat(a, array(s)) end)""")
-    clean = F.expr("""aggregate(merged, named_struct('at', 0, 'done', ''),
-        (a, s) -> named_struct('at', s.end, 'done', concat(a.done, substring(text, a.at + 1, s.start - a.at), s.label)),
-        a -> concat(a.done, substring(text, a.at + 1)))""")
-    rows = rows.withColumn("merged", F.when(F.size("marks") > 0, merged)).withColumn("clean", F.when(F.size("marks") > 0, clean).otherwise(F.col(text)))
+        soft = f"named_struct('start', s.start, 'end', s.end, 'label', case when coalesce(shares[lower(s.value)], 1.0) >= {REMOVE} then '[TERM]' else concat(left(s.value, 1), '…') end)"
+        marks = f"concat({marks}, coalesce(transform(found, s -> {soft}), cast(array() as array<struct<start:int,end:int,label:string>>)))"
+    rows = _replaced(rows, marks, "clean").withColumn("clean", F.when(F.col(text).isNotNull(), F.col("clean")))
     return rows.select(*[F.col("clean" if n == text else n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
