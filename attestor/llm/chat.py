@@ -6,7 +6,7 @@ unescape() gives every text back. Parts other than text become <|image:K|>, <|au
 <|file:K|>, K counting the turn's attachments; each is recorded with its reference and the tokens it expands to.
 The loss mask covers the texts of assistant turns.
 
-Turns of a conversation are ordered by turn, role and text, nulls first. Null text is empty and has a body; a null
+Turns of a conversation are ordered by turn, role and unescaped body, nulls first. Null text is empty and has a body; a null
 role is the empty role; null conv_ids are one conversation; null parts are skipped; parts without a size expand to
 one token. Rows that repeat are turns of their own; empty tables give no rows; other columns are not read.
 
@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -107,6 +107,15 @@ def format_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     return turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), parts.alias("parts")).mapInArrow(lean(run), out)
 
 
+def plain_body(formatted: str = "formatted") -> Column:
+    """A formatted turn's unescaped body. A raw `[` never stands in it, so that can hold a backslash's place."""
+    f = F.col(formatted)
+    body = F.substring(f, F.instr(f, BODY) + len(BODY), F.length(f) - F.instr(f, BODY) - (len(BODY) + len(END) - 1))
+    for escaped, held in (("\\\\", "["), ("\\l", "<"), ("\\b", "\\")):
+        body = F.replace(body, F.lit(escaped), F.lit(held))
+    return F.translate(body, "[\\", "\\[")
+
+
 def digest_conversations(formatted: DataFrame, partitions: int | None = None) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted turns."""
     out = StructType.fromDDL("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
@@ -139,4 +148,4 @@ def digest_conversations(formatted: DataFrame, partitions: int | None = None) ->
 
     rows = formatted.select("conv_id", "turn", "role", "formatted", "loss")
     rows = rows.repartition(partitions, "conv_id") if partitions else rows.repartition("conv_id")
-    return rows.sortWithinPartitions("conv_id", "turn", "role", "formatted").mapInArrow(lean(run), out)
+    return rows.sortWithinPartitions("conv_id", "turn", "role", plain_body()).mapInArrow(lean(run), out)

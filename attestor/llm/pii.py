@@ -4,8 +4,9 @@ Protected entities are e-mail addresses, IPv4 addresses, card numbers and phone
 four or more letters. Over the corpus, counting each distinct text once: n(e) texts hold entity e, n(t) hold term t,
 n(t, e) hold the whole of t within the CONTEXT characters of the text before or after e, whatever else stands there. Knowing t reveals log2(n(t, e) N / (n(t) n(e))) bits about e
 (pointwise mutual information). A term discloses e if n(t, e) >= SUPPORT, its bits are at least BITS and
-P(e | t) = n(t, e) / n(t) is at least SHARE; every occurrence of such a term is a span of kind `term`, and is
-removed from P = REMOVE on, else generalised to its initial.
+P(e | t) = n(t, e) / n(t) is at least SHARE: who guesses e from t alone is then right as often as not. Every
+occurrence of such a term outside of the entities' own spans is a span of kind `term`; it is removed from P = REMOVE
+on, else generalised to its initial.
 
 Positions count code points, ends are exclusive. Matches of a kind that fail its test are dropped and not tried
 again. Patterns use possessive repeats, which match the same strings here and run in constant stack and linear time.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import Scratch
 
-CONTEXT, SUPPORT, BITS, SHARE, REMOVE = 80, 3, 4.0, 0.9, 0.98
+CONTEXT, SUPPORT, BITS, SHARE, REMOVE = 80, 3, 4.0, 0.5, 0.9
 SPANS, BLOCK = "array<struct<kind:string,start:int,end:int,value:string>>", 1024
 #: Kind, cheap test of a text, pattern, SQL test of a match m.
 KINDS = (
