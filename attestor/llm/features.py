@@ -32,14 +32,12 @@ class Tokens:
         self.low = low
         self.words = self.hash(self.starts, self.ends)
 
-    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges, by sums of powers that are shifted to the same place."""
-        if not hasattr(self, "_sums"):
-            power = np.cumprod(np.r_[np.uint64(1), np.full(len(self.low), STEP)], dtype=np.uint64)
-            self._sums = np.r_[np.uint64(0), np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)]
-            inverse = np.uint64(pow(int(STEP), -1, 1 << 64))
-            self._back = np.cumprod(np.r_[np.uint64(1), np.full(len(self.low), inverse)], dtype=np.uint64)
-        return mix((self._sums[ends] - self._sums[starts]) * self._back[starts] + (ends - starts).astype(np.uint64) * ODD)
+    def hash(self, starts: np.ndarray, ends: np.ndarray, step: np.uint64 = STEP) -> np.ndarray:
+        """Hashes of byte ranges, by sums of powers of step that are shifted to the same place."""
+        power = np.cumprod(np.r_[np.uint64(1), np.full(len(self.low), step)], dtype=np.uint64)
+        sums = np.r_[np.uint64(0), np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)]
+        back = np.cumprod(np.r_[np.uint64(1), np.full(len(self.low), np.uint64(pow(int(step), -1, 1 << 64)))], dtype=np.uint64)
+        return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * ODD)
 
 
 def families(tokens: Tokens, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:

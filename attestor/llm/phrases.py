@@ -7,7 +7,8 @@ else are removed. Three steps over all texts:
    anchors, and neighbouring windows mostly share one, so counting anchors is cheap. Only windows over an anchor
    that is chosen at two places can recur; a bitmap of those anchors (its size is bounded by MAX_BITS; a fuller bitmap lets more
    windows through, never fewer) goes to all tasks.
-2. Confirmation. Hashes of the windows that pass are counted exactly over the corpus.
+2. Confirmation. Windows that pass are counted exactly over the corpus, by 128 bits from two hashes of their words: over
+   10^13 windows two different ones agree with a chance of some 10^-13.
 3. Location. Each block of texts compiles its confirmed passages, cut into phrases of WINDOW words, into
    Aho-Corasick automata (shards of at most SHARD phrases) and streams its texts through them; every word under a
    match goes.
@@ -36,7 +37,9 @@ from attestor.llm.features import ODD, Tokens, mix
 
 WINDOW, SHINGLE, BLOCK, SHARD = 35, 8, 2 << 20, 20_000
 MIN_BITS, MAX_BITS, BITS_FOR_EACH = 1 << 16, 1 << 30, 32
-NEXT = np.uint64(0x2545F4914F6CDD1D)
+NEXT, OTHER = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95)
+#: Hashes that a task holds while it packs them by block.
+HELD = 1 << 20
 
 
 def rolling(words: np.ndarray, length: int, factor: np.uint64) -> np.ndarray:
@@ -81,11 +84,18 @@ class Windows:
     def hashes(self) -> np.ndarray:
         return rolling(self.tokens.words, self.window, ODD)[self.starts] if len(self.starts) else np.empty(0, np.uint64)
 
+    def checks(self) -> np.ndarray:
+        """A second hash of each window, from other hashes of its words."""
+        return rolling(self.tokens.hash(self.tokens.starts, self.tokens.ends, OTHER), self.window, NEXT)[self.starts] if len(self.starts) else np.empty(0, np.uint64)
 
-def twice(values: np.ndarray) -> np.ndarray:
-    """Each distinct value, or two of it if it occurs more than once."""
-    found, count = np.unique(values, return_counts=True)
-    return np.concatenate([found, found[count > 1]]).view(np.int64)
+
+def twice(*columns: np.ndarray) -> list[np.ndarray]:
+    """Each distinct row of the columns, or two of it if it occurs more than once."""
+    order = np.lexsort(columns[::-1])
+    rows, third = [c[order] for c in columns], np.zeros(len(order), bool)
+    again = np.logical_and.reduce([r[1:] == r[:-1] for r in rows])  # equal to the row before
+    third[2:] = again[1:] & again[:-1]
+    return [r[~third].view(np.int64) for r in rows]
 
 
 def recurring_anchors(docs: DataFrame, text_col: str, window: int, shingle: int) -> DataFrame:
@@ -95,7 +105,7 @@ def recurring_anchors(docs: DataFrame, text_col: str, window: int, shingle: int)
         schema = to_arrow_schema(out)
         for piece in pieces(batches, "text", BLOCK):
             place, value = Windows(as_bytes(piece.column("text")), window, shingle).anchors()
-            yield batch(schema, [twice(value[np.unique(place, return_index=True)[1]])])
+            yield batch(schema, twice(value[np.unique(place, return_index=True)[1]]))
 
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
     return found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
@@ -170,7 +180,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
     result = digest_out if digest_id else docs.schema
     source = docs.select(F.col(digest_id).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) if digest_id else docs
     at = source.columns.index("text" if digest_id else text_col)
-    hidden = [StructField(f"__block_{k}", t) for k, t in (("id", LongType()), ("kind", IntegerType()), ("windows", ArrayType(LongType(), False)), ("words", LongType()), ("digest", BinaryType()))]
+    hidden = [StructField(f"__block_{k}", t) for k, t in (("id", LongType()), ("kind", IntegerType()), ("windows", ArrayType(LongType(), False)), ("checks", ArrayType(LongType(), False)), ("words", LongType()), ("digest", BinaryType()))]
     marked_schema = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(source.schema)] + hidden)
     plain = source.toDF(*[f"c{k}" for k in range(len(source.columns))])
     text_at = f"c{at}"
@@ -190,21 +200,44 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
             if digest_id:
                 columns[at] = pa.array([t if w else None for w, t in zip(waiting.tolist(), piece.column(text_at).to_pylist(), strict=True)], schema.field(at).type)
             n = len(texts)
-            yield batch(schema, *columns, [block] * n, waiting.astype(np.int32), [None] * n, words, digests)
+            yield batch(schema, *columns, [block] * n, waiting.astype(np.int32), [None] * n, [None] * n, words, digests)
             if hit.any():
-                yield batch(schema, *[pa.nulls(1, f.type) for f in list(schema)[: len(columns)]], [block], [2], [twice(windows.hashes()[hit])], [None], [None])
+                found = twice(windows.hashes()[hit], windows.checks()[hit])
+                yield batch(schema, *[pa.nulls(1, f.type) for f in list(schema)[: len(columns)]], [block], [2], [found[0]], [found[1]], [None], [None])
 
     blocks = scratch.write(plain.mapInArrow(lean(mark), marked_schema), "marked")
-    found = blocks.where("__block_kind = 2").select("__block_id", F.explode("__block_windows").alias("hash"))
-    confirmed = found.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1").select(F.col("__block_id").alias("id"), "hash")
-    waiting = blocks.where("__block_kind = 1").drop("__block_kind", "__block_windows", "__block_words", "__block_digest")
+    found = blocks.where("__block_kind = 2").select("__block_id", F.explode(F.arrays_zip("__block_windows", "__block_checks")).alias("w")).select("__block_id", F.col("w.__block_windows").alias("hash"), F.col("w.__block_checks").alias("check"))
+    confirmed = found.withColumn("n", F.count("*").over(Window.partitionBy("hash", "check"))).where("n > 1").select(F.col("__block_id").alias("id"), "hash")
+    packed_schema = StructType.fromDDL("id long, hashes binary")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Confirmed hashes by block: one row for many of them."""
+        held, n = [], 0
+
+        def rows() -> pa.RecordBatch:
+            block, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(block, kind="stable")
+            ids, cuts = np.unique(block[order], return_index=True)
+            return batch(to_arrow_schema(packed_schema), ids, [x.tobytes() for x in np.split(value[order], cuts[1:])])
+
+        for b in batches:
+            held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "hash")))
+            n += b.num_rows
+            if n > HELD:
+                yield rows()
+                held, n = [], 0
+        if n:
+            yield rows()
+
+    packed = confirmed.mapInArrow(lean(pack), packed_schema)
+    waiting = blocks.where("__block_kind = 1").drop("__block_kind", "__block_windows", "__block_checks", "__block_words", "__block_digest")
 
     def clean(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = to_arrow_schema(result)
         if not left.num_rows:
             return schema.empty_table()
         texts = as_bytes(left.column(text_at).combine_chunks())
-        found = clean_block(texts, right.column("hash").to_numpy().view(np.uint64), window, shingle)
+        found = clean_block(texts, np.frombuffer(b"".join(right.column("hashes").to_pylist()), np.uint64), window, shingle)
         if digest_id:
             return pa.table([left.column("c0"), *([x[k] for x in found] for k in (0, 1)), [hashlib.sha256(x[2]).hexdigest() for x in found]], schema=schema)
         old = left.column(text_at).to_pylist()
@@ -212,7 +245,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
         columns[at] = pa.array([o if not x[1] else x[3].decode() for o, x in zip(old, found, strict=True)], schema.field(at).type)
         return pa.table(columns, schema=schema)
 
-    cleaned = waiting.groupBy("__block_id").cogroup(confirmed.groupBy("id")).applyInArrow(clean, result)
+    cleaned = waiting.groupBy("__block_id").cogroup(packed.groupBy("id")).applyInArrow(clean, result)
     done = blocks.where("__block_kind = 0")
     if digest_id:
         done = done.select(F.col("c0").alias("doc_id"), F.col("__block_words").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("__block_digest")).alias("kept_sha256"))
