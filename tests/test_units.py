@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
+from attestor.sources.config import EngineConfig
 from attestor.operators import agent, answering, chunking, decisions, ledger, ranking, routing, selection, sessions
 
 
@@ -153,6 +154,48 @@ def test_loop_invariants_and_counterfactuals(spark, retriever):
     assert replays.where("run_id like '%~0~abstain'").select("path").distinct().first()[0] == "abstain"
 
 
+def test_failed_citations_are_looked_for_by_label_and_section(spark, retriever):
+    """What a failed citation meant is searched by label and section, then without limits; the policy answers no more. An unknown document or a missing section gives no target."""
+    dose = "What is the recommended dose of aspirin?"
+    answers = {"meant": ["See it [bbbbbbbb#34070-3]."], "invented": ["See it [deadbeef#34070-3]."], "bare": ["See it [bbbbbbbb]."], "right": ["See it [aaaaaaaa#34068-7]."], "plain": ["No citation at all."], "copier": None}
+    runs = spark.createDataFrame([(k, dose, "coverage", v, 0.3) for k, v in answers.items()], "run_id string, question string, policy string, scripts array<string>, theta_high double")
+    final = agent.run(retriever, runs)
+    got = {r["run_id"]: r for r in agent.stats(final).collect()}
+    assert got["meant"]["path"] == "locate>search>answer>search>search>abstain" and got["meant"]["abstain_reason"] == "bad_citations:not_retrieved"
+    assert got["invented"]["path"] == "locate>search>answer>search>abstain" and got["invented"]["abstain_reason"] == "bad_citations:not_in_corpus"
+    assert got["bare"]["path"] == got["invented"]["path"] and got["bare"]["abstain_reason"] == "bad_citations:no_loinc"
+    assert got["right"]["path"] == got["copier"]["path"] == "locate>search>answer" and got["right"]["answered"]
+    states = {r["run_id"]: r for r in final.collect()}
+    assert "search|what is the recommended dose of aspirin?|warfarin|34070-3" in states["meant"]["tried"]
+    assert {(e["cite_key"], s) for e, s in zip(states["meant"]["evidence"], states["meant"]["evidence_steps"]) if s > 2} == {("bbbbbbbb#34070-3", 4)}
+    closed = {r["run_id"]: r for r in agent.finished(final, strict=True).collect()}
+    assert [(closed[k]["n_claims"], closed[k]["malformed"]) for k in ("right", "meant", "invented", "bare")] == [(1, False), (0, False), (0, False), (0, False)]
+    assert closed["copier"]["n_claims"] >= 1 and got["plain"]["terminated_by"] in ("repeat", "max_steps", "budget")
+    lost = final.withColumn("evidence_steps", F.expr("cast(array() as array<int>)")).withColumn("evidence", F.expr(f"cast(array() as array<{agent.DOC}>)"))
+    assert {"right", "copier"} <= {r["run_id"] for r in agent.finished(lost).where("malformed").collect()}
+    with pytest.raises(ValueError):
+        agent.finished(lost, strict=True)
+
+
+def test_dense_list_and_reranker_reach_the_agent(spark, retriever):
+    """A question without a known word finds its chunk by vectors alone; a scorer turns the order of what a label allows."""
+    def encode(rows, text):
+        return rows.withColumn("vector", F.expr(f"case when lower({text}) rlike 'pregnan|expecting' then array(1.0D, 0.0D) when {text} is not null then array(0.0D, 1.0D) end"))
+
+    near = agent.Retriever(spark, retriever.chunks, encode)
+    full = agent.Retriever(spark, retriever.chunks, encode, lambda pairs: pairs.withColumn("relevance", F.when(F.col("text").contains("Bleeding"), 2.0).otherwise(1.0)))
+    asked = spark.createDataFrame([("near", "I am expecting", False, [], []), ("both", "aspirin whole tablet", False, [], []), ("own", "expecting", True, ["warfarin"], ["34070-3"])], "qid string, question string, restricted boolean, drugs array<string>, loincs array<string>")
+    plain, dense, rich = ({r["qid"]: [d["cite_key"] for d in r["docs"]] for r in x.hits(asked).collect()} for x in (retriever, near, full))
+    assert "near" not in plain and dense["near"][0] == "bbbbbbbb#34070-3" and dense["own"] == plain["own"] == rich["own"]
+    assert dense["both"][0] == "aaaaaaaa#34068-7" and rich["both"][0] == "aaaaaaaa#34073-7"
+
+
+def test_a_configuration_sets_the_runs(spark, retriever):
+    runs = spark.createDataFrame([("r", "Can I take aspirin together with warfarin?")], "run_id string, question string")
+    final = agent.run_configured(spark, retriever.chunks, runs, EngineConfig(retriever="bm25", budget=3, theta_high=1.0, theta_low=0.9, order="reverse")).first()
+    assert final["theta_low"] == 0.9 and final["reverse"] and final["budget"] <= 3 and final["terminated_by"] in ("abstain", "answer", "budget")
+
+
 def test_turns_inherit_evidence(spark, retriever):
     turns = spark.createDataFrame([(1, 0, "What is the recommended dose of aspirin?", ["aspirin"]), (1, 1, "How much of it is the recommended dose?", [])], "conv_id int, turn int, raw string, named array<string>")
     out = {r["run_id"]: r for r in sessions.run_turns(spark, retriever, sessions.resolve(turns), 1).collect()}
