@@ -15,17 +15,25 @@ from attestor.sources.labels import cached
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
-def encoded(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = "") -> DataFrame:
-    """Adds vector (unit length): load() gives a function from texts to a matrix."""
+def encoded(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = "", model: str = "", cache: DataFrame | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Adds vector (unit length): load() gives a function from texts to a matrix.
+
+    With a cache (key, value) only texts that it lacks are encoded, and the new cache rows are returned too. The key holds model, prefix and text."""
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        run = load()
         for texts in batches:
-            v = np.asarray(model([prefix + (t or "") for t in texts]), float)
+            v = np.asarray(run([prefix + (t or "") for t in texts]), float)
             yield pd.Series(list((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype("float32")))
 
-    return df.withColumn("vector", encode(F.col(text)))
+    if cache is None:
+        return df.withColumn("vector", encode(F.col(text)))
+    keyed = df.withColumn("key", F.sha1(F.concat_ws("\x1f", F.lit(model), F.lit(prefix), text)))
+    known, missing = cached(keyed, cache)
+    new = missing.select("key", text).dropDuplicates(["key"]).select("key", encode(F.col(text)).alias("value"))
+    both = known.withColumnRenamed("value", "vector").unionByName(missing.join(new.withColumnRenamed("value", "vector"), "key"))
+    return both.drop("key"), new
 
 
 def scored(pairs: DataFrame, question: str, text: str, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], model: str, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
+from attestor.sources.prose import EvalProse
 
 
-def _templates(spark) -> DataFrame:
-    rows = [(i, n, t, "{entity}" in t) for i, group in K.TEMPLATES.items() for n, t in enumerate(group)]
+def _templates(spark, prose: EvalProse) -> DataFrame:
+    rows = [(i, n, t, "{entity}" in t) for i, n, t in prose.frames]
     return F.broadcast(spark.createDataFrame(rows, "intent string, template_id int, template string, needs_entity boolean"))
 
 
@@ -17,11 +18,11 @@ def _codes() -> Column:
     return F.create_map(*[x for i, codes in K.INTENT_CODES.items() for x in (F.lit(i), F.array(*map(F.lit, codes)))])
 
 
-def locate_set(labels: DataFrame, entities: DataFrame) -> DataFrame:
+def locate_set(labels: DataFrame, entities: DataFrame, prose: EvalProse) -> DataFrame:
     """labels: drug, codes; entities: drug, intent, entity. Every template over every label that has a section for its intent.
 
     qid, question, intent, drug, entity, template_id, gold_loinc (first code of the intent that the label has), gold_loinc_any."""
-    t = _templates(labels.sparkSession)
+    t = _templates(labels.sparkSession, prose)
     any_ = F.filter(_codes()[F.col("intent")], lambda c: F.array_contains("codes", c))
     q = labels.join(t).withColumn("gold_loinc_any", any_).where(F.size("gold_loinc_any") > 0)
     named = q.where("needs_entity").join(entities, ["drug", "intent"])
@@ -37,18 +38,18 @@ def without_tautologies(rows: DataFrame) -> DataFrame:
     return rows.where("entity is null or not contains(lower(entity), lower(drug))")
 
 
-def boundary_set(labels: DataFrame, unknown: int = 8) -> DataFrame:
+def boundary_set(labels: DataFrame, prose: EvalProse, unknown: int = 8) -> DataFrame:
     """labels: drug, codes. question, boundary_class, expect_action: four kinds of questions that must not be answered.
     Names that are absent are found in the corpus as it is, never listed."""
     spark = labels.sparkSession
     row = lambda df, kind: df.select("question", F.lit(kind).alias("boundary_class"), F.lit(K.EXPECTED[kind]).alias("expect_action"))
-    out = row(spark.createDataFrame([(q,) for q in K.OUT_OF_SCOPE], "question string"), "out_of_scope")
-    frames = F.broadcast(spark.createDataFrame([(t,) for t in K.BEYOND_LABEL], "t string"))
+    out = row(spark.createDataFrame([(q,) for q in prose.out_of_scope], "question string"), "out_of_scope")
+    frames = F.broadcast(spark.createDataFrame([(t,) for t in prose.beyond_label], "t string"))
     out = out.union(row(labels.join(frames).select(F.replace(F.col("t"), F.lit("{drug}"), F.col("drug")).alias("question")), "beyond_label"))
-    names = spark.createDataFrame(list(enumerate(K.NAME_POOL)), "k int, name string").join(labels.select(F.lower("drug").alias("name")), "name", "left_anti").orderBy("k").limit(unknown)
-    out = out.union(row(names.select(F.concat(F.lit("Can I take "), "name", F.lit(" with my other medication?")).alias("question")), "unknown_drug"))
-    aspects = F.broadcast(spark.createDataFrame(K.MISSING_ASPECTS, "aspect string, code string"))
-    missing = labels.join(aspects).where(~F.array_contains("codes", F.col("code"))).select(F.concat(F.lit("What are the "), "aspect", F.lit(" of "), "drug", F.lit("?")).alias("question"))
+    names = spark.createDataFrame(list(enumerate(prose.names)), "k int, name string").join(labels.select(F.lower("drug").alias("name")), "name", "left_anti").orderBy("k").limit(unknown)
+    out = out.union(row(names.select(F.replace(F.lit(prose.unknown), F.lit("{name}"), F.col("name")).alias("question")), "unknown_drug"))
+    aspects = F.broadcast(spark.createDataFrame(prose.aspects, "aspect string, code string"))
+    missing = labels.join(aspects).where(~F.array_contains("codes", F.col("code"))).select(F.replace(F.replace(F.lit(prose.missing), F.lit("{aspect}"), F.col("aspect")), F.lit("{drug}"), F.col("drug")).alias("question"))
     return out.union(row(missing, "missing_section"))
 
 
@@ -137,23 +138,17 @@ def answerable(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("entity").rlike(r"^[A-Za-z][A-Za-z\- ]{3,60}$") & ~core.isin("with", "and", "or", "the", "a", "an", "this", "that", "these") & (F.length(core) >= 4) & F.contains(F.lower("target"), core))
 
 
-#: Second turns that refer back, with the intent they ask for.
-FOLLOW_UPS = [("What about it with alcohol on top of that?", "interaction"), ("How much of it should I take?", "dosage"), ("Are there any warnings for that?", "precaution")]
-#: Scripts of whole sessions; each turn is a template.
-SCENARIOS = [("dose_then_warning", ["How much {drug} should I take?", "Are there any warnings for it?"]), ("use_then_dose", ["What is {drug} used for?", "What is the recommended dose of it?"]), ("combination", ["Can I take {drug} together with {entity}?", "Is it safe to combine them?"])]
-
-
-def intent_set(labels: DataFrame) -> DataFrame:
+def intent_set(labels: DataFrame, prose: EvalProse) -> DataFrame:
     """labels: drug, codes. Two turns, the second by anaphora: qid, turns, referent, intent, resolved_query, gold_loinc."""
-    t = F.broadcast(labels.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(FOLLOW_UPS)], "k int, follow_up string, intent string"))
-    first = F.concat(F.lit("What is "), "drug", F.lit(" used for?"))
+    t = F.broadcast(labels.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(prose.follow_ups)], "k int, follow_up string, intent string"))
+    first = F.replace(F.lit(prose.opening), F.lit("{drug}"), F.col("drug"))
     rows = labels.join(t).withColumn("gold", F.filter(_codes()[F.col("intent")], lambda c: F.array_contains("codes", c))).where(F.size("gold") > 0)
     return rows.select(F.concat_ws("|", "drug", "k").alias("qid"), F.array(first, "follow_up").alias("turns"), F.col("drug").alias("referent"), "intent", F.concat("follow_up", F.lit(" ("), "drug", F.lit(")")).alias("resolved_query"), F.element_at("gold", 1).alias("gold_loinc"))
 
 
-def e2e_set(labels: DataFrame, entities: DataFrame) -> DataFrame:
+def e2e_set(labels: DataFrame, entities: DataFrame, prose: EvalProse) -> DataFrame:
     """Scripted sessions over labels; a script that names an entity is only made where there is one."""
-    s = F.broadcast(labels.sparkSession.createDataFrame(SCENARIOS, "scenario string, script array<string>"))
+    s = F.broadcast(labels.sparkSession.createDataFrame(list(prose.scripts.items()), "scenario string, script array<string>"))
     one = entities.groupBy("drug").agg(F.min("entity").alias("entity"))
     rows = labels.join(s).join(one, "drug", "left").where("entity is not null or not exists(script, x -> contains(x, '{entity}'))")
     filled = F.transform("script", lambda x: F.replace(F.replace(x, F.lit("{drug}"), F.col("drug")), F.lit("{entity}"), F.coalesce("entity", F.lit(""))))

@@ -10,7 +10,7 @@ from attestor.operators import evalsets, ledger, metrics, routing
 from attestor.plans.evidence import _STEPS, _names, ledger_steps
 from attestor.plans.retrieval import CHUNKS, Corpus
 from attestor.sources import labels as source
-from attestor.sources.fixtures import table
+from attestor.sources.fixtures import PROSE, table
 from attestor.streaming import events
 
 
@@ -20,7 +20,7 @@ def _labels(spark, sf_dir):
 
 def _set(spark, sf_dir):
     entities = _names(spark, sf_dir).select("drug", F.explode(F.array(F.lit("interaction"), F.lit("contraindication"))).alias("intent"), F.col("name").alias("entity"))
-    return evalsets.without_tautologies(evalsets.locate_set(_labels(spark, sf_dir), entities))
+    return evalsets.without_tautologies(evalsets.locate_set(_labels(spark, sf_dir), entities, PROSE))
 
 
 def locate_set(spark, sf_dir):
@@ -28,7 +28,7 @@ def locate_set(spark, sf_dir):
 
 
 def boundary_set(spark, sf_dir):
-    return evalsets.boundary_set(_labels(spark, sf_dir))
+    return evalsets.boundary_set(_labels(spark, sf_dir), PROSE)
 
 
 def paired_set(spark, sf_dir):
@@ -47,7 +47,7 @@ def cap_paired(spark, sf_dir):
     return evalsets.cap_paired(evalsets.paired_set(_set(spark, sf_dir)), 41, "pair", "drug").select("qid", "pair", "drug")
 
 
-PROBES = [("interaction", 0, "Does {drug} play nicely with others?"), ("interaction", 1, "Anything that clashes with {drug}?"), ("interaction", 2, "Is {drug} fine next to my pills?"), ("interaction", 3, "Dose {drug} quarrel with tea?"), ("dosage", 0, "Size of a {drug} serving?"), ("dosage", 1, "One {drug} or two?"), ("dosage", 2, "What quantity of {drug} is normal?"), ("dosage", 3, "How much {drug}?")]
+PROBES = [(intent, n, t) for intent, group in PROSE.probes.items() for n, t in enumerate(group)]
 
 
 def probe_set(spark, sf_dir):
@@ -121,17 +121,17 @@ def stream_windows(spark, sf_dir):
 
 
 def intent_set(spark, sf_dir):
-    return evalsets.intent_set(_labels(spark, sf_dir)).withColumn("turns", F.array_join("turns", "|"))
+    return evalsets.intent_set(_labels(spark, sf_dir), PROSE).withColumn("turns", F.array_join("turns", "|"))
 
 
 def e2e_set(spark, sf_dir):
-    e = evalsets.e2e_set(_labels(spark, sf_dir), _names(spark, sf_dir).select("drug", F.col("name").alias("entity")))
+    e = evalsets.e2e_set(_labels(spark, sf_dir), _names(spark, sf_dir).select("drug", F.col("name").alias("entity")), PROSE)
     return e.withColumn("turns", F.array_join("turns", "|"))
 
 
 def set_manifest(spark, sf_dir):
     s = _set(spark, sf_dir)
-    return evalsets.manifest({"locate": s, "paired": evalsets.paired_set(s), "boundary": evalsets.boundary_set(_labels(spark, sf_dir))})
+    return evalsets.manifest({"locate": s, "paired": evalsets.paired_set(s), "boundary": evalsets.boundary_set(_labels(spark, sf_dir), PROSE)})
 
 
 def pool_probe(spark, sf_dir):
@@ -162,7 +162,7 @@ def policy_paths(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (locate_set, boundary_set, paired_set, cap_round_robin, cap_stratified, cap_paired, probe_set, hard_set, set_audit, page_sections, pick_label, corpus_growth, corpus_fingerprint, cache_split, run_traces, ledger_violations, entities, stream_windows, intent_set, e2e_set, set_manifest, pool_probe, complementarity, policy_paths)}
 
-_TEMPLATES = "templates(intent, template_id, template, needs) as (values " + ", ".join(f"('{i}', {n}, '" + t.replace("'", "''") + f"', {'{entity}' in t})" for i, g in K.TEMPLATES.items() for n, t in enumerate(g)) + ")"
+_TEMPLATES = "templates(intent, template_id, template, needs) as (values " + ", ".join(f"('{i}', {n}, '" + t.replace("'", "''") + f"', {'{entity}' in t})" for i, n, t in PROSE.frames) + ")"
 _CODES = "map {" + ", ".join("'" + i + "': ['" + "', '".join(c) + "']" for i, c in K.INTENT_CODES.items()) + "}"
 _NAMES = f"names as (select 'src' || (row_number() over (order by n desc, w) - 1) as drug, w as name from (select w, count(*) as n from (select unnest({T.tokens_sql('text')}) as w from documents) where length(w) >= 5 group by w order by n desc, w limit 20))"
 _LABELS = f"{CHUNKS}, labels as (select drug, list_sort(list(distinct loinc)) as codes from chunks group by drug)"
@@ -177,15 +177,15 @@ _VALUES = lambda rows: ", ".join("(" + ", ".join("'" + str(x).replace("'", "''")
 _EXP = K.EXPECTED
 
 ORACLE_SQL = {
-    "intent_set": f"""{_LABELS}, t as (select * from (values {_VALUES([(k, *x) for k, x in enumerate(evalsets.FOLLOW_UPS)])}) v(k, follow_up, intent)), r as (select *, list_filter({_CODES}[intent], lambda c: list_contains(codes, c)) as gold from labels, t)
-        select drug || '|' || k as qid, 'What is ' || drug || ' used for?|' || follow_up as turns, drug as referent, intent, follow_up || ' (' || drug || ')' as resolved_query, gold[1] as gold_loinc from r where len(gold) > 0""",
-    "e2e_set": f"""{_LABELS}, {_NAMES}, s as (select * from (values {", ".join(f"('{n}', " + "['" + "', '".join(t) + "'])" for n, t in evalsets.SCENARIOS)}) v(scenario, script))
+    "intent_set": f"""{_LABELS}, t as (select * from (values {_VALUES([(k, *x) for k, x in enumerate(PROSE.follow_ups)])}) v(k, follow_up, intent)), r as (select *, list_filter({_CODES}[intent], lambda c: list_contains(codes, c)) as gold from labels, t)
+        select drug || '|' || k as qid, replace('{PROSE.opening}', '{{drug}}', drug) || '|' || follow_up as turns, drug as referent, intent, follow_up || ' (' || drug || ')' as resolved_query, gold[1] as gold_loinc from r where len(gold) > 0""",
+    "e2e_set": f"""{_LABELS}, {_NAMES}, s as (select * from (values {", ".join(f"('{n}', " + "['" + "', '".join(t) + "'])" for n, t in PROSE.scripts.items())}) v(scenario, script))
         select l.drug || '|' || scenario as qid, scenario, l.drug, array_to_string(list_transform(script, lambda x: replace(replace(x, '{{drug}}', l.drug), '{{entity}}', coalesce(n.name, ''))), '|') as turns, len(script) as n_turns from labels l join s on true left join names n on n.drug = l.drug""",
     "locate_set": f"{_SET} select qid, question, intent, drug, entity, template_id, gold_loinc, array_to_string(accept, ',') as gold_loinc_any from qset",
-    "boundary_set": f"""{_LABELS}, q as (select question, 'out_of_scope' as boundary_class from (values {_VALUES([(x,) for x in K.OUT_OF_SCOPE])}) v(question)
-        union all select replace(t, '{{drug}}', drug), 'beyond_label' from labels, (values {_VALUES([(x,) for x in K.BEYOND_LABEL])}) v(t)
-        union all select 'Can I take ' || name || ' with my other medication?', 'unknown_drug' from (select name from (values {_VALUES(list(enumerate(K.NAME_POOL)))}) v(k, name) where name not in (select lower(drug) from labels) order by k limit 8)
-        union all select 'What are the ' || aspect || ' of ' || drug || '?', 'missing_section' from labels, (values {_VALUES(K.MISSING_ASPECTS)}) v(aspect, code) where not list_contains(codes, code))
+    "boundary_set": f"""{_LABELS}, q as (select question, 'out_of_scope' as boundary_class from (values {_VALUES([(x,) for x in PROSE.out_of_scope])}) v(question)
+        union all select replace(t, '{{drug}}', drug), 'beyond_label' from labels, (values {_VALUES([(x,) for x in PROSE.beyond_label])}) v(t)
+        union all select replace('{PROSE.unknown}', '{{name}}', name), 'unknown_drug' from (select name from (values {_VALUES(list(enumerate(PROSE.names)))}) v(k, name) where name not in (select lower(drug) from labels) order by k limit 8)
+        union all select replace(replace('{PROSE.missing}', '{{aspect}}', aspect), '{{drug}}', drug), 'missing_section' from labels, (values {_VALUES(PROSE.aspects)}) v(aspect, code) where not list_contains(codes, code))
         select question, boundary_class, case boundary_class {' '.join(f"when '{k}' then '{v}'" for k, v in _EXP.items())} end as expect_action from q""",
     "paired_set": f"{_SET} select * from paired",
     "cap_round_robin": f"{_SET} select qid, drug from (select *, row_number() over (partition by drug order by qid) as turn from qset) order by turn, drug limit 60",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestor.functions import constants as K
 from attestor.functions import text as T
 from attestor.operators import chunking, ranking, routing
-from attestor.sources.fixtures import QUESTIONS_SQL, SECTIONS_SQL, encoded, encoded_sql, questions, sections, table
+from attestor.sources.fixtures import PROSE, QUESTIONS_SQL, SECTIONS_SQL, encoded, encoded_sql, questions, sections, table
 from attestor.sources.scratch import Workspace
 
 CHUNKS = f"with recursive {SECTIONS_SQL}, {chunking.CHUNKS_SQL}"
@@ -203,7 +203,7 @@ def locate(spark, sf_dir):
 
 def locator_accuracy(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    frames = [code for intent, group in K.TEMPLATES.items() for _ in group for code in [K.INTENT_CODES[intent]]]
+    frames = [K.INTENT_CODES[intent] for intent, *_ in PROSE.frames]
     gold = F.array(*[F.array(*map(F.lit, x)) for x in frames])[(F.col("qid") % len(frames)).cast("int")]
     return routing.locator_accuracy(c.located, c.questions.select("qid", gold.alias("gold_loinc_any"))).select("n", F.round("accuracy", 9).alias("accuracy"))
 
@@ -219,8 +219,8 @@ QUERIES = {f.__name__: f for f in (text_tokens, text_sentences, chunks, chunk_sp
 
 _DOT = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::double * z[2]::double))"
 _DENSE = f"with s as (select q.vec_id as qid, printf('%010d', d.vec_id) as chunk_key, {_DOT} as x from embeddings q, embeddings d where q.vec_id % 50 = 0 and d.vec_id <> q.vec_id)"
-_FRAME_CODES = "[" + ", ".join("['" + "', '".join(K.INTENT_CODES[i]) + "']" for i, g in K.TEMPLATES.items() for _ in g) + "]"
-_N = sum(map(len, K.TEMPLATES.values()))
+_FRAME_CODES = "[" + ", ".join("['" + "', '".join(K.INTENT_CODES[i]) + "']" for i, *_ in PROSE.frames) + "]"
+_N = len(PROSE.frames)
 
 ORACLE_SQL = {
     "text_tokens": f"with t as (select doc_id, {T.tokens_sql('text')} as tok, len({T.content_words_sql('text')}) as n_content from documents) select doc_id, len(tok) as n_tokens, md5(array_to_string(tok, ' ')) as tokens_md5, n_content from t",

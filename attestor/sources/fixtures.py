@@ -7,6 +7,40 @@ from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
+from attestor.sources.prose import EvalProse
+
+#: Prose of our own for the stand-in tables.
+PROSE = EvalProse(
+    templates={
+        "interaction": ["Do {drug} and {entity} interact?", "What happens to people combining {drug} with {entity}?", "May {entity} go together with {drug}?"],
+        "contraindication": ["For whom with {entity} is {drug} contraindicated?", "Would {drug} be safe for someone who lives with {entity}?", "Is {drug} off-limits because of {entity}?"],
+        "dosage": ["Which dose of {drug} is usual?", "How many tablets of {drug} make up a day?", "State the dosage of {drug}."],
+        "indication": ["Against what would a clinic prescribe {drug}?", "Which complaints does one treat by {drug}?"],
+        "precaution": ["Which warning goes with {drug}?", "When must somebody on {drug} be careful?"],
+    },
+    probes={
+        "interaction": ["Does {drug} play nicely with others?", "Anything that clashes with {drug}?", "Is {drug} fine next to my pills?", "Does {drug} quarrel with tea?"],
+        "contraindication": ["Who had better leave {drug} alone?", "Any people {drug} is wrong for?", "Is {drug} a bad idea for some?", "Which patients stay away from {drug}?"],
+        "dosage": ["Size of a {drug} serving?", "One {drug} or two?", "What quantity of {drug} is normal?", "{drug}: every morning or every evening?"],
+        "indication": ["The point of {drug}?", "What good is {drug}?", "Why do people have {drug} at home?", "{drug} helps against what?"],
+        "precaution": ["Anything odd to expect from {drug}?", "Risks of {drug}?", "What may go wrong on {drug}?", "How does one stay out of trouble with {drug}?"],
+    },
+    out_of_scope=["Which river is the longest?", "Please hum a tune.", "How is bread baked?", "When does the last ferry leave?", "Name a prime above one hundred.", "Who painted the ceiling of that chapel?"],
+    beyond_label=["Shall I give up {drug} today?", "For how many years will I need {drug}?", "Does {drug} heal me for good?"],
+    names=["quillamab", "brantozole", "sovatriptan", "lumenol", "teckleride", "orrinex", "padvexin", "mossamide", "vexaril", "hollowine", "src3", "pennafil"],
+    unknown="Is {name} something for me?",
+    aspects=[("unwanted effects", "34084-4"), ("trials in people", "34090-1"), ("workings inside the body", "34083-6")],
+    missing="What is known of the {aspect} of {drug}?",
+    opening="Which complaints does one treat by {drug}?",
+    follow_ups=[("And wine on top of that?", "interaction"), ("Which dose of it is usual?", "dosage"), ("Does it come with a warning?", "precaution"), ("Who is this contraindicated for?", "contraindication"), ("What do doctors prescribe them for?", "indication")],
+    scripts={
+        "dose_then_warning": ["Which dose of {drug} is usual?", "Does it come with a warning?"],
+        "use_then_dose": ["Against what would a clinic prescribe {drug}?", "How many tablets of it make up a day?"],
+        "combination": ["Do {drug} and {entity} interact?", "What happens to people combining them?"],
+        "same_again": ["Which warning goes with {drug}?", "Which warning goes with {drug}?"],
+        "three_turns": ["State the dosage of {drug}.", "Is it off-limits because of {entity}?", "What about the dose then?"],
+    },
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +66,7 @@ sections as (
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, question: each benchmark item, framed by a template over a source."""
-    frames = [t for group in K.TEMPLATES.values() for t in group]
+    frames = [t for _, _, t in PROSE.frames]
     frame = F.array(*[F.lit(f) for f in frames])[(F.col("item_id") % len(frames)).cast("int")]
     name = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
     asked = F.replace(F.replace(frame, F.lit("{drug}"), name), F.lit("{entity}"), F.lit("it"))
@@ -57,8 +91,8 @@ def encoded_sql(text: str) -> str:
     return f"list_transform([{counts}], lambda c: case when list_sum(c) > 0 then list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) end)[1]"
 
 
-_FRAMES = ", ".join("'" + t.replace("'", "''") + "'" for group in K.TEMPLATES.values() for t in group)
-_N = sum(map(len, K.TEMPLATES.values()))
+_FRAMES = ", ".join("'" + t.replace("'", "''") + "'" for _, _, t in PROSE.frames)
+_N = len(PROSE.frames)
 #: CTE questions.
 QUESTIONS_SQL = f"""questions as (
   select item_id as qid, replace(replace(([{_FRAMES}])[item_id % {_N} + 1], '{{drug}}', 'src' || (item_id % 20)), '{{entity}}', 'it') || ' ' || text as question from benchmark)"""

@@ -130,3 +130,64 @@ def test_sessions_and_complementarity_take_whole_texts(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         evaluation.complementarity(spark, DIR)
     assert seen.value.args[0][1].agg(F.max(F.size("keywords"))).first()[0] > 8
+
+
+XML = """<?xml version="1.0"?><document xmlns="urn:hl7-org:v3"><setId root="a1b2c3d4"/><component><structuredBody>
+<component><section><code code="34073-7" displayName="INTERACTIONS"/><title>Outer</title><text>Own words of the outer section, <b>bold</b> ones too, which make more than sixty letters.</text>
+<component><section><code code="34070-3" displayName="CONTRA"/><text>Words   of the inner\nsection stand alone and are long enough to be kept as a section.</text></section></component>
+<text>A second text of the outer one.</text></section></component>
+<component><section><code code="34071-1"/><text>Too short.</text></section></component>
+<component><section><code code="99999-9"/><text>A code that nobody wants, with a text that would be long enough to be kept.</text></section></component>
+<component><section><code code="34072-5"/><title>Without a text element all words of the section count as its own words.</title></section></component>
+</structuredBody></component></document>"""
+
+
+def test_label_documents_in_xml(spark, tmp_path):
+    (tmp_path / "one.xml").write_text(XML)
+    got = [tuple(r) for r in source.read_label_xml(spark, str(tmp_path)).orderBy("sec_ord").collect()]
+    assert got == [
+        ("a1b2c3d4", 0, "34073-7", "Drug Interactions", "INTERACTIONS", "Own words of the outer section, bold ones too, which make more than sixty letters. A second text of the outer one."),
+        ("a1b2c3d4", 1, "34070-3", "Contraindications", "CONTRA", "Words of the inner section stand alone and are long enough to be kept as a section."),
+        ("a1b2c3d4", 2, "34072-5", "Adverse Reactions", None, "Without a text element all words of the section count as its own words."),
+    ]
+
+
+def test_sets_decisions_and_reports_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("q2", "b", ["x"]), ("q1", "a", [])], "qid string, question string, golds array<string>")
+    source.write_eval_set(str(tmp_path / "set"), rows, "a note")
+    assert [r["qid"] for r in source.read_eval_set(spark, str(tmp_path / "set"), "qid: string, question: string, golds: array<string>").collect()] == ["q1", "q2"]
+    points = spark.createDataFrame([("r", 0, "search", False, {"answer": True})], "run_id string, index int, action string, outcome boolean, cf map<string,boolean>")
+    source.write_decisions(str(tmp_path / "log"), points)
+    line = spark.read.json(str(tmp_path / "log")).first()
+    assert line["better_exists"] and not line["worse_exists"] and line["has_gradient"]
+    source.write_report(str(tmp_path / "report"), layers=rows.select("qid"), totals=rows.groupBy().count())
+    report = spark.read.json(str(tmp_path / "report")).first()
+    assert sorted(r["qid"] for r in report["layers"]) == ["q1", "q2"] and report["totals"][0]["count"] == 2
+
+
+def test_prose_is_read_from_a_file(spark, tmp_path):
+    import dataclasses
+    import json
+
+    from attestor.sources.fixtures import PROSE
+    from attestor.sources.prose import read_prose
+
+    held = dataclasses.asdict(PROSE)
+    (tmp_path / "prose.json").write_text(json.dumps(held))
+    assert read_prose(spark, str(tmp_path / "prose.json")) == PROSE
+    (tmp_path / "prose.json").write_text(json.dumps({k: v for k, v in held.items() if k != "names"}))
+    with pytest.raises(ValueError, match="names"):
+        read_prose(spark, str(tmp_path / "prose.json"))
+
+
+def test_vectors_come_from_the_cache(spark):
+    from attestor.functions import plugs
+
+    df = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "id int, text string")
+    model = lambda: lambda texts: [[len(t) + 1.0, 0.0] for t in texts]
+    first, new = plugs.encoded(df, "text", model, model="m", cache=spark.createDataFrame([], "key string, value array<float>"))
+    assert new.count() == 3 and {r["id"]: r["vector"] for r in first.collect()} == {k: [1.0, 0.0] for k in (1, 2, 3, 4)}
+    held = spark.createDataFrame([(r["key"], [0.0, 1.0]) for r in new.collect()], "key string, value array<float>")
+    again, more = plugs.encoded(df, "text", model, model="m", cache=held)
+    assert more.count() == 0 and {tuple(r["vector"]) for r in again.collect()} == {(0.0, 1.0)}
+    assert plugs.encoded(df, "text", model, model="other", cache=held)[1].count() == 3
