@@ -7,8 +7,8 @@ else are removed. Three steps over all texts:
    anchors, and neighbouring windows mostly share one, so counting anchors is cheap. Only windows over an anchor
    that is chosen at two places can recur; a bitmap of those anchors (its size is bounded by MAX_BITS; a fuller bitmap lets more
    windows through, never fewer) goes to all tasks.
-2. Confirmation. Windows that pass are counted exactly over the corpus, by 128 bits from two hashes of their words: over
-   10^13 windows two different ones agree with a chance of some 10^-13.
+2. Confirmation. Windows that pass are counted exactly over the corpus, by 96 bits from two hashes of their words: among
+   10^13 windows any two different ones agree with a chance below 0.001.
 3. Location. Each block of texts compiles its confirmed passages, cut into phrases of WINDOW words, into
    Aho-Corasick automata (shards of at most SHARD phrases) and streams its texts through them; every word under a
    match goes.
@@ -85,8 +85,10 @@ class Windows:
         return rolling(self.tokens.words, self.window, ODD)[self.starts] if len(self.starts) else np.empty(0, np.uint64)
 
     def checks(self) -> np.ndarray:
-        """A second hash of each window, from other hashes of its words."""
-        return rolling(self.tokens.hash(self.tokens.starts, self.tokens.ends, OTHER), self.window, NEXT)[self.starts] if len(self.starts) else np.empty(0, np.uint64)
+        """32 bits of a second hash of each window, from other hashes of its words."""
+        if not len(self.starts):
+            return np.empty(0, np.int32)
+        return (rolling(self.tokens.hash(self.tokens.starts, self.tokens.ends, OTHER), self.window, NEXT)[self.starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def twice(*columns: np.ndarray) -> list[np.ndarray]:
@@ -95,7 +97,7 @@ def twice(*columns: np.ndarray) -> list[np.ndarray]:
     rows, third = [c[order] for c in columns], np.zeros(len(order), bool)
     again = np.logical_and.reduce([r[1:] == r[:-1] for r in rows])  # equal to the row before
     third[2:] = again[1:] & again[:-1]
-    return [r[~third].view(np.int64) for r in rows]
+    return [r[~third].view(np.int64) if r.dtype == np.uint64 else r[~third] for r in rows]
 
 
 def recurring_anchors(docs: DataFrame, text_col: str, window: int, shingle: int) -> DataFrame:
@@ -180,7 +182,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
     result = digest_out if digest_id else docs.schema
     source = docs.select(F.col(digest_id).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) if digest_id else docs
     at = source.columns.index("text" if digest_id else text_col)
-    hidden = [StructField(f"__block_{k}", t) for k, t in (("id", LongType()), ("kind", IntegerType()), ("windows", ArrayType(LongType(), False)), ("checks", ArrayType(LongType(), False)), ("words", LongType()), ("digest", BinaryType()))]
+    hidden = [StructField(f"__block_{k}", t) for k, t in (("id", LongType()), ("kind", IntegerType()), ("windows", ArrayType(LongType(), False)), ("checks", ArrayType(IntegerType(), False)), ("words", LongType()), ("digest", BinaryType()))]
     marked_schema = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(source.schema)] + hidden)
     plain = source.toDF(*[f"c{k}" for k in range(len(source.columns))])
     text_at = f"c{at}"
