@@ -36,12 +36,13 @@ class Scratch:
     """Tables written to the shared folder. Rows in them keep their place and value when executors are lost."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.tables = spark, set()
         self.path = f"{scratch_root(spark)}/attestor/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
     def write(self, df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         path = f"{self.path}/{table}"
+        self.tables.add(table)
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
         return self.read(table, df.schema)
 

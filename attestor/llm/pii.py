@@ -137,17 +137,29 @@ def disclosing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, scr
     return None if terms.isEmpty() else terms
 
 
-def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Terms or spans of a table that is broadcast (some 100 bytes each); beyond it the join shuffles.
+BROADCAST_TERMS = 200_000
+
+
+def _sized(df: DataFrame, column: str, scratch: Scratch, name: str) -> DataFrame:
+    """df as a written table, to be broadcast if its arrays are few, so that texts stay where they are."""
+    held = scratch.write(df, name)
+    n = held.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
+    return F.broadcast(held) if n <= BROADCAST_TERMS else held
+
+
+def term_spans(docs: DataFrame, terms: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key_id, text_key, found, shares: spans of kind term in each distinct row that has one, outside of its base spans (these are
     blanked before terms are looked for), and the share of each term."""
     rows = docs.select(F.col(id_col).cast("long").alias("key_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = rows.select("key_id", F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), {_quoted(TERM)}, 0)"))).alias("term"))
     has = words.join(terms, "term").groupBy("key_id", "text_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares"))
+    has = _sized(has, "shares", scratch, "has")
     texts = rows.withColumn("text_key", F.xxhash64("text")).alias("r").join(has.alias("h"), F.expr("r.key_id <=> h.key_id and r.text_key = h.text_key")).select("r.key_id", "r.text_key", "text", "shares").dropDuplicates(["key_id", "text_key"])
     texts = texts.withColumn("base", F.concat(*[F.expr(sql) for _, sql in base_spans("text")]))
     texts = _replaced(texts, "transform(base, s -> named_struct('start', s.start, 'end', s.end, 'label', ''))", "bare", "repeat(' ', ends[j] - h.start)")
     texts = texts.withColumn("pattern", F.expr(r"concat('(?iu)(?<!\\p{L})(?:', array_join(sort_array(map_keys(shares)), '|'), ')(?!\\p{L})')"))
-    return texts.select("key_id", "text_key", F.expr(_spans("bare", "pattern", "term", "true", "true")).alias("found"), "shares")
+    return _sized(texts.select("key_id", "text_key", F.expr(_spans("bare", "pattern", "term", "true", "true")).alias("found"), "shares"), "found", scratch, "term_spans")
 
 
 def report(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +171,7 @@ def report(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text
     if terms is None:
         rows = rows.withColumn("spans", F.col("base_text"))
     else:
-        more = term_spans(docs, terms, id_col, text_col)
+        more = term_spans(docs, terms, scratch, id_col, text_col)
         rows = rows.alias("r").join(more.alias("t"), F.expr("r.doc_id <=> t.key_id and r.text_key = t.text_key"), "left").select("doc_id", "base", "base_text", "found")
         rows = rows.withColumn("spans", F.expr(f"coalesce({_written('concat(base, found)')}, base_text)"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind, *_ in KINDS]
@@ -178,7 +190,7 @@ def redact(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text
     label = "named_struct('start', s.start, 'end', s.end, 'label', concat('[', upper(s.kind), ']'))"
     marks = f"transform(base, s -> {label})"
     if terms is not None:
-        rows = rows.withColumn("text_key", F.xxhash64("text")).alias("r").join(term_spans(docs, terms, id_col, text_col).alias("t"), F.expr(f"cast(r.{key} as bigint) <=> t.key_id and r.text_key = t.text_key"), "left").select(*[f"r.{n}" for n in names], "text", "base", "found", "shares")
+        rows = rows.withColumn("text_key", F.xxhash64("text")).alias("r").join(term_spans(docs, terms, scratch, id_col, text_col).alias("t"), F.expr(f"cast(r.{key} as bigint) <=> t.key_id and r.text_key = t.text_key"), "left").select(*[f"r.{n}" for n in names], "text", "base", "found", "shares")
         soft = f"named_struct('start', s.start, 'end', s.end, 'label', case when coalesce(shares[lower(s.value)], 1.0) >= {REMOVE} then '[TERM]' else concat(left(s.value, 1), '…') end)"
         marks = f"concat({marks}, coalesce(transform(found, s -> {soft}), cast(array() as array<struct<start:int,end:int,label:string>>)))"
     rows = _replaced(rows, marks, "clean").withColumn("clean", F.when(F.col(text).isNotNull(), F.col("clean")))

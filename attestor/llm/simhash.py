@@ -371,4 +371,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 5, similarity
     least = F.min(F.struct(F.col("own").isNull().alias("unnamed"), "own", "hash", "row")).alias("least")
     kept = groups.join(ids, "row").groupBy("group").agg(least).select(F.col("least.row").alias("row"))
     gone = scratch.write(groups.select("row").join(kept, "row", "left_anti"), "gone")
+    for table in scratch.tables - {"rows", "gone"}:  # the result needs no other
+        scratch.drop(table)
     return rows.join(small(gone), "row", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
