@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
@@ -22,6 +22,25 @@ def refusal_by_class(stats: DataFrame, expected: DataFrame) -> DataFrame:
     return x.groupBy("policy", "boundary_class").agg(F.count("*").alias("n"), F.count_if(~F.col("answered")).alias("n_refused"))
 
 
+def grounded(final: DataFrame, gold: DataFrame) -> DataFrame:
+    """final: finished runs of the agent; gold: run_id, drug, gold_loinc_any. run_id, correct: the run ended with an answer that cites an acceptable section of the label."""
+    x = final.join(gold, "run_id").withColumn("cites", T.citations("answer_text"))
+    hit = F.expr("exists(evidence, e -> e.drug = drug and array_contains(gold_loinc_any, e.loinc) and array_contains(cites, e.cite_key))")
+    return x.select("run_id", (F.coalesce(F.col("terminated_by") == "answer", F.lit(False)) & F.coalesce(hit, F.lit(False))).alias("correct"))
+
+
+def theta_grid(runs: DataFrame) -> DataFrame:
+    """runs: theta_high, theta_low, terminated_by, n_actions, boundary_class (null: must answer), correct. One row for each pair of thresholds:
+    accuracy and wrong abstentions over the questions to answer, refusals and hard answers over the others, their sum as score
+    (the wrong ones count against it) and place, the best score first, then the fewest actions."""
+    asked, bound, answered = F.col("boundary_class").isNull(), F.col("boundary_class").isNotNull(), F.col("terminated_by") == "answer"
+    share = lambda test, of: F.round(F.coalesce(F.avg(F.when(of, F.coalesce(test, F.lit(False)).cast("double"))), F.lit(0.0)), 9)
+    g = runs.groupBy("theta_high", "theta_low").agg(F.count("*").alias("n"), share(F.col("correct"), asked).alias("accuracy"), share(~answered, asked).alias("wrong_abstain"), share(F.col("terminated_by") == "abstain", bound).alias("refusal"), share(F.col("terminated_by") != "abstain", bound).alias("hard_answer"), F.round(F.avg("n_actions"), 9).alias("avg_actions"))
+    g = g.withColumn("score", F.round(F.col("accuracy") + F.col("refusal") - F.col("wrong_abstain") - F.col("hard_answer"), 9))
+    cells = Window.orderBy(F.desc("score"), "avg_actions", "theta_high", "theta_low")  # one row for each cell of a grid
+    return g.withColumn("place", F.row_number().over(cells))
+
+
 def path_survey(stats: DataFrame) -> DataFrame:
     """policy, n_runs, n_paths, most_common, avg_actions, avg_cost, n_answered."""
     by = stats.groupBy("policy", "path").agg(F.count("*").alias("n"), F.sum("n_actions").alias("a"), F.sum("cost_spent").alias("c"), F.count_if("answered").alias("y"))

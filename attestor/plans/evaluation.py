@@ -23,6 +23,10 @@ def _set(spark, sf_dir):
     return evalsets.without_tautologies(evalsets.locate_set(_labels(spark, sf_dir), entities, PROSE))
 
 
+def located_questions(spark, sf_dir):
+    return _set(spark, sf_dir)
+
+
 def locate_set(spark, sf_dir):
     return _set(spark, sf_dir).withColumn("gold_loinc_any", F.array_join("gold_loinc_any", ","))
 

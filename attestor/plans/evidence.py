@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
-from attestor.operators import agent, answering, consistency, coverage, decisions, ledger, ranking, selection, sessions
+from attestor.operators import agent, answering, consistency, coverage, decisions, evalsets, ledger, metrics, ranking, selection, sessions
 from attestor.plans.retrieval import CHUNKS, LOCATED, SCORED, Corpus
 from attestor.sources.fixtures import table
 
@@ -195,15 +195,48 @@ def agent_runs(spark, sf_dir):
     return agent.stats(agent.run(retriever, runs))
 
 
+def _expected(spark, sf_dir, n_asked=None, n_bound=None):
+    """run_id, question, boundary_class (null: must answer), drug, gold_loinc_any: the locate set and the boundary set, capped if asked for (by turns of labels and of classes)."""
+    from attestor.plans.evaluation import boundary_set, located_questions
+
+    asked = located_questions(spark, sf_dir)
+    asked = evalsets.cap_round_robin(asked, n_asked, "drug", "qid") if n_asked else asked
+    bound = boundary_set(spark, sf_dir)
+    bound = evalsets.cap_round_robin(bound, n_bound, "boundary_class", "question") if n_bound else bound
+    asked = asked.select(F.concat(F.lit("a:"), "qid").alias("run_id"), "question", F.lit(None).cast("string").alias("boundary_class"), "drug", "gold_loinc_any")
+    return asked.union(bound.select(F.concat(F.lit("b:"), "boundary_class", F.lit("|"), "question"), "question", "boundary_class", F.lit(None), F.lit(None)))
+
+
 def agent_theta_grid(spark, sf_dir):
-    """The coverage policy under every pair of thresholds: one batch, best score first."""
-    retriever, runs = _runs(spark, sf_dir)
-    grid = [(h / 100, low / 100) for h in (40, 50, 60, 70, 75, 80, 90) for low in (30, 45, 60, 70) if low < h]
+    """The coverage policy under every pair of thresholds over 24 questions to answer and 20 to refuse: one batch, best score first."""
+    retriever, _ = _runs(spark, sf_dir)
+    work = retriever.work
+    wanted = work.keep(_expected(spark, sf_dir, 24, 20))
+    grid = [(h / 100, low / 100) for h in (30, 35, 40, 50, 60, 75, 90) for low in (0, 20, 30, 45) if low < h]
     cells = spark.createDataFrame(grid, "theta_high double, theta_low double")
-    again = runs.where("policy = 'coverage'").join(F.broadcast(cells)).withColumn("run_id", F.concat_ws("@", "run_id", "theta_high", "theta_low"))
-    f = agent.run(retriever, again)
-    s = agent.stats(f).join(f.select("run_id", "theta_high", "theta_low"), "run_id")
-    return s.groupBy("theta_high", "theta_low").agg(F.count("*").alias("n"), F.round(F.avg(F.col("answered").cast("double")), 9).alias("answer_rate"), F.round(F.avg("n_actions"), 9).alias("avg_actions"), F.round(F.avg("cost_spent"), 9).alias("avg_cost"))
+    runs = wanted.join(F.broadcast(cells)).withColumn("base", F.col("run_id")).withColumn("run_id", F.concat_ws("@", "run_id", "theta_high", "theta_low"))
+    final = work.keep(agent.run(retriever, runs.select("run_id", "base", "question", "theta_high", "theta_low")))
+    right = metrics.grounded(final, runs.where("boundary_class is null").select("run_id", "drug", "gold_loinc_any"))
+    done = final.select("run_id", "base", "theta_high", "theta_low", "terminated_by", F.size("actions").alias("n_actions")).join(right, "run_id", "left")
+    return metrics.theta_grid(done.join(wanted.select(F.col("run_id").alias("base"), "boundary_class"), "base"))
+
+
+def agent_refusals(spark, sf_dir):
+    """Both policies over the whole locate and boundary sets: refusals by class, and right answers (class answerable)."""
+    retriever, _ = _runs(spark, sf_dir)
+    wanted = retriever.work.keep(_expected(spark, sf_dir))
+    runs = wanted.withColumn("policy", F.explode(F.array(F.lit("rule"), F.lit("coverage")))).withColumn("base", F.col("run_id")).withColumn("run_id", F.concat_ws("@", "run_id", "policy"))
+    final = retriever.work.keep(agent.run(retriever, runs.select("run_id", "base", "question", "policy")))
+    right = metrics.grounded(final, runs.where("boundary_class is null").select("run_id", "drug", "gold_loinc_any"))
+    x = final.select("run_id", "base", "policy", "terminated_by", F.size("actions").alias("n_actions")).join(right, "run_id", "left").join(wanted.select(F.col("run_id").alias("base"), F.coalesce("boundary_class", F.lit("answerable")).alias("boundary_class")), "base")
+    return x.groupBy("policy", "boundary_class").agg(F.count("*").alias("n"), F.count_if(F.col("terminated_by") == "abstain").alias("n_refused"), F.count_if(F.col("terminated_by") == "answer").alias("n_answered"), F.count_if("correct").alias("n_correct"), F.round(F.avg("n_actions"), 9).alias("avg_actions"))
+
+
+def agent_closure(spark, sf_dir):
+    """Claims of all answers and what their citations lack, by policy."""
+    retriever, runs = _runs(spark, sf_dir)
+    final = retriever.work.keep(agent.run(retriever, runs))
+    return agent.finished(final).join(final.select("run_id", "policy"), "run_id").groupBy("policy").agg(F.count("*").alias("n"), F.sum("n_claims").alias("n_claims"), F.sum("n_problems").alias("n_problems"), F.count_if("malformed").alias("n_malformed"))
 
 
 def agent_counterfactuals(spark, sf_dir):
@@ -227,7 +260,7 @@ def session_runs(spark, sf_dir):
     return agent.stats(final).join(final.select("run_id", "conv_id", "n_carried"), "run_id").select("run_id", "conv_id", "path", "terminated_by", "n_actions", "n_carried", "n_evidence")
 
 
-QUERIES = {f.__name__: f for f in (question_terms, coverage_scores, selection_pool, selection_sweep, grounded_answers, claims, verify_answers, ledger_steps, ledger_first_steps, ledger_closure, attribution, attribution_compare, linear_pipeline, consistency_sides, consistency_pairs, citation_balance, session_resolve, session_summary, decision_report, available_actions, agent_runs, agent_theta_grid, agent_counterfactuals, session_runs)}
+QUERIES = {f.__name__: f for f in (question_terms, coverage_scores, selection_pool, selection_sweep, grounded_answers, claims, verify_answers, ledger_steps, ledger_first_steps, ledger_closure, attribution, attribution_compare, linear_pipeline, consistency_sides, consistency_pairs, citation_balance, session_resolve, session_summary, decision_report, available_actions, agent_runs, agent_theta_grid, agent_refusals, agent_closure, agent_counterfactuals, session_runs)}
 
 _C = lambda n: f"({_CODES_SQL})[({n}) % {len(_CODES)} + 1]"
 _TERMS = f"""list_filter({T.tokens_sql('question')}, lambda x: length(x) >= 3 and x not in ({T.quoted(K.QUESTION_FILLERS)}) and not list_contains(drugs, x))"""
