@@ -9,7 +9,8 @@ of their bounds, and stops when the next bound is below its k-th score; bounds c
 scores are integers, so the result is exact and ties are whole. Pivots come from a bounded sample (PIVOTS rows of
 least hash); every row is indexed.
 
-Queries run against all rows in blocks: query blocks times shelves (runs of annuli), each pair one bounded task.
+Annuli lie on shelves (runs of annuli). A query is sent to the shelves whose bounds reach its k-th score, and a shelf to
+the blocks of queries that ask for it; each such pair of a query block and a shelf is one bounded task.
 
 Vectors that are null, empty, or hold null or non-finite components, and rows without an id, take no part. Only
 vectors of equal length are compared. Rows that repeat an id are rows of their own: a query never meets its own
@@ -32,8 +33,8 @@ from attestor.llm.common import Scratch, batch, lean
 
 SCALE, PIVOTS, ANNULUS, SHELF, QUERY_BLOCK = 256, 64, 1024, 8, 4096
 EXACT = float(1 << 53)
-#: Shelf ids (a row for about 8192 vectors) are broadcast up to this many.
-BROADCAST_ROWS = 100_000
+#: Bounds of shelves (a row or two for about 8192 vectors, 28 bytes each) go to all tasks up to this many rows.
+EDGES = 100_000
 
 
 def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -72,6 +73,13 @@ def _stack(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _bounds(q: np.ndarray, pivots: np.ndarray, most: float, slack: float, cell: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """No row between near and far of a cell's pivot has a higher score with a query (rows) than this."""
+    d = _distances(np.c_[q, np.zeros(len(q))], pivots)[:, cell]
+    gap = np.maximum(np.maximum(d - far, near - d) - slack, 0)
+    return ((q * q).sum(1)[:, None] + most * most - gap * gap) / 2 + slack * (1 + most)
+
+
 def search(spark: SparkSession, rows: DataFrame, *, k: int = 5, every: int = 50, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", stats: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best other rows of every row whose id is divisible by `every`."""
     scratch = Scratch(spark, "topk")
@@ -138,13 +146,38 @@ def _search(scratch: Scratch, vectors: DataFrame, dim: int, n: int, most: float,
     keyed = vectors.select("vec_id", "v").mapInArrow(lean(key), keyed_schema)
     index = keyed.repartitionByRange(parts, "cell", "far", "vec_id").sortWithinPartitions("cell", "far", "vec_id").mapInArrow(lean(rings), ring_schema)
     index = scratch.write(index, f"index{dim}")
+    edges = index.groupBy("shelf", "cell").agg(F.min("near").alias("near"), F.max("far").alias("far"))
+    edges = scratch.write(edges, f"edges{dim}")
+    by_cell = edges.count() > EDGES  # too many shelves to tell every task: then queries ask for cells, and so for all shelves of a cell
+    told = edges.groupBy("cell").agg(F.min("near").alias("near"), F.max("far").alias("far")).withColumn("shelf", F.col("cell").cast("long")) if by_cell else edges
+    told = told.orderBy("shelf", "cell").toArrow()  # at most EDGES rows
+    shelves = scratch.spark.sparkContext.broadcast(tuple(told.column(c).to_numpy() for c in ("shelf", "cell", "near", "far")))
     blocks = max(1, -(-n // (every * QUERY_BLOCK)))
-    queries = index.where(F.size("query_ids") > 0).select("ring", F.expr(f"transform(query_at, a -> slice(v, a * {dim} + 1, {dim}))").alias("q"), "query_ids", "query_at", "query_least", F.pmod(F.xxhash64("ring"), F.lit(blocks)).cast("int").alias("block"))
-    shelves = index.groupBy("shelf").agg(F.count("*").alias("rings")).select(F.col("shelf").alias("asked"))
-    if parts <= BROADCAST_ROWS:
-        shelves = F.broadcast(shelves)
-    queries = queries.join(shelves)  # the stated query set, in blocks, against all rows, in shelves
-    index = scratch.read(f"index{dim}", ring_schema).select("shelf", "ring", "cell", "near", "far", "ids", "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked_schema = StructType.fromDDL("asked long, part int, ring long, q array<array<double>>, query_ids array<long>, query_at array<int>, query_least array<double>")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries of an annulus, for every shelf that may hold a score over the one they have; theirs is there already."""
+        shelf, cell, near, far = shelves.value
+        names, first = np.unique(shelf, return_index=True)
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                q = np.array(r["v"]).reshape(-1, dim)[r["query_at"]]
+                may = _bounds(q, pivots, most, slack, cell, near, far) >= np.array(r["query_least"])[:, None]
+                for k, hit in zip(names.tolist(), np.logical_or.reduceat(may, first, axis=1).T, strict=True):
+                    at = np.flatnonzero(hit).tolist()
+                    if at:
+                        rows.append((k, r["block"], r["ring"], q[at].tolist(), *([r[c][i] for i in at] for c in ("query_ids", "query_at", "query_least"))))
+            if rows:
+                yield batch(to_arrow_schema(asked_schema), *zip(*rows, strict=True))
+
+    block = F.pmod(F.xxhash64("ring"), F.lit(blocks)).cast("int").alias("block")
+    queries = index.where(F.size("query_ids") > 0).select("ring", "v", "query_ids", "query_at", "query_least", block).mapInArrow(lean(route), asked_schema)
+    if by_cell:
+        queries = queries.join(edges.select(F.col("cell").cast("long").alias("asked"), "shelf"), "asked").drop("asked").withColumnRenamed("shelf", "asked").select(*asked_schema.names)
+    queries = scratch.write(queries, f"asked{dim}")
+    pairs = queries.select(F.col("asked").alias("shelf"), F.col("part").alias("block")).distinct()  # a shelf goes only to the blocks that ask for it
+    index = scratch.read(f"index{dim}", ring_schema).select("shelf", "ring", "cell", "near", "far", "ids", "v").join(pairs, "shelf")
     found_schema = StructType.fromDDL("uid long, query_id long, vec_id long, score long")
 
     def expand(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -155,12 +188,8 @@ def _search(scratch: Scratch, vectors: DataFrame, dim: int, n: int, most: float,
         asked = [(r["ring"], i, a, least, q) for r in left.to_pylist() for i, a, least, q in zip(r["query_ids"], r["query_at"], r["query_least"], r["q"], strict=True)]
         q = np.array([x[4] for x in asked])
         ring, at, least = np.array([x[0] for x in asked]), np.array([x[2] for x in asked]), np.array([x[3] for x in asked])
-        to_pivot = _distances(np.c_[q, np.zeros(len(q))], pivots)
         annuli = right.to_pylist()
-        cell, near, far = (np.array([r[c] for r in annuli]) for c in ("cell", "near", "far"))
-        d = to_pivot[:, cell]
-        gap = np.maximum(np.maximum(d - far, near - d) - slack, 0)
-        bound = ((q * q).sum(1)[:, None] + most * most - gap * gap) / 2 + slack * (1 + most)
+        bound = _bounds(q, pivots, most, slack, *(np.array([r[c] for r in annuli]) for c in ("cell", "near", "far")))
         top = [np.empty((0, 2), np.int64) for _ in asked]
         for j in np.argsort(-bound.max(0), kind="stable").tolist():
             open_ = np.flatnonzero(bound[:, j] >= least)
@@ -182,4 +211,4 @@ def _search(scratch: Scratch, vectors: DataFrame, dim: int, n: int, most: float,
         uid = np.repeat(ring * ANNULUS + at, size)
         return pa.table([uid, np.repeat(np.array([x[1] for x in asked], np.int64), size), flat[:, 1], flat[:, 0]], schema=schema)
 
-    return queries.withColumnRenamed("block", "part").groupBy("asked", "part").cogroup(index.select(F.col("shelf").alias("s"), F.col("block").alias("b"), "ring", "cell", "near", "far", "ids", "v").groupBy("s", "b")).applyInArrow(expand, found_schema)
+    return queries.groupBy("asked", "part").cogroup(index.select(F.col("shelf").alias("s"), F.col("block").alias("b"), "ring", "cell", "near", "far", "ids", "v").groupBy("s", "b")).applyInArrow(expand, found_schema)

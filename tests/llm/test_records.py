@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attestor.llm import chat, pii, topk
 from attestor.llm.common import Scratch
@@ -38,6 +39,11 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHELF", 3)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
     assert Counter(map(tuple, topk.search(spark, frame).collect())) == brute_top(rows)
+    clashing = frame.withColumns({c: F.lit("x") for c in ("v", "norm", "dim", "cell", "shelf", "uid", "score", "rank", "query_id")})
+    monkeypatch.setattr(topk, "EDGES", 0)  # shelves are then asked by their cells
+    found = topk.search(spark, clashing)
+    assert Counter(map(tuple, found.collect())) == brute_top(rows)
+    assert not re.search("NestedLoop|CartesianProduct", found._jdf.queryExecution().executedPlan().toString())
     assert topk.search(spark, frame.where("false")).count() == 0
     assert Counter(map(tuple, topk.search(spark, frame.where("vec_id in (0, 3)")).collect())) == brute_top([r for r in rows if r[0] in (0, 3)])
 
