@@ -185,7 +185,8 @@ def _search(scratch: Scratch, vectors: DataFrame, dim: int, n: int, most: float,
         schema = to_arrow_schema(found_schema)
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        asked = [(r["ring"], i, a, least, q) for r in left.to_pylist() for i, a, least, q in zip(r["query_ids"], r["query_at"], r["query_least"], r["q"], strict=True)]
+        asked = {(r["ring"], a): (r["ring"], i, a, least, q) for r in left.to_pylist() for i, a, least, q in zip(r["query_ids"], r["query_at"], r["query_least"], r["q"], strict=True)}
+        asked = list(asked.values())  # once, though it may ask for two cells of the shelf
         q = np.array([x[4] for x in asked])
         ring, at, least = np.array([x[0] for x in asked]), np.array([x[2] for x in asked]), np.array([x[3] for x in asked])
         annuli = right.to_pylist()
