@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
-from attestor.operators import evalsets, ledger, metrics, routing
-from attestor.plans.evidence import _STEPS, _names, ledger_steps
-from attestor.plans.retrieval import CHUNKS, Corpus
+from attestor.operators import evalsets, ledger, metrics, ranking, routing
+from attestor.plans.evidence import _POOL, _SIDES, _STEPS, _names, ledger_steps
+from attestor.plans.retrieval import CHUNKS, LOCATED, Corpus
 from attestor.sources import labels as source
 from attestor.sources.fixtures import PROSE, table
 from attestor.streaming import events
@@ -121,7 +121,7 @@ def stream_windows(spark, sf_dir):
     """All tumbling windows of the event stream, drained to its end, in whatever order its files lie."""
     path = f"{sf_dir}/event[s].parquet"  # a pattern, so that it may be a file or a folder
     w = events.windowed(events.read_events(spark, path)).withColumn("total", F.round("total", 6))
-    return events.run_to_end(w, "complete")
+    return events.run_to_end(w, "complete").withColumn("window_start", F.unix_timestamp("window_start"))
 
 
 def intent_set(spark, sf_dir):
@@ -149,8 +149,6 @@ def pool_probe(spark, sf_dir):
 
 def complementarity(spark, sf_dir):
     """BM25 and keywords on questions by template."""
-    from attestor.operators import ranking
-
     c = Corpus(spark, sf_dir)
     keyed = c.chunks.select("chunk_key", "section", T.tokens("text").alias("keywords"))
     top = lambda df, s: ranking.ranked(df, s, 5).join(c.chunks.select("chunk_key", "drug"), "chunk_key").join(c.located.select("qid", F.col("drug").alias("named")), "qid").groupBy("qid").agg(F.max((F.col("drug") == F.col("named")).cast("int")).alias("h")).select("qid", (F.col("h") == 1).alias("hit"))
@@ -180,17 +178,40 @@ paired as (select pair || '|' || case when n = 1 then 'direct' else 'paraphrase'
 _VALUES = lambda rows: ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 _EXP = K.EXPECTED
 
+_BOUNDARY = f"""q as (select question, 'out_of_scope' as boundary_class from (values {_VALUES([(x,) for x in PROSE.out_of_scope])}) v(question)
+        union all select replace(t, '{{drug}}', drug), 'beyond_label' from labels, (values {_VALUES([(x,) for x in PROSE.beyond_label])}) v(t)
+        union all select replace('{PROSE.unknown}', '{{name}}', name), 'unknown_drug' from (select name from (values {_VALUES(list(enumerate(PROSE.names)))}) v(k, name) where name not in (select lower(drug) from labels) order by k limit 8)
+        union all select replace(replace('{PROSE.missing}', '{{aspect}}', aspect), '{{drug}}', drug), 'missing_section' from labels, (values {_VALUES(PROSE.aspects)}) v(aspect, code) where not list_contains(codes, code))"""
+_PLAIN = lambda x: f"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_HTML = "html"
+for _tag in ("script", "style", "nav", "footer", "aside"):
+    _HTML = f"regexp_replace({_HTML}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', ' ', 'g')"
+_HTML = f"""regexp_replace(regexp_replace({_HTML}, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<div class="ad">.*?</div>', ' ', 'g')"""
+_HITS = lambda scores: f"select qid, max((c.drug = l.drug)::int) = 1 as hit from (select *, row_number() over (partition by qid order by score desc, chunk_key) as rank from {scores}) s join chunks c using (chunk_key) join located l using (qid) where rank <= 5 group by qid"
+
 ORACLE_SQL = {
     "intent_set": f"""{_LABELS}, t as (select * from (values {_VALUES([(k, *x) for k, x in enumerate(PROSE.follow_ups)])}) v(k, follow_up, intent)), r as (select *, list_filter({_CODES}[intent], lambda c: list_contains(codes, c)) as gold from labels, t)
         select drug || '|' || k as qid, replace('{PROSE.opening}', '{{drug}}', drug) || '|' || follow_up as turns, drug as referent, intent, follow_up || ' (' || drug || ')' as resolved_query, gold[1] as gold_loinc from r where len(gold) > 0""",
     "e2e_set": f"""{_LABELS}, {_NAMES}, s as (select * from (values {", ".join(f"('{n}', " + "['" + "', '".join(t) + "'])" for n, t in PROSE.scripts.items())}) v(scenario, script))
         select l.drug || '|' || scenario as qid, scenario, l.drug, array_to_string(list_transform(script, lambda x: replace(replace(x, '{{drug}}', l.drug), '{{entity}}', coalesce(n.name, ''))), '|') as turns, len(script) as n_turns from labels l join s on true left join names n on n.drug = l.drug""",
     "locate_set": f"{_SET} select qid, question, intent, drug, entity, template_id, gold_loinc, array_to_string(accept, ',') as gold_loinc_any from qset",
-    "boundary_set": f"""{_LABELS}, q as (select question, 'out_of_scope' as boundary_class from (values {_VALUES([(x,) for x in PROSE.out_of_scope])}) v(question)
-        union all select replace(t, '{{drug}}', drug), 'beyond_label' from labels, (values {_VALUES([(x,) for x in PROSE.beyond_label])}) v(t)
-        union all select replace('{PROSE.unknown}', '{{name}}', name), 'unknown_drug' from (select name from (values {_VALUES(list(enumerate(PROSE.names)))}) v(k, name) where name not in (select lower(drug) from labels) order by k limit 8)
-        union all select replace(replace('{PROSE.missing}', '{{aspect}}', aspect), '{{drug}}', drug), 'missing_section' from labels, (values {_VALUES(PROSE.aspects)}) v(aspect, code) where not list_contains(codes, code))
-        select question, boundary_class, case boundary_class {' '.join(f"when '{k}' then '{v}'" for k, v in _EXP.items())} end as expect_action from q""",
+    "boundary_set": f"{_LABELS}, {_BOUNDARY} select question, boundary_class, case boundary_class {' '.join(f"when '{k}' then '{v}'" for k, v in _EXP.items())} end as expect_action from q",
+    "set_manifest": f"{_SET}, {_BOUNDARY} select 'locate' as name, count(*) as n from qset union all select 'paired', count(*) from paired union all select 'boundary', count(*) from q",
+    "hard_set": f"""{_SIDES}, labels as (select drug, unnest(list_sort(list(distinct loinc))) as c from chunks group by drug),
+        g as (select 'multi_section' as kind, [a.drug] as drugs, [a.drug || '#' || a.c, b.drug || '#' || b.c] as golds from labels a join labels b on a.drug = b.drug and a.c < b.c
+          union all select 'cross_drug', [speaker, about], [speaker || '#{K.INTENT_CODES['interaction'][0]}', about || '#{K.INTENT_CODES['interaction'][0]}'] from sides)
+        select row_number() over (partition by kind order by golds) as turn, kind, array_to_string(drugs, ',') as drugs, array_to_string(golds, ',') as golds from g""",
+    "stream_windows": "select epoch(date_trunc('hour', ts))::bigint as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all",
+    "pool_probe": f"""{_POOL}, p as (select qid, rank, doc_id || '#' || loinc as cite_key, list_contains(drugs, drug) as own, len(list_intersect({T.content_words_sql('question')}, {T.content_words_sql('text')})) as overlap from pool where rank <= 20),
+        gold as (select qid, arg_min(cite_key, rank) as cite_key from p where own group by qid), best as (select qid, max(overlap) as best, count(*) as n_pool from p group by qid),
+        g as (select qid, min(rank) as gold_pos, max(overlap) as gold_overlap from p join gold using (qid, cite_key) group by qid)
+        select qid, best, n_pool, gold_pos, gold_overlap, coalesce(gold_overlap = best, false) as gold_is_best from gold left join best using (qid) left join g using (qid)""",
+    "complementarity": f"""{LOCATED}, {ranking.BM25_SQL}, q as (select qid, unnest(list_distinct({T.tokens_sql('question')})) as term from questions), k as (select chunk_key, unnest(list_distinct({T.tokens_sql('text')})) as term from chunks),
+        h as (select qid, chunk_key, count(*) as score from q join k using (term) group by all), x as ({_HITS('(select qid, chunk_key, bm25 as score from bm25)')}), y as ({_HITS('h')}),
+        z as (select coalesce(intent, 'none') as kind, coalesce(x.hit, false) as a, coalesce(y.hit, false) as b from located left join x using (qid) left join y using (qid))
+        select kind, count(*) as n, count(*) filter (a) as n_a, count(*) filter (b) as n_b, count(*) filter (a or b) as n_either, count(*) filter (a and not b) as n_only_a, count(*) filter (b and not a) as n_only_b from z group by kind""",
+    "page_sections": f"""with h as (select page_id, {_HTML} as html from pages), p as (select page_id, {_PLAIN("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")} as title, unnest((string_split_regex(html, '(?i)<p\\b[^>]*>'))[2:]) as raw from h),
+        t as (select page_id, title, {_PLAIN("regexp_replace(raw, '(?is)</(p|article)>.*$', '')")} as text from p) select page_id, title, count(*) as n, sum(length(text))::bigint as n_chars from t where length(text) > {source.MIN_CHARS} group by all""",
     "paired_set": f"{_SET} select * from paired",
     "cap_round_robin": f"{_SET} select qid, drug from (select *, row_number() over (partition by drug order by qid) as turn from qset) order by turn, drug limit 60",
     "cap_stratified": f"{_SET}, t as (select *, row_number() over (partition by intent, drug order by qid) as turn from qset), p as (select *, row_number() over (partition by intent order by turn, drug) as place from t) select qid, drug, intent from p where place <= greatest(1, 50 // (select count(distinct intent) from qset))",

@@ -9,7 +9,7 @@ import pytest
 
 from attestor.plans.catalog import ORACLE_SQL, QUERIES
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 
 
 def plain(value):
