@@ -129,3 +129,19 @@ def test_every_source_keeps_its_target(spark, monkeypatch):
     assert all(abs(first[k] - 3 * 2400 * n / total) <= 2 for k, n in whole.items())
     named = packing.pack(spark, docs, WORD, window=whole[1199], mixture={"src1199": 1.0}).where("sequence_id = 0").collect()
     assert {p["doc_id"] for p in named} == {1199} and sum(p["length"] for p in named) == whole[1199]
+
+
+def test_pieces_are_the_ids_that_they_name(spark, odd_rows, nothing):
+    """start, length, doc_tokens and ids_crc32 of every piece, cut pieces too, against the library's ids; rows that repeat hold theirs as often."""
+    other = Tokenizer.from_file(WORD)
+    rows = [(k, t) for k, (_, t, *_) in enumerate(odd_rows)] * 2
+    docs = spark.createDataFrame([(k, t, f"s{k % 5}") for k, t in rows], "doc_id long, text string, source string").repartition(5)
+    pieces = packing.pack(spark, docs, WORD, window=64, digest=True).collect()
+    ids = {k: np.array([*other.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in rows}
+    held = {k: np.zeros(len(x), int) for k, x in ids.items()}
+    for p in pieces:
+        own = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert len(own) == p["length"] and p["doc_tokens"] == len(ids[p["doc_id"]]) and p["ids_crc32"] == zlib.crc32(own.tobytes())
+        held[p["doc_id"]][p["start"] : p["start"] + p["length"]] += 1
+    assert all((x == 2).all() for x in held.values()) and any(p["start"] for p in pieces)
+    assert packing.pack(spark, nothing, WORD, digest=True).count() == 0
