@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, chat, hmm, packing, phrases, pii, quality, simhash, topk, toxicity
+from attestor.llm import bpe, chat, fim, hmm, packing, phrases, pii, quality, simhash, topk, toxicity
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +64,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(spark, documents(spark, sf_dir))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fim.restore(fim.transform(documents(spark, sf_dir)))
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_hidden_markov": op2_hidden_markov,
@@ -75,12 +80,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 _WORDS = r"[^\x20\x09-\x0D]+"
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '<', '\l'), '[', '\b')"
 
 #: The operators whose whole result SQL can express; the others are held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op12_fill_in_middle": """with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+        drawn as (select *, len(u) as n, list_transform(range(4), lambda k: ('0x' || h[8 * k + 1:8 * k + 8])::bigint) as g from d),
+        cut as (select *, least(g[1] % (n + 1), g[2] % (n + 1)) as a, greatest(g[1] % (n + 1), g[2] % (n + 1)) as b,
+          case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or g[3] % 100 >= 90 then 'plain' when g[4] % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+        part as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:n], '') as s from cut)
+        select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+          sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from part""",
     "op4_pivot_topk": """with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings),
         s as (select q.r, q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score from v q join v c on q.vec_id % 50 = 0 and q.r <> c.r)
         select query_id, rank, vec_id, score from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s) where rank <= 5""",
