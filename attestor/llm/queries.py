@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, chat, fim, hmm, packing, phrases, pii, quality, simhash, topk, toxicity
+from attestor.llm import align, bpe, chat, fim, hmm, packing, phrases, pii, quality, simhash, topk, toxicity
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -64,6 +66,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(spark, documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.Alignment(spark, documents(spark, sf_dir), BPE_VOCABULARY, PIECES)
+    return found.scored().withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     formed = fim.restore(fim.transform(documents(spark, sf_dir)))
     return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
+    "op11_alignment": op11_alignment,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 _WORDS = r"[^\x20\x09-\x0D]+"

@@ -3,11 +3,18 @@
 import hashlib
 import random
 import re
+from collections import Counter
+from itertools import accumulate
 
+import numpy as np
+import pytest
+import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from attestor.llm import fim
-from tests.llm.conftest import DOC
+from attestor.llm import align, fim
+from attestor.llm.queries import BPE_VOCABULARY, PIECES
+from tests.llm.conftest import DOC, prose
 
 
 def sha(text):
@@ -50,3 +57,87 @@ def test_fim_parameters_and_empty_table(spark, nothing, odd):
     assert fim.restore(fim.transform(nothing)).count() == 0
     assert {r.form for r in fim.transform(odd, plain=0).collect()} == {"plain"}
     assert {r.form for r in fim.transform(odd, plain=100, spm=100).where(F.length("output") > 9).collect()} == {"spm"}
+
+
+@pytest.fixture(scope="module")
+def sides():
+    a = Tokenizer.from_file(BPE_VOCABULARY)
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+def plain_groups(sides, text):
+    """Groups as lists of ids of A and B, by plain offsets of whole texts; none where bytes differ."""
+    a, b = sides
+    letters = align.byte_letters()
+    want = b" " + text.encode()
+    a_ids, b_ids = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+    a_bytes = [bytes(letters[c] for c in a.id_to_token(i)) for i in a_ids]
+    b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in b_ids]
+    if not text or b"".join(a_bytes) != want or b"".join(b_bytes) != want:
+        return []
+    ends = [list(accumulate(map(len, x))) for x in (a_bytes, b_bytes)]
+    groups, last = [], 0
+    for end in sorted(set(ends[0]) & set(ends[1])):
+        groups.append(tuple([i for i, e in zip(ids, own, strict=True) if last < e <= end] for ids, own in zip((a_ids, b_ids), ends, strict=True)))
+        last = end
+    return groups
+
+
+def plain_alignment(sides, rows):
+    """All columns of the alignment of (id, text) rows."""
+    grouped = [plain_groups(sides, t or "") for _, t in rows]
+    links = [[(x, y) for a, b in g for x in a for y in b] for g in grouped]
+    count = Counter(p for own in links for p in set(own))
+    top = {}
+    for (a, _), n in count.items():
+        top[a] = max(top.get(a, 0), n)
+    out = []
+    for (doc_id, _), g, own in zip(rows, grouped, links, strict=True):
+        shown = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in g)
+        best = sum(count[p] == top[p[0]] for p in own)
+        out.append((doc_id, sum(len(a) for a, _ in g), sum(len(b) for _, b in g), len(g), len(own), best, sum(count[p] for p in own), sha(shown) if g else ""))
+    return out
+
+
+def test_alignment_equals_plain_python(spark, sides, odd, odd_rows):
+    found = align.Alignment(spark, odd, BPE_VOCABULARY, PIECES).scored()
+    assert ordered(map(tuple, found.collect())) == ordered(plain_alignment(sides, [(r[0], r[1]) for r in odd_rows]))
+
+
+def test_alignment_of_white_space_scripts_and_control_strings(spark, sides):
+    rng = random.Random(5)
+    letters = [" ", " ", " ", "  ", "\n", "\t", " ", "　", "\x1c", "\0", "▁", "a", "the", "tion", "Zürich", "日本", "語", "é", "é", "̈", "😀", "'s", "...", "1234", "<|endoftext|>", "<s>", "</s>", "<0x41>", "ﬁ"]
+    rows = [(k, "".join(rng.choice(letters) for _ in range(rng.randrange(0, 30)))) for k in range(800)]
+    rows += [(k + 1000, "".join(rng.choice([x for x in letters if x != "▁"]) for _ in range(40))) for k in range(400)]
+    rows += [(5000, "a" * 20_000), (5001, "ab  " * 3000), (5002, "あい" * 4000)]
+    wanted = plain_alignment(sides, rows)
+    assert sum(r[1] > 0 for r in wanted) > 500
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert ordered(map(tuple, align.Alignment(spark, frame, BPE_VOCABULARY, PIECES).scored().collect())) == ordered(wanted)
+
+
+def test_alignment_of_many_blocks_and_its_other_outputs(spark, sides, nothing, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, prose(rng, rng.randrange(1, 60))) for k in range(300)]
+    monkeypatch.setattr(align, "BLOCK", 4000)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = align.Alignment(spark, frame, BPE_VOCABULARY, PIECES, groups_as="text")
+    wanted = plain_alignment(sides, rows)
+    scored = [tuple(r)[:-1] + (sha(r.groups) if r.groups else "",) for r in found.scored().collect()]
+    assert ordered(scored) == ordered(wanted)
+    count = Counter(p for _, t in rows for p in {(x, y) for a, b in plain_groups(sides, t) for x in a for y in b})
+    assert {(r.a, r.b): r.docs for r in found.pair_counts().collect()} == dict(count)
+    assert align.Alignment(spark, nothing, BPE_VOCABULARY, PIECES).scored().count() == 0
+
+
+def test_components_equal_a_plain_search():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        left, right = rng.integers(0, n, (2, int(rng.integers(0, 50))))
+        label = list(range(n))
+        for _ in range(n):
+            for a, b in zip(left, right, strict=True):
+                label[a] = label[b] = min(label[a], label[b])
+        assert align.components(n, left, right).tolist() == label
