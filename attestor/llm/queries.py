@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import align, bpe, chat, fim, hmm, packing, phrases, pii, quality, simhash, topk, toxicity
+from attestor.llm import align, bpe, chat, fim, hmm, packing, phrases, pii, quality, simhash, suffixes, topk, toxicity
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BPE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(spark, documents(spark, sf_dir), digest_id="doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_hidden_markov": op2_hidden_markov,
@@ -89,12 +93,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_alignment": op11_alignment,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 _WORDS = r"[^\x20\x09-\x0D]+"
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '<', '\l'), '[', '\b')"
 
 #: The operators whose whole result SQL can express; the others are held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op13_suffix_dedup": """with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+        windows as (select r, b, unnest(range(1, octet_length(b) - 398)) as i from d where octet_length(b) >= 400), keyed as (select r, i, md5(b[i:i + 399]) as k from windows),
+        again as (select k from keyed group by k having count(*) > 1), found as (select r, i from keyed join again using (k)),
+        head as (select *, case when i - lag(i) over (partition by r order by i) <= 400 then 0 else 1 end as h from found),
+        runs as (select r, min(i) as s, max(i) + 399 as e from (select *, sum(h) over (partition by r order by i) as run from head) group by r, run),
+        cut as (select d.r, doc_id, b, coalesce(list(s order by s) filter (s is not null), []) as ss, coalesce(list(e order by s) filter (s is not null), []) as es from d left join runs on d.r = runs.r group by d.r, doc_id, b),
+        kept as (select *, array_to_string(list_transform(range(0, len(ss) + 1), lambda k: hex(b[case when k = 0 then 1 else es[k] + 1 end:case when k = len(ss) then octet_length(b) else ss[k + 1] - 1 end])), '') as x from cut)
+        select doc_id, octet_length(b) as n_bytes, octet_length(b) - length(x) // 2 as n_removed, len(ss) as n_spans, sha256(unhex(x)) as kept_sha256 from kept""",
     "op12_fill_in_middle": """with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
         drawn as (select *, len(u) as n, list_transform(range(4), lambda k: ('0x' || h[8 * k + 1:8 * k + 8])::bigint) as g from d),
         cut as (select *, least(g[1] % (n + 1), g[2] % (n + 1)) as a, greatest(g[1] % (n + 1), g[2] % (n + 1)) as b,

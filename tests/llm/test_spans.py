@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
-from itertools import accumulate
+from itertools import accumulate, takewhile
 
 import numpy as np
 import pytest
@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attestor.llm import align, fim
+from attestor.llm import align, fim, suffixes
 from attestor.llm.queries import BPE_VOCABULARY, PIECES
 from tests.llm.conftest import DOC, prose
 
@@ -141,3 +141,101 @@ def test_components_equal_a_plain_search():
             for a, b in zip(left, right, strict=True):
                 label[a] = label[b] = min(label[a], label[b])
         assert align.components(n, left, right).tolist() == label
+
+
+def plain_cut(texts, window):
+    """Of each text: bytes, removed, spans, what stays; by a dictionary of all strings."""
+    raw = [(t or "").encode() if not isinstance(t, bytes) else t for t in texts]
+    count = Counter(t[i : i + window] for t in raw for i in range(len(t) - window + 1))
+    out = []
+    for t in raw:
+        gone = bytearray(len(t))
+        for i in range(len(t) - window + 1):
+            if count[t[i : i + window]] > 1:
+                gone[i : i + window] = b"\1" * window
+        spans = sum(1 for i in range(len(t)) if gone[i] and not (i and gone[i - 1]))
+        out.append((len(t), sum(gone), spans, bytes(b for b, g in zip(t, gone, strict=True) if not g)))
+    return out
+
+
+def assert_cut(spark, rows, window, gram, partitions=5):
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    found = suffixes.remove_repeats(spark, frame, window=window, gram=gram, digest_id="doc_id").collect()
+    wanted = [(r[0], *w[:3], sha(w[3])) for r, w in zip(rows, plain_cut([r[1] for r in rows], window), strict=True)]
+    assert ordered(map(tuple, found)) == ordered(wanted)
+    return sum(w[2] for w in wanted)
+
+
+def random_texts(rng, n, letters):
+    """Texts that share passages of many lengths, at any place, with and without edits."""
+    passages = ["".join(rng.choice(letters) for _ in range(rng.randrange(10, 90))) for _ in range(6)]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.randrange(0, 5)):
+            p = rng.choice(passages) if rng.random() < 0.6 else "".join(rng.choice(letters) for _ in range(rng.randrange(0, 60)))
+            if p and rng.random() < 0.4:
+                i = rng.randrange(len(p))
+                p = p[:i] + rng.choice(letters) + p[i + rng.randrange(2) :]
+            parts.append(p[rng.randrange(5) :])
+        out.append("".join(parts))
+    return out
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh", ["a", "é", "日", "\0", " "]])
+def test_suffixes_equal_plain_python(spark, letters, monkeypatch):
+    rng = random.Random(len(letters))
+    monkeypatch.setattr(suffixes, "BLOCK", 200)
+    monkeypatch.setattr(suffixes, "SHARD", 30)
+    rows = list(enumerate(random_texts(rng, 120, letters))) + [(500, None), (501, ""), (None, "ab" * 60), (502, "a" * 300)]
+    assert assert_cut(spark, rows, 24, 9) > 20
+
+
+def test_suffixes_under_hot_anchors_equal_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 5)
+    monkeypatch.setattr(suffixes, "SENT", 3)
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefghij") for _ in range(150))
+    rows = [(k, base[:k] + "X" + base[k:]) for k in range(100)] + [(200 + k, base) for k in range(40)] + [(300 + k, t) for k, t in enumerate(random_texts(rng, 60, "abcdef"))]
+    assert assert_cut(spark, rows, 30, 10) > 50
+
+
+def test_suffixes_at_production_size(spark, odd, odd_rows, nothing):
+    rng = random.Random(4)
+    shared = prose(rng, 200)
+    rows = [(r[0], r[1]) for r in odd_rows] + [(1000 + k, prose(rng, 150) + shared[k * 3 :] + prose(rng, 60)) for k in range(30)] + [(2000, "日本語テキスト" * 400), (2001, prose(rng, 30_000) + shared)]
+    assert assert_cut(spark, rows, suffixes.WINDOW, suffixes.GRAM) > 20
+    assert suffixes.remove_repeats(spark, nothing).count() == 0
+    cleaned = suffixes.remove_repeats(spark, odd)
+    assert cleaned.columns == odd.columns
+    wanted = [k.decode(errors="ignore") if n else r[1] for r, (_, n, _, k) in zip(odd_rows, plain_cut([r[1] for r in odd_rows], suffixes.WINDOW), strict=True)]
+    assert ordered((r.doc_id, r.text) for r in cleaned.collect()) == ordered(zip([r[0] for r in odd_rows], wanted, strict=True))
+
+
+def test_deep_shallow_orders_as_sorting_does():
+    rng = random.Random(2)
+    for trial in range(60):
+        letters = [b"ab", b"\0\1", b"abcdefgh"][trial % 3]
+        pool = [bytes(rng.choice(letters) for _ in range(rng.randrange(0, 200))) for _ in range(rng.randrange(1, 9))]
+        strings = [p[: rng.randrange(len(p) + 1)] + bytes([rng.choice(letters)]) * rng.randrange(4) if rng.random() < 0.7 else p for p in rng.choices(pool, k=rng.randrange(1, 60))]
+        bucket = np.array(sorted(rng.randrange(4) for _ in strings))
+        order, shared = suffixes.deep_shallow(strings, bucket, 16)
+        got = [(int(bucket[k]), strings[k]) for k in order]
+        assert sorted(order.tolist()) == list(range(len(strings))) and got == sorted(got)
+        for i in range(1, len(got)):
+            (x, a), (y, b) = got[i - 1], got[i]
+            assert shared[i] == (len([1 for _ in takewhile(lambda z: z[0] == z[1], zip(a, b, strict=False))]) if x == y else 0)
+
+
+def test_gram_hashes_depend_on_all_bytes_of_a_gram_alone():
+    rng = np.random.default_rng(6)
+    for length in (8, 9, 13, 24, 30, 48, 65, 400):
+        raw = rng.integers(0, 4, 900).astype(np.uint8)
+        raw[450 : 450 + 400] = raw[:400]
+        own = suffixes.gram_hashes(raw, length)
+        assert len(own) == 900 - length + 1 and (own[: 400 - length + 1] == own[450 : 450 + 400 - length + 1]).all()
+        for k in range(length):
+            changed = raw.copy()
+            changed[100 + k] ^= 1
+            other = suffixes.gram_hashes(changed, length)
+            assert other[100] != own[100] and (k == length - 1 or other[101 + k] == own[101 + k])
