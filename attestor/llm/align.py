@@ -38,10 +38,12 @@ from pyspark.sql.types import StructType
 
 from attestor.llm.common import Scratch, batch, lean, pieces
 
-BLOCK = 4 << 20
-#: Chunks that a worker remembers; as many older ones may wait to be used again.
-REMEMBERED = 250_000
+BLOCK = 2 << 20
+#: Chunks that a worker remembers, and bytes of their groups' text; beyond either it starts anew.
+REMEMBERED, HELD = 200_000, 32 << 20
 GAP = re.compile(r"(?<=\S) (?=\S)")
+#: Chunks that are encoded at once, with their spaces between them.
+LINE = 64
 #: A pair's code is a * SIDE + b; a document's place in its block stands above it.
 SIDE, PAIRS = 1 << 20, 1 << 40
 _loaded: dict = {}
@@ -83,13 +85,19 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(values, first) if len(keys) else values
 
 
-class Chunk:
-    """What is known of one chunk: numbers of tokens of A and B, groups and links; groups as text; pairs and how often each is linked."""
+class Chunks:
+    """What is known of chunks: numbers of tokens of A and B, groups and links (-1 where tokens don't give the bytes); groups as text; pairs of each chunk in one array, and how often each is linked."""
 
-    __slots__ = ("numbers", "groups", "pairs", "times")
+    def __init__(self):
+        self.numbers, self.counts, self.pairs, self.times = np.empty((0, 4), np.int64), *(np.empty(0, np.int64) for _ in range(3))
+        self.groups: list[bytes] = []
+        self.held = 0
 
-    def __init__(self, numbers: tuple[int, int, int, int], groups: bytes, pairs: bytes, times: bytes):
-        self.numbers, self.groups, self.pairs, self.times = numbers, groups, pairs, times
+    def add(self, numbers: np.ndarray, groups: list[bytes], counts: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.counts, self.pairs, self.times = np.r_[self.counts, counts], np.r_[self.pairs, pairs], np.r_[self.times, times]
+        self.groups += groups
+        self.held += sum(map(len, groups))
 
 
 class Aligner:
@@ -109,50 +117,53 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(held)]
         if max(len(named), len(held)) > SIDE:
             raise ValueError(f"vocabularies of more than {SIDE} tokens are not supported")
-        self.whole = any(re.search("[^▁]▁", p) for p in held)  # then no cut is safe
+        self.uncut = any(re.search("[^▁]▁", p) for p in held)  # then no cut is safe
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.names = [str(i).encode() for i in range(max(len(named), len(held)))]
-        self.known: dict[str, Chunk | None] = {}
-        self.older: dict[str, Chunk | None] = {}
+        self.names = [str(i).encode() + mark for i in range(max(len(named), len(held))) for mark in (b",", b"|", b";", b"")]
+        self.known: dict[str, int] = {}
+        self.chunks = Chunks()
 
-    def learn(self, chunks: list[str]) -> list[Chunk | None]:
-        """None for a chunk whose tokens don't give its bytes."""
-        if not chunks:
-            return []
+    def _tokens(self, chunks: list[str], line: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Ids and their number for each good chunk, on both sides; which chunks are good: the tokens give them back. `line` chunks are encoded at once."""
         raw = [b" " + c.encode() for c in chunks]
+        lines, bytes_of = ([x[k : k + line] for k in range(0, len(chunks), line)] for x in (chunks, raw))
+        texts, wanted = [" ".join(x) for x in lines], [b"".join(x) for x in bytes_of]
+        ids = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        whole = [all(b"".join(map(table.__getitem__, i)) == w for i, table in ((x, self.a_bytes), (y, self.b_bytes))) for x, y, w in zip(*ids, wanted, strict=True)]
+        good = np.repeat(whole, [len(x) for x in lines])
+        ends = np.cumsum([len(r) for r, g in zip(raw, good.tolist(), strict=True) if g], dtype=np.int64)
         sides = []
-        for found, table, size in ((((e.ids for e in self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False))), self.a_bytes, self.a_size), (self.b.encode(chunks, num_threads=1), self.b_bytes, self.b_size)):
-            found = list(found)
-            same = [b"".join(map(table.__getitem__, ids)) == r for ids, r in zip(found, raw, strict=True)]
-            sides.append((found, same, size))
-        good = np.array(sides[0][1]) & np.array(sides[1][1])
-        out: list[Chunk | None] = [None] * len(chunks)
-        places = np.flatnonzero(good).tolist()
-        for k, chunk in zip(places, self._group(*([found[k] for k in places] for found, _, _ in sides)), strict=True):
-            out[k] = chunk
-        return out
-
-    def _group(self, a_ids: list[list[int]], b_ids: list[list[int]]) -> list[Chunk]:
-        if not a_ids:
+        for side, size in zip(ids, (self.a_size, self.b_size), strict=True):
+            flat = np.fromiter(chain.from_iterable(x for x, w in zip(side, whole, strict=True) if w), np.int64)
+            sides.append((flat, np.diff(np.searchsorted(np.cumsum(size[flat]), ends, "right"), prepend=0)))
+        return sides, good
+
+    def learn(self, chunks: list[str], line: int = 1) -> list[str]:
+        """Take each text, as it stands, as a chunk. Gives the chunks in the order they now have: those of lines that fail come last, each encoded alone."""
+        if not chunks:
             return []
-        n = len(a_ids)
-        (a, a_count, a_end), (b, b_count, b_end) = ((flat := np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, n), np.cumsum(size[flat])) for ids, size in ((a_ids, self.a_size), (b_ids, self.b_size)))
+        ((a, a_count), (b, b_count)), good = self._tokens(chunks, line)
+        again = [c for c, g in zip(chunks, good.tolist(), strict=True) if not g] if line > 1 else []
+        if again:
+            chunks, good = [c for c, g in zip(chunks, good.tolist(), strict=True) if g], good[good]
+        n, all_n = int(good.sum()), len(chunks)
+        numbers, counts, groups = np.full((all_n, 4), -1, np.int64), np.zeros(all_n, np.int64), np.full(all_n, b"", object)
         # the bytes of all chunks stand after each other on both sides, so no token reaches over a chunk's end
-        a_start, b_start = np.r_[0, a_end[:-1]], np.r_[0, b_end[:-1]]
-        first = np.searchsorted(b_end, a_start, "right")
-        many = np.searchsorted(b_start, a_end, "left") - first
-        left, right = np.repeat(np.arange(len(a)), many), np.repeat(first, many) + spans(many)
-        root = components(len(a) + len(b), left, right + len(a))
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        first = np.searchsorted(b_end, a_end - self.a_size[a], "right")
+        many = np.searchsorted(b_end - self.b_size[b], a_end, "left") - first
+        root = components(len(a) + len(b), np.repeat(np.arange(len(a)), many), np.repeat(first, many) + spans(many) + len(a))
         heads, group = np.unique(root, return_inverse=True)  # every component's least node is of side A, so components are in byte order
         of_a, of_b = group[: len(a)], group[len(a) :]
-        # groups as text
-        token, owner = np.r_[a, b], np.r_[2 * of_a, 2 * of_b + 1]
+        # groups as text: each id with the mark behind it, none at the chunk's end
+        owner = np.r_[2 * of_a, 2 * of_b + 1]
         order = np.argsort(owner, kind="stable")
-        token, owner = token[order], owner[order]
-        ends = owner[1:] != owner[:-1]
-        mark = np.where(ends, np.where(owner[:-1] & 1, 2, 1), 0).tolist() + [0]
-        text = [x for t, m in zip(token.tolist(), mark, strict=True) for x in (self.names[t], (b",", b"|", b";")[m])]
-        cut = np.cumsum(a_count + b_count).tolist()
+        token, owner = np.r_[a, b][order], owner[order]
+        mark = np.where(np.diff(owner, append=-1) == 0, 0, 1 + owner % 2)
+        cut = np.cumsum(a_count + b_count)
+        mark[cut[a_count > 0] - 1] = 3
+        text, cut = list(map(self.names.__getitem__, (4 * token + mark).tolist())), cut.tolist()
+        groups[good] = np.fromiter((b"".join(text[p:q]) for p, q in zip([0, *cut], cut, strict=False)), object, n)
         # links, ids that repeat in a group counted first
         a_key, a_times = summed(of_a * SIDE + a, np.ones(len(a), np.int64))
         b_key, b_times = summed(of_b * SIDE + b, np.ones(len(b), np.int64))
@@ -160,68 +171,53 @@ class Aligner:
         many = np.searchsorted(b_key, (a_key // SIDE + 1) * SIDE) - begin
         i, j = np.repeat(np.arange(len(a_key)), many), np.repeat(begin, many) + spans(many)
         pair, times = (a_key[i] % SIDE) * SIDE + b_key[j] % SIDE, a_times[i] * b_times[j]
-        chunk_of_group = np.repeat(np.arange(n), a_count)[heads]
-        chunk = chunk_of_group[a_key[i] // SIDE]  # in order
-        bounds = np.searchsorted(chunk, np.arange(n + 1)).tolist()
-        links = np.r_[0, np.cumsum(times)][bounds]
-        groups = np.bincount(chunk_of_group, minlength=n)
-        pair, times = pair.astype("<i8").tobytes(), times.astype("<i8").tobytes()
-        numbers = zip(a_count.tolist(), b_count.tolist(), groups.tolist(), np.diff(links).tolist(), strict=True)
-        return [
-            Chunk(x, b"".join(text[2 * p : 2 * q - 1]), pair[8 * s : 8 * e], times[8 * s : 8 * e])
-            for x, p, q, s, e in zip(numbers, [0, *cut], cut, bounds, bounds[1:], strict=False)
-        ]
-
-    def recall(self, chunks: set[str]) -> dict[str, Chunk | None]:
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        new = chunks.difference(self.known)
-        again = new.intersection(self.older)
-        self.known.update((c, self.older[c]) for c in again)
-        fresh = list(new.difference(again))
-        self.known.update(zip(fresh, self.learn(fresh), strict=True))
-        return self.known
-
-    def chunks(self, text: str) -> list[str]:
-        return [text] if self.whole else GAP.split(text)
+        of_group = np.repeat(np.arange(n), a_count)[heads]
+        bounds = np.searchsorted(of_group[a_key[i] // SIDE], np.arange(n + 1))  # in order of chunks
+        links = np.diff(np.r_[0, np.cumsum(times)][bounds])
+        numbers[good] = np.stack([a_count, b_count, np.bincount(of_group, minlength=n), links], axis=1)
+        counts[good] = np.diff(bounds)
+        self.chunks.add(numbers, groups.tolist(), counts, pair, times)
+        return chunks + self.learn(again)
 
     def align(self, texts: list[str]) -> Block:
         """Groups of each text, and the pairs of all."""
-        parts = [self.chunks(t) if t else [] for t in texts]
-        known = self.recall(set(chain.from_iterable(parts)))
-        bad = [k for k, p in enumerate(parts) if any(known[c] is None for c in set(p))]
-        whole = dict(zip(bad, self.learn([texts[k] for k in bad]), strict=True))
-        found: list[list[Chunk]] = []
-        for k, p in enumerate(parts):
-            if k in whole:
-                found.append([] if whole[k] is None else [whole[k]])
-            else:
-                found.append(list(map(known.__getitem__, p)))
-        return Block(found)
+        if len(self.known) > REMEMBERED or self.chunks.held > HELD:
+            self.known, self.chunks = {}, Chunks()
+        parts = [([t] if self.uncut else GAP.split(t)) if t else [] for t in texts]
+        flat = list(chain.from_iterable(parts))
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        fresh, at = set(flat).difference(self.known), len(self.chunks.groups)
+        alone = [c for c in fresh if c[0].isspace() or c[-1].isspace()]  # these begin or end a text
+        order = self.learn(list(fresh.difference(alone)), LINE) + self.learn(alone)
+        self.known.update(zip(order, range(at, at + len(order)), strict=True))
+        one = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        doc = np.repeat(np.arange(len(texts)), size)
+        bad = np.unique(doc[self.chunks.numbers[one, 0] < 0])
+        if len(bad):  # those encoded whole
+            at = len(self.chunks.groups) + np.arange(len(bad))
+            self.learn([texts[k] for k in bad.tolist()])
+            good = self.chunks.numbers[at, 0] >= 0
+            stay = ~np.isin(doc, bad)
+            doc, one = np.r_[doc[stay], bad[good]], np.r_[one[stay], at[good]]
+            order = np.argsort(doc, kind="stable")
+            doc, one = doc[order], one[order]
+        return Block(len(texts), doc, one, self.chunks)
 
 
 class Block:
     """The documents of a block: numbers and groups of each, the distinct pairs of the block, links of each document by pair."""
 
-    def __init__(self, found: list[list[Chunk]]):
-        n = len(found)
-        self.numbers = np.array([np.sum([c.numbers for c in x], axis=0) if x else (0, 0, 0, 0) for x in found], np.int64).reshape(n, 4)
-        self.groups = [b";".join([c.groups for c in x]) for x in found]
-        all_chunks = list(chain.from_iterable(found))
-        seen: dict[int, int] = {}
-        one = np.fromiter((seen.setdefault(id(c), len(seen)) for c in all_chunks), np.int64, len(all_chunks))
-        distinct = [c for c, new in zip(all_chunks, np.isin(np.arange(len(one)), np.unique(one, return_index=True)[1]).tolist(), strict=True) if new]
-        doc = np.repeat(np.arange(n), [len(x) for x in found])
+    def __init__(self, n: int, doc: np.ndarray, one: np.ndarray, chunks: Chunks):
+        bounds = np.searchsorted(doc, np.arange(n + 1))
+        self.numbers = np.diff(np.r_[np.zeros((1, 4), np.int64), np.cumsum(chunks.numbers[one], axis=0)][bounds], axis=0)
+        groups, cuts = list(map(chunks.groups.__getitem__, one.tolist())), bounds.tolist()
+        self.groups = [b";".join(groups[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
         key, times = summed(doc << 32 | one, np.ones(len(one), np.int64))
-        size = np.fromiter((len(c.pairs) // 8 for c in distinct), np.int64, len(distinct))
-        begin = np.cumsum(size) - size
-        pairs = np.frombuffer(b"".join(c.pairs for c in distinct), "<i8")
-        linked = np.frombuffer(b"".join(c.times for c in distinct), "<i8")
         which = key & 0xFFFFFFFF
-        many = size[which]
-        at = np.repeat(begin[which], many) + spans(many)
-        row, links = np.repeat(key >> 32, many), np.repeat(times, many) * linked[at]
-        self.pairs, place = np.unique(pairs[at], return_inverse=True)
+        many = chunks.counts[which]
+        at = np.repeat((np.cumsum(chunks.counts) - chunks.counts)[which], many) + spans(many)
+        row, links = np.repeat(key >> 32, many), np.repeat(times, many) * chunks.times[at]
+        self.pairs, place = np.unique(chunks.pairs[at], return_inverse=True)
         key, self.times = summed(row << 32 | place, links)
         self.place = key & 0xFFFFFFFF
         self.bounds = np.searchsorted(key >> 32, np.arange(n + 1))
