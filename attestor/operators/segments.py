@@ -24,7 +24,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
@@ -182,23 +182,22 @@ class SegmentedIndex:
 
     def __init__(self, spark: SparkSession, root: str, k1: float = K.BM25_K1, b: float = K.BM25_B):
         self.spark, self.root, self.k1, self.b = spark, root.rstrip("/"), k1, b
-        self._live: list | None = None
+        self._rows: list | None = None
 
     # -- segments
 
     def manifest(self) -> list:
-        """All manifest rows: one small row for each append and merge."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest").collect() if there else []
+        """All manifest rows: one small row for each append and merge. Read once; a folder has one writer at a time."""
+        if self._rows is None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+            there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+            self._rows = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest").collect() if there else []
+        return self._rows
 
     def live(self) -> list:
         """Rows of the segments that count: those that no other one replaces."""
-        if self._live is None:
-            rows = self.manifest()
-            gone = {s for r in rows for s in r["replaces"]}
-            self._live = sorted((r for r in rows if r["segment"] not in gone), key=lambda r: r["segment"])
-        return self._live
+        gone = {s for r in self.manifest() for s in r["replaces"]}
+        return sorted((r for r in self.manifest() if r["segment"] not in gone), key=lambda r: r["segment"])
 
     def _read(self, kind: str, schema: str, segments: list[str] | None = None) -> DataFrame:
         names = [r["segment"] for r in self.live()] if segments is None else segments
@@ -217,13 +216,20 @@ class SegmentedIndex:
         """label, n_chunks, hash: the leaves of the fingerprint."""
         return self._read("labels", LABELS)
 
-    def _commit(self, segment: str, level: int, rows: DataFrame, labels: DataFrame, replaces: list[str]) -> None:
+    def _commit(self, segment: str, level: int, rows: DataFrame, replaces: list[str]) -> None:
+        seen = Observation()
         kind = F.when(F.col("term").isNull(), "docs").otherwise("terms")
+        rows = rows.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "length")])
         rows.withColumn("kind", kind).sortWithinPartitions("kind", "term").write.mode("overwrite").partitionBy("kind").parquet(f"{self.root}/shards/{segment}")
-        labels.write.mode("overwrite").parquet(f"{self.root}/labels/{segment}")
-        n, length = self.docs([segment]).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
-        self.spark.createDataFrame([(segment, level, n, length, replaces)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
-        self._live = None
+        row = Row(segment=segment, level=level, n=seen.get["n"], length=seen.get["length"], replaces=replaces)
+        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        self._rows = [*self.manifest(), row]
+
+    def _write_labels(self, segment: str, labels: DataFrame) -> int:
+        """How many chunks they have."""
+        seen = Observation()
+        labels.observe(seen, F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n")).write.mode("overwrite").parquet(f"{self.root}/labels/{segment}")
+        return seen.get["n"]
 
     def append(self, chunks: DataFrame, name: str | None = None, merge: bool = True) -> str:
         """Add a segment of chunks (chunk_key, text, content_hash, and label: what they belong to). Labels that the index has are left out.
@@ -235,9 +241,9 @@ class SegmentedIndex:
             return segment
         if known:
             chunks = chunks.join(self.labels().select("label"), "label", "left_anti")
-        shards = max(1, -(-chunks.count() // SHARD))
+        shards = max(1, -(-self._write_labels(segment, label_hashes(chunks)) // SHARD))
         tok = chunks.select(F.pmod(F.xxhash64("chunk_key"), F.lit(shards)).cast("int").alias("shard"), "chunk_key", T.tokens("text").alias("tok"))
-        self._commit(segment, 0, tok.groupBy("shard").applyInArrow(_build, ROWS), label_hashes(chunks), [])
+        self._commit(segment, 0, tok.groupBy("shard").applyInArrow(_build, ROWS), [])
         if merge:
             self.merge()
         return segment
@@ -257,7 +263,9 @@ class SegmentedIndex:
             rows = self.terms(old).select("segment", "shard", "term", "ords", "tfs", *[F.lit(None).cast(t).alias(c) for c, t in (("keys", "array<string>"), ("dls", "binary"), ("into", "array<int>"))])
             rows = rows.union(self.docs(old).select("segment", "shard", *[F.lit(None).cast(t).alias(c) for c, t in (("term", "string"), ("ords", "binary"), ("tfs", "binary"))], "keys", "dls", into.alias("into")))
             pieces = rows.groupBy("segment", "shard").applyInArrow(_split, PIECES)
-            self._commit(f"{old[-1]}+{level + 1}", level + 1, pieces.groupBy("shard").applyInArrow(_join, ROWS), self._read("labels", LABELS, old).drop("segment"), old)
+            into = f"{old[-1]}+{level + 1}"
+            self._write_labels(into, self._read("labels", LABELS, old).drop("segment"))
+            self._commit(into, level + 1, pieces.groupBy("shard").applyInArrow(_join, ROWS), old)
 
     def fingerprint(self) -> DataFrame:
         """One row: n_labels, n_chunks, fingerprint. A Merkle tree over labels by the digits of their SHA-1; it reads the leaves, no chunks, and does not depend on segments."""
@@ -351,7 +359,7 @@ class SegmentedIndex:
         asked = questions.select("qid", "question").join(most, "qid")
         kind = questions.schema["qid"].dataType
         counts = StructType([StructField("qid", kind), *StructType.fromDDL("bin int, n long, top double")])
-        scored = StructType([StructField("qid", kind), *StructType.fromDDL("bm25 double")])
+        scored = StructType([StructField("qid", kind), *StructType.fromDDL("bm25 double, nth long, all long, best double")])
 
         def binned(scorer: Scorer, a: dict) -> tuple[np.ndarray, np.ndarray]:
             score = scorer.all(list(Counter(a["tok"]).items()))
@@ -367,23 +375,21 @@ class SegmentedIndex:
             return tuple(zip(*rows, strict=True)) if rows else ([],) * 4
 
         def within(scorer: Scorer, keys: pa.Array, asked: list[dict]) -> tuple:
-            ids, values = [], []
+            rows = []
             for a in asked:
                 score, at = binned(scorer, a)
-                here = score[at == a["bin"]]
-                ids += [a["qid"]] * len(here)
-                values += here.tolist()
-            return ids, values
+                rows += [(a["qid"], x, a["nth"], a["all"], a["best"]) for x in score[at == a["bin"]].tolist()]
+            return tuple(zip(*rows, strict=True)) if rows else ([],) * 5
 
         bins = self._shards(asked, ("most",), counts, count).groupBy("qid", "bin").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
         whole = Window.partitionBy("qid")
         bins = bins.withColumn("all", F.sum("n").over(whole)).withColumn("best", F.max("top").over(whole)).withColumn("upto", F.sum("n").over(whole.orderBy("bin")))
         bins = bins.withColumn("nth", F.floor(F.col("all") / 10) + 1 - F.col("upto") + F.col("n"))
         own = bins.where("nth between 1 and n").select("qid", "bin", "nth", "all", "best")
-        inside = self._shards(asked.join(own.where("all >= 5").select("qid", "bin"), "qid"), ("most", "bin"), scored, within)
-        tenth = inside.withColumn("place", F.row_number().over(whole.orderBy(F.desc("bm25")))).join(own.select("qid", "nth"), "qid").where("place = nth").select("qid", F.col("bm25").alias("tenth"))
-        value = F.coalesce(F.greatest(F.lit(0.0), (F.col("best") - F.col("tenth")) / F.col("best")), F.lit(0.0))
-        return own.join(tenth, "qid", "left").select("qid", F.round(value, 9).alias("confidence"))
+        inside = self._shards(asked.join(own, "qid"), ("most", "bin", "nth", "all", "best"), scored, within)
+        tenth = inside.withColumn("place", F.row_number().over(whole.orderBy(F.desc("bm25")))).where("place = nth")
+        value = F.when(F.col("all") >= 5, F.greatest(F.lit(0.0), (F.col("best") - F.col("bm25")) / F.col("best"))).otherwise(0.0)
+        return tenth.select("qid", F.round(value, 9).alias("confidence"))
 
     def cost(self, questions: DataFrame, k: int) -> DataFrame:
         """matched, scored: postings of the questions' terms, and those of them whose part search(questions, k) computes."""

@@ -25,7 +25,7 @@ def _pool(spark, sf_dir, k=20):
     """Evidence of each question: its first k lexical hits."""
     c = Corpus(spark, sf_dir)
     loc = c.located.select("qid", "question", F.struct("drugs", "intent", "loincs").alias("loc"), F.col("drugs").alias("asked"))
-    return ranking.ranked(c.bm25, "bm25", k).join(c.chunks, "chunk_key").join(loc, "qid")
+    return c.lexical.search(c.questions, k).join(c.chunks, "chunk_key").join(loc, "qid")
 
 
 def _states(spark, sf_dir, k=5):
@@ -129,7 +129,7 @@ def linear_pipeline(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     subs = c.questions.select("qid", F.lit(1).alias("sub"), "question").union(table(spark, sf_dir, "benchmark").select("item_id", F.lit(2), "text"))
     asked = subs.select(F.concat_ws("/", "qid", "sub").alias("qid"), "question")
-    hits = ranking.ranked(ranking.bm25_scores(asked, c.index), "bm25", 5).join(c.chunks.select("chunk_key", "doc_id", "loinc"), "chunk_key")
+    hits = c.lexical.search(asked, 5).join(c.chunks.select("chunk_key", "doc_id", "loinc"), "chunk_key")
     h = hits.select(F.substring_index("qid", "/", 1).cast("long").alias("run_id"), F.substring_index("qid", "/", -1).cast("int").alias("sub"), F.concat("doc_id", F.lit("#"), "loinc").alias("cite_key"), "rank")
     return ledger.linear_pipeline(h)
 
@@ -192,7 +192,7 @@ def _runs(spark, sf_dir):
 def agent_runs(spark, sf_dir):
     """Both policies over all questions, as one batch."""
     retriever, runs = _runs(spark, sf_dir)
-    return agent.stats(agent.run(retriever, runs))
+    return agent.stats(agent.run(retriever, runs, log=False))
 
 
 def _expected(spark, sf_dir, n_asked=None, n_bound=None):
@@ -215,7 +215,7 @@ def agent_theta_grid(spark, sf_dir):
     grid = [(h / 100, low / 100) for h in (30, 35, 40, 50, 60, 75, 90) for low in (0, 20, 30, 45) if low < h]
     cells = spark.createDataFrame(grid, "theta_high double, theta_low double")
     runs = wanted.join(F.broadcast(cells)).withColumn("base", F.col("run_id")).withColumn("run_id", F.concat_ws("@", "run_id", "theta_high", "theta_low"))
-    final = work.keep(agent.run(retriever, runs.select("run_id", "base", "question", "theta_high", "theta_low")))
+    final = work.keep(agent.run(retriever, runs.select("run_id", "base", "question", "theta_high", "theta_low"), log=False))
     right = metrics.grounded(final, runs.where("boundary_class is null").select("run_id", "drug", "gold_loinc_any"))
     done = final.select("run_id", "base", "theta_high", "theta_low", "terminated_by", F.size("actions").alias("n_actions")).join(right, "run_id", "left")
     return metrics.theta_grid(done.join(wanted.select(F.col("run_id").alias("base"), "boundary_class"), "base"))
@@ -226,7 +226,7 @@ def agent_refusals(spark, sf_dir):
     retriever, _ = _runs(spark, sf_dir)
     wanted = retriever.work.keep(_expected(spark, sf_dir))
     runs = wanted.withColumn("policy", F.explode(F.array(F.lit("rule"), F.lit("coverage")))).withColumn("base", F.col("run_id")).withColumn("run_id", F.concat_ws("@", "run_id", "policy"))
-    final = retriever.work.keep(agent.run(retriever, runs.select("run_id", "base", "question", "policy")))
+    final = retriever.work.keep(agent.run(retriever, runs.select("run_id", "base", "question", "policy"), log=False))
     right = metrics.grounded(final, runs.where("boundary_class is null").select("run_id", "drug", "gold_loinc_any"))
     x = final.select("run_id", "base", "policy", "terminated_by", F.size("actions").alias("n_actions")).join(right, "run_id", "left").join(wanted.select(F.col("run_id").alias("base"), F.coalesce("boundary_class", F.lit("answerable")).alias("boundary_class")), "base")
     return x.groupBy("policy", "boundary_class").agg(F.count("*").alias("n"), F.count_if(F.col("terminated_by") == "abstain").alias("n_refused"), F.count_if(F.col("terminated_by") == "answer").alias("n_answered"), F.count_if("correct").alias("n_correct"), F.round(F.avg("n_actions"), 9).alias("avg_actions"))
@@ -235,16 +235,16 @@ def agent_refusals(spark, sf_dir):
 def agent_closure(spark, sf_dir):
     """Claims of all answers and what their citations lack, by policy."""
     retriever, runs = _runs(spark, sf_dir)
-    final = retriever.work.keep(agent.run(retriever, runs))
+    final = retriever.work.keep(agent.run(retriever, runs, log=False))
     return agent.finished(final).join(final.select("run_id", "policy"), "run_id").groupBy("policy").agg(F.count("*").alias("n"), F.sum("n_claims").alias("n_claims"), F.sum("n_problems").alias("n_problems"), F.count_if("malformed").alias("n_malformed"))
 
 
 def agent_counterfactuals(spark, sf_dir):
     """Every decision of the base runs again under each other action, as one batch."""
     retriever, runs = _runs(spark, sf_dir)
-    base = agent.run(retriever, runs)
+    base = retriever.work.keep(agent.run(retriever, runs))
     points = decisions.points(base)
-    again = agent.run(retriever, decisions.replays(points, runs))
+    again = agent.run(retriever, decisions.replays(points, runs), log=False)
     done = agent.stats(again).select("run_id", "answered")
     right = agent.stats(base).select("run_id", F.col("answered").alias("outcome"))
     split = done.select(F.split("run_id", "~").alias("p"), "answered").select(F.col("p")[0].alias("run_id"), F.col("p")[1].cast("int").alias("index"), F.col("p")[2].alias("other"), "answered")

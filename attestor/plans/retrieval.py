@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestor.functions import constants as K
 from attestor.functions import text as T
 from attestor.operators import chunking, ranking, routing
+from attestor.operators.segments import SegmentedIndex
 from attestor.sources.fixtures import PROSE, QUESTIONS_SQL, SECTIONS_SQL, encoded, encoded_sql, questions, sections, table
 from attestor.sources.scratch import Workspace
 
@@ -43,13 +44,21 @@ class Corpus:
     def chunks(self) -> DataFrame:
         return self.work.keep(self.plan)
 
+    @property
+    def labelled(self) -> DataFrame:
+        """The chunks as the index takes them; a document is a label."""
+        return self.chunks.select("chunk_key", F.col("doc_id").alias("label"), "text", "content_hash")
+
     @cached_property
-    def index(self) -> ranking.Bm25Index:
-        return ranking.Bm25Index(self.work.keep(ranking.bm25_index(self.chunks).postings))
+    def lexical(self) -> SegmentedIndex:
+        index = SegmentedIndex(self.spark, f"{self.work.path}/lexical")
+        index.append(self.labelled, merge=False)
+        return index
 
     @cached_property
     def bm25(self) -> DataFrame:
-        return self.work.keep(ranking.bm25_scores(self.questions, self.index))
+        """All scores, for the queries that need more than the first few."""
+        return self.work.keep(self.lexical.scores(self.questions))
 
     @cached_property
     def located(self) -> DataFrame:
@@ -103,7 +112,27 @@ def corpus_keys(spark, sf_dir):
 
 
 def bm25_search(spark, sf_dir):
-    return ranking.ranked(Corpus(spark, sf_dir).bm25, "bm25", 10)
+    c = Corpus(spark, sf_dir)
+    return c.lexical.search(c.questions, 10)
+
+
+def _grown(spark, sf_dir) -> tuple[Corpus, SegmentedIndex]:
+    """An index grown by four appends, each of which repeats the labels of the one before, and merged."""
+    c = Corpus(spark, sf_dir)
+    index, part = SegmentedIndex(spark, f"{c.work.path}/grown"), F.pmod(F.col("label").cast("long"), F.lit(4))
+    for at in range(4):
+        index.append(c.labelled.where(part.isin(at, max(0, at - 1))))
+    return c, index
+
+
+def bm25_grown(spark, sf_dir):
+    """The first ten chunks by an index grown by appends."""
+    c, index = _grown(spark, sf_dir)
+    return index.search(c.questions, 10)
+
+
+def corpus_merkle(spark, sf_dir):
+    return _grown(spark, sf_dir)[1].fingerprint()
 
 
 def bm25_all(spark, sf_dir):
@@ -116,7 +145,8 @@ def bm25_index(spark, sf_dir):
 
 
 def lexical_confidence(spark, sf_dir):
-    return ranking.lexical_confidence(Corpus(spark, sf_dir).bm25)
+    c = Corpus(spark, sf_dir)
+    return c.lexical.confidence(c.questions)
 
 
 def section_boost(spark, sf_dir):
@@ -179,7 +209,7 @@ def retrieval_metrics(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.format_string("%08d", "doc_id").alias("gold_doc"), F.col("text").alias("whole"), "lang")
     gold = items.join(docs, F.expr("instr(whole, item) > 0")).groupBy("qid").agg(F.min(F.struct("gold_doc", "lang")).alias("g"))
     gold = gold.select("qid", F.col("g.lang").alias("tier"), F.col("g.gold_doc").alias("gold_doc"), F.array(*[F.lit(x) for x, _ in K.SECTIONS]).alias("gold_loinc_any"))
-    found = ranking.ranked(c.bm25, "bm25", 5).join(c.chunks.select("chunk_key", "doc_id", "loinc"), "chunk_key")
+    found = c.lexical.search(c.questions, 5).join(c.chunks.select("chunk_key", "doc_id", "loinc"), "chunk_key")
     return ranking.recall_mrr(found, gold)
 
 
@@ -215,7 +245,7 @@ def fusion_trace(spark, sf_dir):
     return c.questions.select("qid").join(sect, "qid", "left").join(lex, "qid", "left").join(ranking.lexical_confidence(c.bm25), "qid", "left").fillna(0, ["n_section", "n_lexical"]).fillna(0.0, ["confidence"])
 
 
-QUERIES = {f.__name__: f for f in (text_tokens, text_sentences, chunks, chunk_spans, chunk_verify, chunk_health, corpus_keys, bm25_index, bm25_search, bm25_all, lexical_confidence, section_boost, restrict_before, restrict_after, section_candidates, fusion, fusion_dense, soft_restrict, soft_restrict_dense, rerank, keyword_search, retrieval_metrics, dense_search, dense_gate, locate, locator_accuracy, fusion_trace)}
+QUERIES = {f.__name__: f for f in (text_tokens, text_sentences, chunks, chunk_spans, chunk_verify, chunk_health, corpus_keys, bm25_index, bm25_search, bm25_grown, corpus_merkle, bm25_all, lexical_confidence, section_boost, restrict_before, restrict_after, section_candidates, fusion, fusion_dense, soft_restrict, soft_restrict_dense, rerank, keyword_search, retrieval_metrics, dense_search, dense_gate, locate, locator_accuracy, fusion_trace)}
 
 _DOT = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::double * z[2]::double))"
 _DENSE = f"with s as (select q.vec_id as qid, printf('%010d', d.vec_id) as chunk_key, {_DOT} as x from embeddings q, embeddings d where q.vec_id % 50 = 0 and d.vec_id <> q.vec_id)"
@@ -232,6 +262,11 @@ ORACLE_SQL = {
     "corpus_keys": f"{CHUNKS} select distinct doc_id, drug, doc_id || '#' || loinc as cite_key from chunks",
     "bm25_index": f"{SCORED} select term, count(*) as df, sum(tf)::bigint as cf, round(max(idf), 9) as idf from counted join idf using (term) group by term",
     "bm25_search": f"{SCORED} select * from lexical where rank <= 10",
+    "bm25_grown": f"{SCORED} select * from lexical where rank <= 10",
+    "corpus_merkle": f"""{CHUNKS}, leaves as (select doc_id as label, count(*) as n_chunks, sha256(string_agg(chunk_key || ' ' || content_hash, chr(10) order by chunk_key)) as hash from chunks group by doc_id),
+        marked as (select *, sha1(label) as digits, label || ':' || n_chunks || ':' || hash as h, count(*) over () as n, sum(n_chunks) over () as total from leaves),
+        inner_nodes as (select sha256(string_agg(h, chr(10) order by h)) as h from marked where n > 256 group by substr(digits, 1, 2) union all select h from marked where n <= 256)
+        select (select count(*) from leaves) as n_labels, (select sum(n_chunks)::bigint from leaves) as n_chunks, sha256(string_agg(h, chr(10) order by h)) as fingerprint from inner_nodes""",
     "bm25_all": f"{SCORED} select qid, count(*) as n_scored, round(max(bm25), 6) as top, round(sum(bm25), 4) as total from bm25 group by qid",
     "lexical_confidence": f"{SCORED} select * from confidence",
     "section_boost": f"{LOCATED}, {ranking.BM25_SQL}, b as (select qid, chunk_key, round(bm25 * case when c.drug = l.drug and list_contains(loincs, loinc) then {K.SECTION_BOOST} else 1.0 end, 9) as boosted from bm25 join chunks c using (chunk_key) join located l using (qid)) select * from (select *, row_number() over (partition by qid order by boosted desc, chunk_key) as rank from b) where rank <= 10",
