@@ -79,56 +79,115 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Bytes of query vectors that go to all tasks at once; more queries go in more passes over the vectors.
-QUERY_BYTES = 16 << 20
-
-
-def dense_top(queries: DataFrame, vectors: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
+#: Queries of a block and vectors of a shard that meet in one task, and vectors that are scored at a time.
+QUERY_BLOCK, VECTOR_SHARD, STEP = 2048, 8192, 512
+#: Slack of bounds: scores are rounded to 9 places before they are ranked.
+SLACK = 1e-8
+
+
+def coded(rows: DataFrame) -> DataFrame:
+    """Replaces vector by code (8 bits a component), scale, loss (length of what the code leaves out) and size (length of what it stands for)."""
+    names = [c for c in rows.columns if c != "vector"]
+    out = StructType([*(rows.schema[c] for c in names), *StructType.fromDDL("code binary, scale double, loss double, size double")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(out)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            scale = np.abs(v).max(axis=1, initial=0.0) / 127
+            code = np.rint(v / np.where(scale > 0, scale, 1.0)[:, None])
+            back = code * scale[:, None]
+            rest = [pa.array([c.tobytes() for c in code.astype(np.int8)], pa.binary()), *(pa.array(x) for x in (scale, np.linalg.norm(v - back, axis=1), np.linalg.norm(back, axis=1)))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *rest], schema=schema)
+
+    return rows.mapInArrow(run, out)
+
+
+class Codes:
+    """Codes of some rows as a matrix, with their scales and errors."""
+
+    def __init__(self, table: pa.Table):
+        column = lambda name: table.column(name).to_numpy()
+        self.code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int8).reshape(table.num_rows, -1).astype(np.float32)
+        self.scale, self.loss, self.size = column("scale"), column("loss"), column("size")
+
+
+def bounded(asked: Codes, rows: Codes, some: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of the products of all queries with some rows, and how far off they may be.
+
+    q v = q' v' + q (v - v') + (q - q') v', so by Cauchy and Schwarz the error is at most |q| |v - v'| + |q - q'| |v'|, and |q| <= |q'| + |q - q'|.
+    Sums of products of 8-bit codes are exact in 32-bit floats up to 1040 dimensions; beyond, 64-bit floats are taken."""
+    left, right = asked.code, rows.code[some]
+    if left.shape[1] > 1040:
+        left, right = left.astype(float), right.astype(float)
+    near = (left @ right.T) * asked.scale[:, None] * rows.scale[some]
+    return near, (asked.size + asked.loss)[:, None] * rows.loss[some] + asked.loss[:, None] * rows.size[some] + SLACK
+
+
+def contenders(asked: Codes, own: np.ndarray, rows: Codes, keys: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, least score, highest score) of rows that may be among the k best of a query; never its own. Scores are held for STEP rows at a time."""
+    place: dict[str, list[int]] = {}
+    for at, key in enumerate(keys.tolist()):
+        place.setdefault(key, []).append(at)
+    pairs = np.array([(q, at) for q, x in enumerate(own.tolist()) for at in place.get(x, ())], np.int64).reshape(-1, 2)
+
+    def scored(start: int) -> tuple[np.ndarray, np.ndarray]:
+        near, off = bounded(asked, rows, slice(start, start + STEP))
+        here = pairs[(pairs[:, 1] >= start) & (pairs[:, 1] < start + near.shape[1])]
+        near[here[:, 0], here[:, 1] - start] = -np.inf
+        return near, off
+
+    best = np.full((len(asked.scale), k), -np.inf)
+    for start in range(0, len(keys), STEP):
+        near, off = scored(start)
+        both = np.concatenate([best, near - off], axis=1)
+        best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+    least = best.min(axis=1)
+    for start in range(0, len(keys), STEP):
+        near, off = scored(start)
+        query, at = np.nonzero((near + off >= least[:, None]) & (near > -np.inf))
+        yield query, at + start, (near - off)[query, at], (near + off)[query, at]
+
+
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """qid, chunk_key, dense, rank: the k vectors of highest inner product for each query, never the one of its own key.
 
     queries: qid, vector and, if a query is a row of vectors itself, own (its chunk_key); vectors: chunk_key, vector and, to
-    have the best k of each of a few parts, part; all of one length, unit length for cosines. A stated query set against all
-    vectors: queries are taken in blocks of bounded bytes, each task multiplies its batches with a block and keeps its best k."""
-    spark, out = queries.sparkSession, StructType.fromDDL("at int, part string, chunk_key string, dense double")
-    own = F.col("own") if "own" in queries.columns else F.lit(None).cast("string")
-    asked = queries.select("qid", own.alias("own"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
-    n, dim = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    blocks = max(1, -(-n * (dim or 1) * 8 // query_bytes))
-    found = spark.createDataFrame([], StructType([asked.schema["qid"], *out.fields[1:]]))
+    have the best k of each of a few parts, part; all of one length. A stated query set against all vectors: blocks of
+    queries meet shards of vectors in cogroups, as 8-bit codes whose error is bounded; what may be among the first k by
+    these bounds is scored exactly. A task holds one block, one shard and the scores of STEP of its vectors."""
+    own = F.col("own").cast("string") if "own" in queries.columns else F.lit(None).cast("string")
     part = F.col("part").cast("string") if "part" in vectors.columns else F.lit("")
+    asked = queries.where("vector is not null").select("qid", own.alias("own"), F.col("vector").cast("array<double>").alias("vector"))
     rows = vectors.where("vector is not null").select(F.col("chunk_key").cast("string").alias("chunk_key"), F.coalesce(part, F.lit("")).alias("part"), F.col("vector").cast("array<double>").alias("vector"))
-    for block in range(blocks):
-        asks = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).orderBy("qid").collect()
-        if not asks:
-            continue
-        q, mine = np.array([r["v"] for r in asks]), {}
-        for at, r in enumerate(asks):
-            mine.setdefault(r["own"], []).append(at)
-
-        def best(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, mine: dict = mine) -> Iterator[pa.RecordBatch]:
-            held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-            for b in batches:
-                parts = np.array(b.column("part").to_pylist(), object)
-                for name in dict.fromkeys(parts):
-                    own = b.filter(pa.array(parts == name))
-                    for start in range(0, own.num_rows, 1024):
-                        x = own.slice(start, 1024)
-                        keys = np.array(x.column("chunk_key").to_pylist())
-                        new = np.round(q @ x.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1).T, 9)
-                        for at, key in enumerate(keys.tolist()):
-                            new[mine.get(key, []), at] = -np.inf
-                        score, key = held.get(name, (np.empty((len(q), 0)), np.empty((len(q), 0), keys.dtype)))
-                        score, key = np.concatenate([score, new], 1), np.concatenate([key, np.broadcast_to(keys, new.shape)], 1)
-                        order = np.lexsort((key, -score), axis=1)[:, :k]
-                        held[name] = np.take_along_axis(score, order, 1), np.take_along_axis(key, order, 1)
-            for name, (score, key) in held.items():
-                at, col = np.nonzero(score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([name] * len(at), pa.string()), pa.array(key[at, col].tolist(), pa.string()), pa.array(score[at, col], pa.float64())], schema=to_arrow_schema(out))
-
-        names = F.broadcast(spark.createDataFrame([(at, r["qid"]) for at, r in enumerate(asks)], StructType([out["at"], asked.schema["qid"]])))
-        found = found.union(rows.mapInArrow(best, out).join(names, "at").select("qid", "part", "chunk_key", "dense"))
-    order = F.row_number().over(Window.partitionBy("qid", "part").orderBy(F.desc("dense"), "chunk_key"))
-    return found.withColumn("rank", order).where(F.col("rank") <= k).select("qid", "chunk_key", "dense", "rank")
+    blocks, shards = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (rows, VECTOR_SHARD)))
+    dealt = lambda df, key, n, name: df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = dealt(coded(asked), "qid", blocks, "block").withColumn("shard", every(shards))
+    right = dealt(coded(rows), "chunk_key", shards, "shard").withColumn("block", every(blocks))
+    out = StructType([asked.schema["qid"], *StructType.fromDDL("part string, chunk_key string, low double, high double")])
+
+    def meet(asks: pa.Table, held: pa.Table) -> pa.Table:
+        schema, found = to_arrow_schema(out), []
+        if asks.num_rows and held.num_rows:
+            q, mine, ids = Codes(asks), np.array(asks.column("own").to_pylist(), object), asks.column("qid").combine_chunks()
+            parts = np.array(held.column("part").to_pylist(), object)
+            for name in dict.fromkeys(parts):
+                some = held.filter(pa.array(parts == name))
+                keys = some.column("chunk_key").combine_chunks()
+                for query, at, low, high in contenders(q, mine, Codes(some), np.array(keys.to_pylist(), object), k):
+                    found.append(pa.RecordBatch.from_arrays([ids.take(pa.array(query)), pa.array([name] * len(query), pa.string()), keys.take(pa.array(at)), pa.array(low), pa.array(high)], schema=schema))
+        return pa.Table.from_batches(found, schema=schema)
+
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, out)
+    by = Window.partitionBy("qid", "part")
+    found = found.withColumn("n", F.row_number().over(by.orderBy(F.desc("low")))).withColumn("least", F.max(F.when(F.col("n") == k, F.col("low"))).over(by))
+    able = found.where("least is null or high >= least").select("qid", "part", "chunk_key").distinct()
+    exact = able.join(asked.select("qid", F.col("vector").alias("q")), "qid").join(rows.select("chunk_key", F.col("vector").alias("v")), "chunk_key")
+    exact = exact.select("qid", "part", "chunk_key", F.round(cosine(F.col("q"), F.col("v")), 9).alias("dense"))
+    return exact.withColumn("rank", F.row_number().over(by.orderBy(F.desc("dense"), "chunk_key"))).where(F.col("rank") <= k).select("qid", "chunk_key", "dense", "rank")
 
 
 def dense_pairs(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
