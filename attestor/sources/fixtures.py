@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
@@ -80,9 +87,19 @@ DIMS = 32
 def encoded(rows: DataFrame, text: str) -> DataFrame:
     """Adds vector, a stand-in for an encoder's: counts of the tokens by their ends and length, of unit length (null without tokens)."""
     at = F.transform(T.tokens(text), lambda t: F.pmod(F.ascii(t) * 31 + F.ascii(F.substring(t, -1, 1)) * 7 + F.length(t), F.lit(DIMS)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return rows.withColumn("vector", F.when(norm > 0, F.transform(counts, lambda x: x / norm)))
+    out, dims = StructType([*rows.schema, StructField("vector", ArrayType(DoubleType()))]), DIMS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(out)
+        for b in batches:
+            lists = b.column("__at")
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+            n = np.bincount(row * dims + lists.flatten().to_numpy(zero_copy_only=False), minlength=b.num_rows * dims).reshape(-1, dims).astype(float)
+            norm = np.sqrt((n * n).sum(axis=1))
+            vectors = [v if z else None for v, z in zip((n / np.where(norm > 0, norm, 1)[:, None]).tolist(), norm.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(vectors, schema.field("vector").type)], schema=schema)
+
+    return rows.withColumn("__at", at).mapInArrow(count, out)
 
 
 def encoded_sql(text: str) -> str:
