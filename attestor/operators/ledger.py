@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
@@ -11,23 +11,43 @@ from attestor.functions import constants as K
 CARRIED_STEP = -1
 
 
-def violations(steps: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """rule, run_id, step: steps and documents that break a rule of the ledger. Empty for a sound ledger."""
-    rules = {
+def _step_rules() -> dict[str, Column]:
+    return {
         "unknown_action": ~F.col("action").isin(K.LEDGER_ACTIONS),
         "unknown_drop_reason": F.col("reason_dropped").isNotNull() & ~F.col("reason_dropped").isin(K.DROP_REASONS),
         "query_missing": F.col("action").isin("retrieve", "locate", "ask") & (F.coalesce("query", F.lit("")) == ""),
         "abstain_without_note": (F.col("action") == "abstain") & (F.coalesce("note", F.lit("")) == ""),
         "unused_without_reason": F.col("used_in_report").eqNullSafe(False) & F.col("reason_dropped").isNull(),
     }
-    found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
-    out = steps.select(F.explode(found).alias("rule"), "run_id", "step")
+
+
+def _doc_rules() -> dict[str, Column]:
+    return {"empty_doc_id": F.coalesce("doc_id", F.lit("")) == "", "unknown_source_type": ~F.col("source_type").isin(K.SOURCE_TYPES)}
+
+
+def violations(steps: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """rule, run_id, step: steps and documents that break a rule of the ledger. Empty for a sound ledger."""
+    found = lambda rules: F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
+    out = steps.select(F.explode(found(_step_rules())).alias("rule"), "run_id", "step")
     if docs is not None:
-        broken = F.array_compact(F.array(F.when(F.coalesce("doc_id", F.lit("")) == "", "empty_doc_id"), F.when(~F.col("source_type").isin(K.SOURCE_TYPES), "unknown_source_type")))
-        out = out.union(docs.select(F.explode(broken).alias("rule"), "run_id", "step"))
+        out = out.union(docs.select(F.explode(found(_doc_rules())).alias("rule"), "run_id", "step"))
     return out
 
 
+def checked(name: str, rows: DataFrame) -> DataFrame:
+    """rows of the ledger's table of that name, which fail where they are read if one breaks a rule. No pass of its own: the
+    check is a filter over the columns of the rules. Tables without rules (or without the columns that they look at) pass."""
+    rules = {"steps": _step_rules, "docs": _doc_rules}.get(name)
+    needed = {"steps": {"action", "reason_dropped", "query", "note", "used_in_report"}, "docs": {"doc_id", "source_type"}}.get(name, set())
+    if rules is None or not needed <= set(rows.columns):
+        return rows
+    sound = F.lit(True)
+    for rule, broken in rules().items():
+        said = F.concat(F.lit(f"ledger: {rule} in run "), F.coalesce(F.col("run_id").cast("string"), F.lit("?")), F.lit(", step "), F.coalesce(F.col("step").cast("string"), F.lit("?")))
+        sound = F.when(F.coalesce(broken, F.lit(False)), F.raise_error(said).cast("boolean")).otherwise(sound)
+    return rows.where(sound)
+
+
 def first_steps(cites: DataFrame, retrieved: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """cites: run_id, claim_id, doc_id, loinc (null: the citation names no section); retrieved: run_id, step, doc_id, loinc.
     Adds first_step: the first step that found the document, of the cited section if both name one.

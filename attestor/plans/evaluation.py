@@ -11,6 +11,8 @@ from attestor.plans.evidence import _POOL, _SIDES, _STEPS, _names, ledger_steps
 from attestor.plans.retrieval import CHUNKS, LOCATED, Corpus
 from attestor.sources import labels as source
 from attestor.sources.fixtures import PROSE, table
+from attestor.sources.scratch import Workspace
+from attestor.sources.stores import CacheTable
 from attestor.streaming import events
 
 
@@ -99,6 +101,30 @@ def cache_split(spark, sf_dir):
     return n(hit, "hit").union(n(miss, "miss"))
 
 
+def cache_generations(spark, sf_dir):
+    """A cache of text lengths by two writers with common keys, compacted between them: what each language finds, and whose value."""
+    cache = CacheTable(spark, f"{Workspace(spark, 'cache').path}/c", "long")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha1(F.concat(F.lit("model|"), "text")).alias("key"), F.length("text").cast("long").alias("n"))
+    cache.put(d.where("doc_id % 3 = 0").select("key", F.col("n").alias("value")))
+    cache.put(d.where("doc_id % 3 = 1").select("key", (F.col("n") + 1).alias("value")))
+    cache.compact()
+    cache.put(d.where("doc_id % 5 = 0").select("key", (F.col("n") + 2).alias("value")))
+    found, _ = cache.look_up(d)
+    return found.groupBy("lang").agg(F.count("value").alias("hits"), F.count_if(F.col("value").isNull()).alias("misses"), F.sum(F.col("value") - F.col("n")).alias("writers"))
+
+
+def ledger_batches(spark, sf_dir):
+    """Steps saved by batches of users; one batch is saved again with fewer rows; loaded with the ledger's rules checked."""
+    path = f"{Workspace(spark, 'ledger').path}/l"
+    kind = F.create_map(*map(F.lit, ["search", "retrieve", "locate", "locate", "ask", "ask", "answer", "synthesize", "abstain", "abstain"]))
+    s = ledger_steps(spark, sf_dir).select("run_id", "step", kind[F.col("action")].alias("action"), F.lit("q").alias("query"), F.lit("n").alias("note"), F.lit(True).alias("used_in_report"), F.lit(None).cast("string").alias("reason_dropped"), "cost")
+    for batch in range(3):
+        source.save_ledger(path, str(batch), steps=s.where(F.col("run_id") % 3 == batch))
+    source.save_ledger(path, "1", steps=s.where("run_id % 3 = 1 and step <= 2"))
+    steps = source.load_ledger(spark, path, "steps")["steps"]
+    return steps.groupBy("batch", "action").agg(F.count("*").alias("n"), F.sum("cost").cast("long").alias("cost"))
+
+
 def run_traces(spark, sf_dir):
     t = source.trace(ledger_steps(spark, sf_dir))
     return t.select("run_id", F.md5("trace").alias("trace_md5"))
@@ -162,7 +188,7 @@ def policy_paths(spark, sf_dir):
     return metrics.path_survey(agent_runs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (locate_set, boundary_set, paired_set, cap_round_robin, cap_stratified, cap_paired, probe_set, hard_set, set_audit, page_sections, pick_label, corpus_growth, corpus_fingerprint, cache_split, run_traces, ledger_violations, entities, stream_windows, intent_set, e2e_set, set_manifest, pool_probe, complementarity, policy_paths)}
+QUERIES = {f.__name__: f for f in (locate_set, boundary_set, paired_set, cap_round_robin, cap_stratified, cap_paired, probe_set, hard_set, set_audit, page_sections, pick_label, corpus_growth, corpus_fingerprint, cache_split, cache_generations, ledger_batches, run_traces, ledger_violations, entities, stream_windows, intent_set, e2e_set, set_manifest, pool_probe, complementarity, policy_paths)}
 
 _TEMPLATES = "templates(intent, template_id, template, needs) as (values " + ", ".join(f"('{i}', {n}, '" + t.replace("'", "''") + f"', {'{entity}' in t})" for i, n, t in PROSE.frames) + ")"
 _CODES = "map {" + ", ".join("'" + i + "': ['" + "', '".join(c) + "']" for i, c in K.INTENT_CODES.items()) + "}"
@@ -223,6 +249,12 @@ ORACLE_SQL = {
     "pick_label": "with p as (select p_brand as drug, p_partkey::varchar as setid, p_size > 25 as has_interactions, (row_number() over (partition by p_brand order by p_partkey % 23, p_partkey) - 1)::int as ord from part) select drug, setid, ord, has_interactions from (select *, row_number() over (partition by drug order by has_interactions desc, ord) as n from p where ord < 20) where n = 1",
     "corpus_growth": "with h as (select 'c' || c_custkey as drug from customer where c_custkey % 11 = 0), n as (select 'c' || c_custkey as drug, c_custkey::int as ord from customer where c_custkey % 7 >= 3 and c_custkey % 11 <> 0), r as (select *, row_number() over (order by ord) as place from n) select * from r where place <= greatest(200 - (select count(*) from h), 0)",
     "cache_split": "with d as (select doc_id, lang, sha1('model|' || text) as key from documents), c as (select distinct key from d where doc_id % 3 = 0) select case when key in (select key from c) then 'hit' else 'miss' end as kind, lang, count(*) as n from d group by all",
+    "cache_generations": """with d as (select doc_id, lang, sha1('model|' || text) as key, length(text) as n from documents),
+        put as (select distinct key, n as value, 1 as g from d where doc_id % 3 = 0 union all select distinct key, n + 1, 2 from d where doc_id % 3 = 1 union all select distinct key, n + 2, 3 from d where doc_id % 5 = 0),
+        newest as (select key, arg_max(value, g) as value from put group by key)
+        select lang, count(value) as hits, count(*) - count(value) as misses, sum(value - n)::bigint as writers from d left join newest using (key) group by lang""",
+    "ledger_batches": f"""with {_STEPS} select (run_id % 3)::varchar as batch, case action when 'search' then 'retrieve' when 'answer' then 'synthesize' else action end as action, count(*) as n, sum(cost)::bigint as cost
+        from steps where run_id % 3 <> 1 or step <= 2 group by all""",
     "run_traces": f"with {_STEPS} select run_id, md5(string_agg('#' || step || ' ' || action || ' cost=' || cost || ' left=' || budget_left, chr(10) order by step)) as trace_md5 from steps group by run_id",
     "ledger_violations": f"""with {_STEPS}, s as (select *, case when step % 2 = 0 then 'q' end as query from steps) select rule, count(*) as n from (
         select 'unknown_action' as rule from s where action not in ({T.quoted(K.LEDGER_ACTIONS)}) union all select 'query_missing' from s where action in ('retrieve', 'locate', 'ask') and query is null

@@ -144,11 +144,25 @@ def trace(steps: DataFrame) -> DataFrame:
     return steps.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", line.alias("line")))), lambda s: s["line"]), "\n").alias("trace"))
 
 
-def save_ledger(path: str, **tables: DataFrame) -> None:
-    """One folder for each table (steps, docs, claims, cites, carried): carried evidence is kept too."""
+def save_ledger(path: str, batch: str | None = None, **tables: DataFrame) -> None:
+    """One folder for each table (steps, docs, claims, cites, carried): carried evidence is kept too. With a batch of runs, one in it
+    for each batch: a batch that is saved again replaces itself, table by table, and leaves the others."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def load_ledger(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+        if batch is None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        else:
+            df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{name}")
+
+
+def load_ledger(spark: SparkSession, path: str, *names: str, batches: list[str] | None = None, check: bool = True) -> dict[str, DataFrame]:
+    """The tables, or some batches of them, of which only their folders are read. With check, rows that break a rule of the ledger fail the query that reads them."""
+    from attestor.operators.ledger import checked
+
+    out = {}
+    for name in names:
+        rows = spark.read.parquet(f"{path}/{name}")
+        if "batch" in rows.columns:
+            rows = rows.withColumn("batch", F.col("batch").cast("string"))
+        rows = rows if batches is None else rows.where(F.col("batch").isin(batches))
+        out[name] = checked(name, rows) if check else rows
+    return out
