@@ -70,3 +70,21 @@ def utilisation_cases(layers: DataFrame, stats: DataFrame) -> DataFrame:
     """layers: run_id, layer, recall, utilization; stats: run_id, answered. Failures by layer, net of abstentions."""
     x = layers.where("layer <> 'none'").join(stats.select("run_id", "answered"), "run_id")
     return x.groupBy("layer").agg(F.count("*").alias("n"), F.count_if(~F.col("answered")).alias("n_abstained"), F.count_if(F.col("answered")).alias("n_net"), F.count_if(F.col("recall") > 0).alias("n_gold_found"), F.count_if(F.col("utilization") > 0).alias("n_gold_cited"))
+
+
+def holding(items: DataFrame, docs: DataFrame, width: int = 3) -> DataFrame:
+    """items: qid, item; docs: whole and others. qid and the columns of docs for every document whose text holds the item's text.
+
+    A text that holds an item holds the words inside it, whole and in order: its second word and those after it, `width` of them, are a key
+    that both sides share, and what meets there is looked at. Items of so few words that there is no such key meet all documents; they are only joined if there are some."""
+    words = lambda c: F.expr(f"filter(split({c}, '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '')")
+    keyed = items.where("item is not null").withColumn("w", words("item"))
+    key = lambda c, start: F.xxhash64(F.concat_ws(" ", F.slice(c, start, width)))
+    long_ = keyed.where(F.size("w") >= width + 2).select("qid", "item", key(F.col("w"), F.lit(2)).alias("key"))
+    d = docs.withColumn("w", words("whole"))
+    at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda n: key(F.col("w"), n))))
+    found = d.where(F.size("w") >= width + 2).select(*docs.columns, at.alias("key")).join(long_, "key").where("instr(whole, item) > 0").select("qid", *docs.columns)
+    short = keyed.where(F.size("w") < width + 2)
+    if not short.isEmpty():
+        found = found.union(short.select("qid", "item").join(docs, F.expr("instr(whole, item) > 0")).select("qid", *docs.columns))
+    return found

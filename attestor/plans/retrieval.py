@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
-from attestor.operators import chunking, ranking, routing
+from attestor.operators import chunking, metrics, ranking, routing
 from attestor.operators.segments import SegmentedIndex
 from attestor.sources.fixtures import PROSE, QUESTIONS_SQL, SECTIONS_SQL, encoded, encoded_sql, questions, sections, table
 from attestor.sources.scratch import Workspace
@@ -207,7 +207,7 @@ def retrieval_metrics(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
     docs = table(spark, sf_dir, "documents").select(F.format_string("%08d", "doc_id").alias("gold_doc"), F.col("text").alias("whole"), "lang")
-    gold = items.join(docs, F.expr("instr(whole, item) > 0")).groupBy("qid").agg(F.min(F.struct("gold_doc", "lang")).alias("g"))
+    gold = metrics.holding(items, docs).groupBy("qid").agg(F.min(F.struct("gold_doc", "lang")).alias("g"))
     gold = gold.select("qid", F.col("g.lang").alias("tier"), F.col("g.gold_doc").alias("gold_doc"), F.array(*[F.lit(x) for x, _ in K.SECTIONS]).alias("gold_loinc_any"))
     found = c.lexical.search(c.questions, 5).join(c.chunks.select("chunk_key", "doc_id", "loinc"), "chunk_key")
     return ranking.recall_mrr(found, gold)

@@ -92,3 +92,15 @@ def test_a_full_block_and_shard_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found >= 100 * ranking.QUERY_BLOCK and peak < 300 << 20
+
+
+def test_documents_that_hold_an_item_are_found_by_shared_words(spark):
+    from attestor.operators import metrics
+
+    docs = ["xx one two three four fiveyy", "one two three four five", "one  two three four five", "onetwo three four five", "a b", "zone two three four fives one two three four five", None, ""]
+    items = [(1, "one two three four five"), (2, "e two three four f"), (3, "b"), (4, "one two three\nfour five"), (5, None), (6, " two three four five")]
+    d = spark.createDataFrame(list(enumerate(docs)), "k long, whole string")
+    found = {(r.qid, r.k) for r in metrics.holding(spark.createDataFrame(items, "qid long, item string"), d).collect()}
+    assert found == {(q, k) for q, i in items for k, t in enumerate(docs) if i is not None and t is not None and i in t}
+    long_only = metrics.holding(spark.createDataFrame(items[:2], "qid long, item string"), d)
+    assert "NestedLoop" not in long_only._jdf.queryExecution().executedPlan().toString()
