@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions import constants as K
@@ -36,8 +36,23 @@ def pairs(sides: DataFrame, names: DataFrame) -> DataFrame:
     said = sides.select(F.col("speaker").alias("a"), F.col("about").alias("b"), F.col("label").alias("x"))
     back = sides.select(F.col("about").alias("a"), F.col("speaker").alias("b"), F.col("label").alias("y"))
     p = a.join(b, F.expr("a <> b")).join(said, ["a", "b"], "left").join(back, ["a", "b"], "left").fillna("absent", ["x", "y"])
-    kind = F.when((F.col("x") == "warn") & (F.col("y") == "warn"), "both_warn").when(F.col("x") == "warn", "asymmetric_a").when(F.col("y") == "warn", "asymmetric_b").when((F.col("x") == "absent") & (F.col("y") == "absent"), "both_absent").otherwise("both_mention")
-    return p.select("a", "b", "x", "y", kind.alias("kind"))
+    return p.select("a", "b", "x", "y", _kind().alias("kind"))
+
+
+def _kind() -> Column:
+    return F.when((F.col("x") == "warn") & (F.col("y") == "warn"), "both_warn").when(F.col("x") == "warn", "asymmetric_a").when(F.col("y") == "warn", "asymmetric_b").when((F.col("x") == "absent") & (F.col("y") == "absent"), "both_absent").otherwise("both_mention")
+
+
+def kind_counts(sides: DataFrame, names: DataFrame) -> DataFrame:
+    """kind, n: how many ordered pairs of names are of each kind, as pairs would count them. Only pairs of which a side says
+    something are rows; those of which neither does are all others, a closed count."""
+    known = names.select("drug").distinct()
+    s = sides.join(known.withColumnRenamed("drug", "speaker"), "speaker", "left_semi").join(known.withColumnRenamed("drug", "about"), "about", "left_semi")
+    said = s.select(F.col("speaker").alias("a"), F.col("about").alias("b"), F.col("label").alias("x"))
+    back = s.select(F.col("about").alias("a"), F.col("speaker").alias("b"), F.col("label").alias("y"))
+    some = said.join(back, ["a", "b"], "full_outer").fillna("absent", ["x", "y"]).groupBy(_kind().alias("kind")).agg(F.count("*").alias("n"))
+    every = known.agg((F.count("*") * (F.count("*") - 1)).alias("n")).select(F.lit("both_absent").alias("kind"), "n")
+    return some.union(every).union(some.select(F.lit("both_absent"), -F.col("n"))).groupBy("kind").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def citation_balance(pairs: DataFrame, cited: DataFrame) -> DataFrame:

@@ -149,6 +149,12 @@ def consistency_pairs(spark, sf_dir):
     return consistency.pairs(consistency_sides(spark, sf_dir), _names(spark, sf_dir))
 
 
+def consistency_kinds(spark, sf_dir):
+    """Pairs by kind under the warning words of labels, without a row for each pair."""
+    names = _names(spark, sf_dir)
+    return consistency.kind_counts(consistency.sides(consistency.audit_sentences(Corpus(spark, sf_dir).plan), names), names)
+
+
 def citation_balance(spark, sf_dir):
     p = consistency_pairs(spark, sf_dir)
     cited = p.select(F.concat_ws("|", "a", "b").alias("run_id"), "a", "b", F.when(F.length("a") == F.length("b"), F.array("a")).otherwise(F.array("a", "b")).alias("cites"))
@@ -260,7 +266,7 @@ def session_runs(spark, sf_dir):
     return agent.stats(final).join(final.select("run_id", "conv_id", "n_carried"), "run_id").select("run_id", "conv_id", "path", "terminated_by", "n_actions", "n_carried", "n_evidence")
 
 
-QUERIES = {f.__name__: f for f in (question_terms, coverage_scores, selection_pool, selection_sweep, grounded_answers, claims, verify_answers, ledger_steps, ledger_first_steps, ledger_closure, attribution, attribution_compare, linear_pipeline, consistency_sides, consistency_pairs, citation_balance, session_resolve, session_summary, decision_report, available_actions, agent_runs, agent_theta_grid, agent_refusals, agent_closure, agent_counterfactuals, session_runs)}
+QUERIES = {f.__name__: f for f in (question_terms, coverage_scores, selection_pool, selection_sweep, grounded_answers, claims, verify_answers, ledger_steps, ledger_first_steps, ledger_closure, attribution, attribution_compare, linear_pipeline, consistency_sides, consistency_pairs, consistency_kinds, citation_balance, session_resolve, session_summary, decision_report, available_actions, agent_runs, agent_theta_grid, agent_refusals, agent_closure, agent_counterfactuals, session_runs)}
 
 _C = lambda n: f"({_CODES_SQL})[({n}) % {len(_CODES)} + 1]"
 _TERMS = f"""list_filter({T.tokens_sql('question')}, lambda x: length(x) >= 3 and x not in ({T.quoted(K.QUESTION_FILLERS)}) and not list_contains(drugs, x))"""
@@ -330,6 +336,7 @@ ORACLE_SQL = {
         select f.run_id, f.sub as step, count(*) as n_fresh, bool_or(k.cite_key is not null) as used_in_report, case when not bool_or(k.cite_key is not null) then 'context_budget' end as reason_dropped from f left join k on k.run_id = f.run_id and k.cite_key = f.cite_key group by f.run_id, f.sub""",
     "consistency_sides": f"{_SIDES} select * from sides",
     "consistency_pairs": f"{_PAIRS} select * from pairs",
+    "consistency_kinds": f"{_PAIRS.replace(FIXTURE_WARNING, K.WARNING)} select kind, count(*) as n from pairs group by kind",
     "citation_balance": f"""{_PAIRS}, c as (select *, case when length(a) = length(b) then [a] else [a, b] end as cites from pairs), p as (select a, b, list_filter([case when x <> 'absent' and not list_contains(cites, a) then 'selective_citation:' || a end, case when x = 'absent' then 'silent_unstated:' || a end, case when y <> 'absent' and not list_contains(cites, b) then 'selective_citation:' || b end, case when y = 'absent' then 'silent_unstated:' || b end], lambda z: z is not null) as problems from c)
         select a || '|' || b as run_id, a, b, len(problems) = 0 as ok, array_to_string(problems, ',') as problems from p""",
     "session_resolve": f"with {_TURNS} select conv_id, turn, mode, cue, array_to_string(drugs, ',') as drugs, length(raw) + case when mode = 'from_context' and len(missing) > 0 then 3 + length(array_to_string(missing, ', ')) else 0 end as n_chars from asked",
