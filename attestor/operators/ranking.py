@@ -20,28 +20,15 @@ from attestor.functions import constants as K
 from attestor.functions import text as T
 
 
-@dataclass
-class Bm25Index:
-    """postings: term, chunk_key, tf, dl, idf, avgdl."""
-
-    postings: DataFrame
-
-
-def bm25_index(chunks: DataFrame) -> Bm25Index:
-    """One pass over the chunks for terms, one aggregate for lengths, one for document frequencies."""
+def bm25_postings(chunks: DataFrame) -> DataFrame:
+    """term, chunk_key, tf, dl, idf, avgdl of all chunks as rows: one pass over the chunks for terms, one aggregate for lengths, one for document
+    frequencies. To look at; questions are asked of operators.segments."""
     tok = chunks.select("chunk_key", T.tokens("text").alias("tok")).withColumn("dl", F.size("tok"))
     stats = tok.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = tok.select("chunk_key", "dl", F.explode("tok").alias("term")).groupBy("term", "chunk_key", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(stats)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
-    return Bm25Index(tf.join(idf, "term"))
-
-
-def bm25_scores(questions: DataFrame, index: Bm25Index, k1: float = K.BM25_K1, b: float = K.BM25_B) -> DataFrame:
-    """qid, chunk_key, bm25 for every chunk that shares a term. A word that the question repeats counts as often."""
-    q = questions.select("qid", F.explode(T.tokens("question")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return q.join(index.postings, "term").groupBy("qid", "chunk_key").agg(F.round(F.sum(F.col("times") * part), 9).alias("bm25")).where("bm25 > 0")
+    return tf.join(idf, "term")
 
 
 def ranked(scores: DataFrame, score: str, k: int | None = None, name: str = "rank") -> DataFrame:

@@ -140,7 +140,7 @@ def bm25_all(spark, sf_dir):
 
 
 def bm25_index(spark, sf_dir):
-    p = ranking.bm25_index(Corpus(spark, sf_dir).plan).postings
+    p = ranking.bm25_postings(Corpus(spark, sf_dir).plan)
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.round(F.max("idf"), 9).alias("idf"))
 
 
