@@ -176,10 +176,9 @@ def pool_probe(spark, sf_dir):
 def complementarity(spark, sf_dir):
     """BM25 and keywords on questions by template."""
     c = Corpus(spark, sf_dir)
-    keyed = c.chunks.select("chunk_key", "section", T.tokens("text").alias("keywords"))
-    top = lambda df, s: ranking.ranked(df, s, 5).join(c.chunks.select("chunk_key", "drug"), "chunk_key").join(c.located.select("qid", F.col("drug").alias("named")), "qid").groupBy("qid").agg(F.max((F.col("drug") == F.col("named")).cast("int")).alias("h")).select("qid", (F.col("h") == 1).alias("hit"))
+    top = lambda df: c.work.keep(df.select("qid", "chunk_key")).join(c.chunks.select("chunk_key", "drug"), "chunk_key").join(c.located.select("qid", F.col("drug").alias("named")), "qid").groupBy("qid").agg(F.max((F.col("drug") == F.col("named")).cast("int")).alias("h")).select("qid", (F.col("h") == 1).alias("hit"))
     kinds = c.located.select("qid", F.coalesce("intent", F.lit("none")).alias("kind"))
-    return metrics.complementarity(top(c.bm25, "bm25"), top(ranking.keyword_scores(c.questions, keyed), "score"), kinds)
+    return metrics.complementarity(top(c.lexical.search(c.questions, 5)), top(c.lexical.matches(c.questions, 5)), kinds)
 
 
 def policy_paths(spark, sf_dir):

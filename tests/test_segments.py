@@ -162,3 +162,57 @@ def test_fingerprint_of_many_labels_has_one_level_of_inner_nodes(spark, tmp_path
     for label, n, h in leaves:
         nodes.setdefault(hashlib.sha1(label.encode()).hexdigest()[:2], []).append(f"{label}:{n}:{h}")
     assert index.fingerprint().first().fingerprint == sha("\n".join(sorted(sha("\n".join(sorted(x))) for x in nodes.values())))
+
+
+def test_what_is_gathered_inside_shards_equals_plain_ranking_of_all_pairs(spark, tmp_path, small):
+    rng = random.Random(6)
+    rows, questions = corpus(rng, 260), asked(rng, 25)
+    drugs, codes = ["A", "b", None], ["1", "2", "3"]
+    own = {key: (rng.choice(drugs), rng.choice(codes), None if rng.random() < 0.1 else [rng.randrange(3) / 2, rng.randrange(3) / 2]) for key, *_ in rows}
+    wanted = {q: (rng.choice([None, [], ["a"], ["b", "a"]]), rng.sample(codes, rng.randrange(0, 3)), [1.0, 0.5]) for q, _ in questions}
+    full = spark.createDataFrame([(*r, *own[r[0]]) for r in rows], "chunk_key string, label string, text string, content_hash string, drug string, loinc string, vector array<double>")
+    q = spark.createDataFrame([(*x, *wanted[x[0]]) for x in questions], "qid long, question string, drugs array<string>, loincs array<string>, vector array<double>")
+    score = {k: round(v, 9) for k, v in plain(rows, questions).items()}
+    grown = SegmentedIndex(spark, f"file://{tmp_path}/i")
+    for at in range(0, 260, 68):  # whole labels
+        grown.append(full.where(F.col("chunk_key").between(f"c{at:05d}", f"c{at + 67:05d}")))
+    assert [r["level"] for r in grown.live()] == [1]
+    for soft, dense in ((True, True), (True, False), (False, True)):
+        found = {}
+        for r in grown.gather(q if dense else q.drop("vector"), top=4, inside=6, soft=soft).where("part = 'inside'").collect():
+            found.setdefault(r.qid, []).append((r.tier, -r.dense, -r.bm25, r.chunk_key))
+        for qid, _ in questions:
+            names, loincs, v = wanted[qid]
+            want = []
+            for key, (drug, code, w) in own.items():
+                tier = 0 if code in loincs else 1 if soft else None
+                if tier is not None and (not names if soft else names is None) or tier is not None and drug is not None and (drug.lower() if soft else drug) in (names or ()):
+                    want.append((tier, -(sum(x * y for x, y in zip(v, w)) if dense and w else 0.0), -score.get((qid, key), 0.0), key))
+            got = sorted(found.get(qid, []))[:6]
+            assert [x[3] for x in got] == [x[3] for x in sorted(want)[:6]]
+    totals = {r.qid: (r.n_scored, r.total) for r in grown.totals(q).collect()}
+    for qid in {k for k, _ in score}:
+        n, total = sum(k == qid for k, _ in score), sum(v for (k, _), v in score.items() if k == qid)
+        assert totals[qid][0] == n and abs(totals[qid][1] - total) < 1e-6
+    texts = {key: set(text.split()) for key, _, text, _ in rows}
+    matched = {}
+    for r in grown.matches(q, 3).collect():
+        matched.setdefault(r.qid, []).append((r["rank"], r.chunk_key, r.score))
+    for qid, question in questions:
+        best = sorted((-len(set(question.split()) & t), key) for key, t in texts.items() if set(question.split()) & t)[:3]
+        assert [(k, n) for _, k, n in sorted(matched.get(qid, []))] == [(k, -n) for n, k in best]
+
+
+def test_a_merge_cuts_a_shard_into_few_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "SHARD", 4)
+    rng, cuts = random.Random(7), []
+    rows = corpus(rng, 400)
+    index = SegmentedIndex(spark, f"file://{tmp_path}/i")
+    for at in range(0, 400, 100):
+        index.append(frame(spark, rows[at : at + 100]), merge=False)
+    old = {(r.segment, k): r.shard for r in index.docs().collect() for k in r["keys"]}
+    index.merge()
+    new = {k: r.shard for r in index.docs().collect() for k in r["keys"]}
+    for piece in set(old.values()):
+        cuts.append(len({new[k] for (_, k), shard in old.items() if shard == piece}))
+    assert max(cuts) <= 8 and len(new) == 400
