@@ -16,10 +16,20 @@ def _in(words: list[str]) -> str:
     return ", ".join('"' + w.replace('"', '\\"') + '"' for w in words)
 
 
+def _cut(low: str) -> str:
+    return f"""regexp_replace(regexp_replace({low}, "n['’]t\\\\b", ''), "['’](s|re|ve|ll|d|m)\\\\b", '')"""
+
+
+def plain(column: str) -> Column:
+    """Lower case, negations and clitics cut; its runs of a-z and 0-9 are the tokens, stop words among them (see words.tokens)."""
+    low = f"lower(coalesce({column}, ''))"
+    return F.expr(f"""case when contains({low}, "'") or contains({low}, '’') then {_cut(low)} else {low} end""")
+
+
 def tokens(column: str, stop: list[str] | None = None) -> Column:
     """Lower case, negations and clitics cut, runs of a-z and 0-9, stop words out; order and repeats stay."""
-    plain = f"""regexp_replace(regexp_replace(lower(coalesce({column}, '')), "n['’]t\\\\b", ''), "['’](s|re|ve|ll|d|m)\\\\b", '')"""
-    found = f"regexp_extract_all({plain}, '([a-z0-9]+)', 1)"
+    low = f"lower(coalesce({column}, ''))"
+    found = f"regexp_extract_all({_cut(low)}, '([a-z0-9]+)', 1)"
     return F.expr(f"filter({found}, x -> x not in ({_in(K.STOPWORDS if stop is None else stop)}))" if stop != [] else found)
 
 

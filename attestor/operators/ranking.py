@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from attestor.functions import constants as K
 from attestor.functions import text as T
+from attestor.functions import words
 from attestor.operators.segments import SegmentedIndex
 from attestor.sources.scratch import Workspace
 
@@ -34,12 +35,20 @@ def bm25_postings(chunks: DataFrame) -> DataFrame:
 
 
 def term_counts(chunks: DataFrame) -> DataFrame:
-    """term, df, cf of all chunks, and one row without a term that counts the chunks (df). A chunk's tokens are sorted, so that the first of
-    equal ones counts for df: what is shuffled is sums by term, not postings."""
-    tok = F.array_sort(T.tokens("text"))
-    marked = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(True).alias("first"))), F.transform("tok", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.col("tok")[i - 1] != t)).alias("first"))))
-    rows = chunks.select(tok.alias("tok")).select(F.explode(marked).alias("x")).select("x.*")
-    return rows.groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("cf"))
+    """term, df, cf of all chunks, and one row without a term that counts the chunks (df). Each batch of chunks gives its sums by term,
+    so what is shuffled is sums, not postings."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("term", pa.string()), ("df", pa.int64()), ("cf", pa.int64())])
+        for b in batches:
+            names, code, row = words.tokens(b.column("plain"))
+            cf = np.bincount(code, minlength=len(names))
+            df = np.bincount(np.unique(code * max(1, b.num_rows) + row) // max(1, b.num_rows), minlength=len(names))
+            some = np.flatnonzero(cf)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([names.take(pa.array(some)), pa.nulls(1, pa.string())]), pa.array(np.r_[df[some], b.num_rows]), pa.array(np.r_[cf[some], b.num_rows])], schema=schema)
+
+    sums = chunks.select(T.plain("text").alias("plain")).mapInArrow(count, "term string, df long, cf long")
+    return sums.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def ranked(scores: DataFrame, score: str, k: int | None = None, name: str = "rank") -> DataFrame:
