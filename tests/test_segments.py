@@ -216,3 +216,21 @@ def test_a_merge_cuts_a_shard_into_few_pieces(spark, tmp_path, monkeypatch):
     for piece in set(old.values()):
         cuts.append(len({new[k] for (_, k), shard in old.items() if shard == piece}))
     assert max(cuts) <= 8 and len(new) == 400
+
+
+def test_postings_of_other_terms_are_not_shuffled(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    index = SegmentedIndex(spark, f"file://{tmp_path}/i")
+    index.append(frame(spark, corpus(rng, 200)))
+    q = spark.createDataFrame(asked(rng, 20), "qid long, question string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        small, plan = index.search(q, 5), lambda df: df._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(segments, "WANTED", 0)
+        large = index.search(q, 5)
+        shuffled = [line for line in plan(small).splitlines() if "Exchange hashpartitioning(term#" in line]
+        assert "BroadcastHashJoin [term#" in plan(small) and "SortMergeJoin [term#" in plan(large)
+        assert len(shuffled) < plan(large).count("Exchange hashpartitioning(term#")
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
