@@ -17,7 +17,7 @@ from attestor.streaming import events
 
 
 def _labels(spark, sf_dir):
-    return routing.label_codes(Corpus(spark, sf_dir).plan)
+    return Corpus(spark, sf_dir).codes
 
 
 def _set(spark, sf_dir):
@@ -176,9 +176,12 @@ def pool_probe(spark, sf_dir):
 def complementarity(spark, sf_dir):
     """BM25 and keywords on questions by template."""
     c = Corpus(spark, sf_dir)
-    top = lambda df: c.work.keep(df.select("qid", "chunk_key")).join(c.chunks.select("chunk_key", "drug"), "chunk_key").join(c.located.select("qid", F.col("drug").alias("named")), "qid").groupBy("qid").agg(F.max((F.col("drug") == F.col("named")).cast("int")).alias("h")).select("qid", (F.col("h") == 1).alias("hit"))
+    lists = c.work.keep(c.lexical.search(c.questions, 5).select(F.lit("bm25").alias("by"), "qid", "chunk_key").union(c.lexical.matches(c.questions, 5).select(F.lit("words"), "qid", "chunk_key")))
+    named = c.located.select("qid", F.col("drug").alias("named"))
+    hits = c.work.keep(lists.join(c.of(lists).select("chunk_key", "drug"), "chunk_key").join(named, "qid").groupBy("by", "qid").agg(F.max((F.col("drug") == F.col("named")).cast("int")).alias("h")))
+    top = lambda by: hits.where(F.col("by") == by).select("qid", (F.col("h") == 1).alias("hit"))
     kinds = c.located.select("qid", F.coalesce("intent", F.lit("none")).alias("kind"))
-    return metrics.complementarity(top(c.lexical.search(c.questions, 5)), top(c.lexical.matches(c.questions, 5)), kinds)
+    return metrics.complementarity(top("bm25"), top("words"), kinds)
 
 
 def policy_paths(spark, sf_dir):
