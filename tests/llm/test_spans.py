@@ -200,6 +200,20 @@ def test_suffixes_under_hot_anchors_equal_plain_python(spark, monkeypatch):
     assert assert_cut(spark, rows, 30, 10) > 50
 
 
+def test_hot_copies_have_each_range_once(spark, monkeypatch):
+    """However many batches hold a copy, and however many strings of a region are found again."""
+    monkeypatch.setattr(suffixes, "HOT", 5)
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefghij") for _ in range(150))
+    rows = [(k, base) for k in range(40)] + [(100 + k, base[:60] + str(k) + base[60:]) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {bytes(r.digest): [tuple(x) for x in r.ranges] for r in suffixes.repeated_ranges(spark, frame, window=30, gram=10).collect()}
+    own = found[hashlib.sha256(base.encode()).digest()[:16]]
+    regions = len(suffixes.Stretches([base.encode()], 30, 10).anchors)
+    assert len(own) == len(set(own)) == regions and suffixes.merged(*np.array(own).T) == [(0, 150)]
+    assert assert_cut(spark, rows, 30, 10, partitions=8) > 60
+
+
 def test_suffixes_at_production_size(spark, odd, odd_rows, nothing):
     rng = random.Random(4)
     shared = prose(rng, 200)
