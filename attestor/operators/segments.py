@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,9 @@ from attestor.functions import text as T
 from attestor.functions import words
 
 SHARD, BLOCK, FANOUT, QUESTIONS = 65_536, 64, 4, 2048
+#: Shards are written as they come, without a sort. The row of a shard's chunks has many MB, so pages and row groups are measured every
+#: 64 rows at least (10,000 terms may lie between two such rows): what a reader or writer holds is some shards, however many lie in a file.
+FILES = {"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "64"}
 #: Bytes of texts at which a shard that is read in one run is full as well, and the level of such a segment.
 RUN_BYTES, WHOLE = 16 << 20, -1
 #: Terms of all questions up to which postings are picked where they lie; beyond, they are shuffled by term.
@@ -64,6 +67,8 @@ MANIFEST = "segment string, level int, n long, length long, replaces array<strin
 LABELS = "label string, n_chunks long, hash string"
 
 
+#: Distinct words, the code and the text of each token (words.tokens()), how many texts: a vector for each text, zeros for none.
+Encoder = Callable[[pa.Array, np.ndarray, np.ndarray, int], np.ndarray]
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 
 
@@ -106,11 +111,13 @@ def _shard_table(shard: int, terms: pa.Array, columns: list[pa.Array], keys: pa.
     return pa.concat_tables([lists, head])
 
 
-def _build(rows: pa.Table) -> pa.Table:
-    """One shard from its chunks (shard, chunk_key, plain, facet, vector)."""
+def _build(rows: pa.Table, encode: Encoder | None = None) -> pa.Table:
+    """One shard from its chunks (shard, chunk_key, plain, facet, vector). encode: gives the vectors instead."""
     rows = rows.sort_by("chunk_key")
     n = rows.num_rows
     names, code, row = words.tokens(words.whole(rows.column("plain")))
+    rows = rows.drop_columns("plain")
+    vectors = encode(names, code, row, n) if encode else _matrix(rows.column("vector")) if "vector" in rows.column_names else None
     order = pc.sort_indices(names).to_numpy()
     place = np.empty(len(names), np.int64)
     place[order] = np.arange(len(names))
@@ -120,16 +127,19 @@ def _build(rows: pa.Table) -> pa.Table:
     codes, ords = np.divmod(pairs, max(1, n))
     dls = np.bincount(row, minlength=n)
     terms = names.take(pa.array(order[used]))
-    return _shard_table(rows.column("shard")[0].as_py(), terms, _posting_rows(codes, ords, tfs, dls, len(terms)), words.whole(rows.column("chunk_key")), dls, rows.column("facet").to_pylist(), _matrix(rows.column("vector")) if "vector" in rows.column_names else None)
+    return _shard_table(rows.column("shard")[0].as_py(), terms, _posting_rows(codes, ords, tfs, dls, len(terms)), words.whole(rows.column("chunk_key")), dls, rows.column("facet").to_pylist(), vectors)
 
 
-def _build_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build_runs(batches: Iterator[pa.RecordBatch], encode: Encoder | None = None) -> Iterator[pa.RecordBatch]:
     """Shards of the chunks of a partition (chunk_key, plain, facet, vector), as they come."""
     partition, held, size, shard = TaskContext.get().partitionId() << 12, [], [0, 0], 0
 
     def built() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
-        yield from _build(rows.append_column("shard", pa.array(np.full(rows.num_rows, partition + shard, np.int32)))).to_batches(65_536)
+        held.clear()
+        rows = _build(rows.append_column("shard", pa.array(np.full(rows.num_rows, partition + shard, np.int32))), encode)
+        words.trim()
+        yield from rows.to_batches(8192)
 
     for b in batches:
         if b.num_rows:
@@ -137,10 +147,9 @@ def _build_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = [size[0] + b.num_rows, size[1] + b.column("plain").nbytes]
         if size[0] >= SHARD - 10_000 or size[1] >= RUN_BYTES:
             yield from built()
-            held, size, shard = [], [0, 0], shard + 1
+            size, shard = [0, 0], shard + 1
     if held:
         yield from built()
-    held.clear()
     words.trim()
 
 
@@ -346,14 +355,14 @@ class SegmentedIndex:
         names = [r["segment"] for r in self.live()] if segments is None else segments
         out = self.spark.createDataFrame([], StructType([*StructType.fromDDL(schema), StructField("segment", StringType())]))
         for s in names:
-            out = out.union(self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/{s}").withColumn("segment", F.lit(s)))
+            out = out.union(self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/{s}").select(*out.columns[:-1], F.lit(s).alias("segment")))
         return out
 
     def terms(self, segments: list[str] | None = None) -> DataFrame:
-        return self._read("shards", f"{TERMS}, kind string", segments).where("kind = 'terms'").drop("kind")
+        return self._read("shards", TERMS, segments).where("term is not null")
 
     def docs(self, segments: list[str] | None = None) -> DataFrame:
-        return self._read("shards", f"{DOCS}, kind string", segments).where("kind = 'docs'").drop("kind")
+        return self._read("shards", DOCS, segments).where("n is not null")
 
     def labels(self) -> DataFrame:
         """label, n_chunks, hash: the leaves of the fingerprint."""
@@ -363,9 +372,8 @@ class SegmentedIndex:
 
     def _commit(self, segment: str, level: int, rows: DataFrame, replaces: list[str]) -> None:
         seen = Observation()
-        kind = F.when(F.col("term").isNull(), "docs").otherwise("terms")
         rows = rows.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "length")])
-        rows.withColumn("kind", kind).sortWithinPartitions("kind", "term").write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", False).partitionBy("kind").parquet(f"{self.root}/shards/{segment}")
+        rows.write.mode("overwrite").options(**FILES).parquet(f"{self.root}/shards/{segment}")
         row = Row(segment=segment, level=level, n=seen.get["n"], length=seen.get["length"], replaces=replaces)
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
         self._rows = [*self.manifest(), row]
@@ -390,17 +398,19 @@ class SegmentedIndex:
             chunks = chunks.join(self.labels().select("label"), "label", "left_anti")
         shards = _shards_for(self._write_labels(segment, label_hashes(chunks)))
         plain = _plain(chunks, F.pmod(F.xxhash64("chunk_key"), F.lit(shards)).cast("int").alias("shard"))
-        self._commit(segment, 0, plain.groupBy("shard").applyInArrow(_build, ROWS), [])
+        self._commit(segment, 0, plain.groupBy("shard").applyInArrow(lambda rows: _build(rows), ROWS), [])
         if merge:
             self.merge()
         return segment
 
-    def load(self, chunks: DataFrame) -> str:
-        """The whole index of chunks (as append takes them, no label), which are read once and not shuffled. Nothing can be appended."""
+    def load(self, chunks: DataFrame, encode: Encoder | None = None) -> str:
+        """The whole index of chunks (as append takes them, no label), which are read once and not shuffled. Nothing can be appended.
+
+        encode: gives the vectors of a shard from its tokens, so that they need no pass and no worker of their own."""
         if self.manifest():
             raise ValueError("an index is loaded into an empty folder")
         segment = f"{0:06d}-{uuid.uuid4().hex}"
-        self._commit(segment, WHOLE, _plain(chunks).mapInArrow(_build_runs, ROWS), [])
+        self._commit(segment, WHOLE, _plain(chunks).mapInArrow(lambda batches: _build_runs(batches, encode), ROWS), [])
         return segment
 
     def merge(self) -> None:
@@ -451,8 +461,12 @@ class SegmentedIndex:
         packs = asked.groupBy("block").agg(F.collect_list(F.struct("qid", "tok", *more)).alias("asked"))
         wanted = wanted.join(self.idf(wanted, few), "term")
         lists = self.terms().join(F.broadcast(wanted) if few else wanted, "term").select("segment", "shard", "block", "term", "idf", "ords", "tfs", "max_tf", "min_dl")
-        docs = self.docs().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packs, "block")
-        docs = docs.select("segment", "shard", "block", *([c for c, _ in HELD] if held else ["keys", "dls"]), "asked")
+        by = ["segment", "shard", "block"]
+        docs = self.docs().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*by, *([c for c, _ in HELD] if held else ["keys", "dls"]))
+        if few:  # so are the questions
+            docs = docs.join(F.broadcast(packs), "block")
+        else:  # by block alone, all shards of a block would meet in one task
+            docs = docs.join(packs.crossJoin(F.broadcast(self.docs().select("segment", "shard"))), by)
         _, avgdl = self._sums()
         k1, b = self.k1, self.b
 
@@ -471,7 +485,6 @@ class SegmentedIndex:
             words.trim()
             return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        by = ("segment", "shard", "block")
         return lists.groupBy(*by).cogroup(docs.groupBy(*by)).applyInArrow(run, out)
 
     def _found(self, questions: DataFrame, pick) -> DataFrame:

@@ -85,19 +85,25 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIMS = 32
 
 
+def directions(names: pa.Array, code: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+    """Stand-in vectors of some texts from their tokens (words.tokens()): counts by their ends and length, of unit length; zeros without tokens."""
+    at = np.array([(ord(t[0]) * 31 + ord(t[-1]) * 7 + len(t)) % DIMS for t in names.to_pylist()], np.int64)
+    n = np.bincount(row * DIMS + at[code], minlength=size * DIMS).reshape(-1, DIMS).astype(float)
+    norm = np.sqrt((n * n).sum(axis=1))
+    n /= np.where(norm > 0, norm, 1.0)[:, None]
+    return n
+
+
 def encoded(rows: DataFrame, text: str) -> DataFrame:
-    """Adds vector, a stand-in for an encoder's: counts of the tokens by their ends and length, of unit length (null without tokens)."""
-    out, dims = StructType([*rows.schema, StructField("vector", ArrayType(DoubleType()))]), DIMS
+    """Adds vector, a stand-in for an encoder's (null without tokens)."""
+    out = StructType([*rows.schema, StructField("vector", ArrayType(DoubleType()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
         for b in batches:
-            names, code, row = words.tokens(words.whole(b.column("__plain")))
-            at = np.array([(ord(t[0]) * 31 + ord(t[-1]) * 7 + len(t)) % dims for t in names.to_pylist()], np.int64)
-            n = np.bincount(row * dims + at[code], minlength=b.num_rows * dims).reshape(-1, dims).astype(float)
-            norm = np.sqrt((n * n).sum(axis=1))
-            some = norm > 0
-            vectors = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(dims * some)], pa.int32()), pa.array((n[some] / norm[some, None]).ravel()), mask=pa.array(~some))
+            n = directions(*words.tokens(words.whole(b.column("__plain"))), b.num_rows)
+            some = n.any(axis=1)
+            vectors = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(DIMS * some)], pa.int32()), pa.array(n[some].ravel()), mask=pa.array(~some))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], vectors.cast(schema.field("vector").type)], schema=schema)
 
     return rows.withColumn("__plain", T.plain(text)).mapInArrow(count, out)
