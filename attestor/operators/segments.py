@@ -330,10 +330,10 @@ class Scorer:
 
 
 class SegmentedIndex:
-    """The index under one folder. k1, b: of BM25."""
+    """The index under one folder. k1, b: of BM25. postings: without them it keeps labels alone, for its fingerprint, and takes label_hashes() in place of chunks."""
 
-    def __init__(self, spark: SparkSession, root: str, k1: float = K.BM25_K1, b: float = K.BM25_B):
-        self.spark, self.root, self.k1, self.b = spark, root.rstrip("/"), k1, b
+    def __init__(self, spark: SparkSession, root: str, k1: float = K.BM25_K1, b: float = K.BM25_B, postings: bool = True):
+        self.spark, self.root, self.k1, self.b, self.postings = spark, root.rstrip("/"), k1, b, postings
         self._rows: list | None = None
         self._idf: tuple[list, dict[str, float | None]] = [], {}
 
@@ -353,6 +353,8 @@ class SegmentedIndex:
         return sorted((r for r in self.manifest() if r["segment"] not in gone), key=lambda r: r["segment"])
 
     def _read(self, kind: str, schema: str, segments: list[str] | None = None) -> DataFrame:
+        if kind == "shards" and not self.postings:
+            raise ValueError("this index keeps labels alone; it can't be searched")
         names = [r["segment"] for r in self.live()] if segments is None else segments
         out = self.spark.createDataFrame([], StructType([*StructType.fromDDL(schema), StructField("segment", StringType())]))
         for s in names:
@@ -375,7 +377,10 @@ class SegmentedIndex:
         seen = Observation()
         rows = rows.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "length")])
         rows.write.mode("overwrite").options(**FILES).parquet(f"{self.root}/shards/{segment}")
-        row = Row(segment=segment, level=level, n=seen.get["n"], length=seen.get["length"], replaces=replaces)
+        self._enter(segment, level, seen.get["n"], seen.get["length"], replaces)
+
+    def _enter(self, segment: str, level: int, n: int, length: int, replaces: list[str]) -> None:
+        row = Row(segment=segment, level=level, n=n, length=length, replaces=replaces)
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
         self._rows = [*self.manifest(), row]
 
@@ -397,9 +402,12 @@ class SegmentedIndex:
             return segment
         if known:
             chunks = chunks.join(self.labels().select("label"), "label", "left_anti")
-        shards = _shards_for(self._write_labels(segment, label_hashes(chunks)))
-        plain = _plain(chunks, F.pmod(F.xxhash64("chunk_key"), F.lit(shards)).cast("int").alias("shard"))
-        self._commit(segment, 0, plain.groupBy("shard").applyInArrow(lambda rows: _build(rows), ROWS), [])
+        n = self._write_labels(segment, label_hashes(chunks) if self.postings else chunks.select("label", "n_chunks", "hash"))
+        if self.postings:
+            plain = _plain(chunks, F.pmod(F.xxhash64("chunk_key"), F.lit(_shards_for(n))).cast("int").alias("shard"))
+            self._commit(segment, 0, plain.groupBy("shard").applyInArrow(lambda rows: _build(rows), ROWS), [])
+        else:
+            self._enter(segment, 0, n, 0, [])
         if merge:
             self.merge()
         return segment
@@ -425,13 +433,18 @@ class SegmentedIndex:
                 return
             old = by_level[level][:FANOUT]
             n = sum(r["n"] for r in self.live() if r["segment"] in old)
+            name = f"{old[-1]}+{level + 1}"
+            self._write_labels(name, self._read("labels", LABELS, old).drop("segment"))
+            if not self.postings:
+                self._enter(name, level + 1, n, 0, old)
+                continue
             into = F.transform("keys", lambda key: F.pmod(F.xxhash64(key), F.lit(_shards_for(n))).cast("int"))
-            rows = self.terms(old).select("segment", "shard", "term", "ords", "tfs", *[F.lit(None).cast(t).alias(c) for c, t in (*HELD, ("into", "array<int>"))])
-            rows = rows.union(self.docs(old).select("segment", "shard", *[F.lit(None).cast(t).alias(c) for c, t in (("term", "string"), ("ords", "binary"), ("tfs", "binary"))], *[c for c, _ in HELD], into.alias("into")))
+            none = lambda c, t: (F.array() if t.startswith("array") else F.lit(None)).cast(t).alias(c)  # noqa: E731  (lists are empty, not null: see _plain)
+            rows = self.terms(old).select("segment", "shard", "term", "ords", "tfs", *[none(c, t) for c, t in (*HELD, ("into", "array<int>"))])
+            heads = self.docs(old).withColumn("facets", F.coalesce("facets", none("facets", "array<string>")))
+            rows = rows.union(heads.select("segment", "shard", *[none(c, t) for c, t in (("term", "string"), ("ords", "binary"), ("tfs", "binary"))], *[c for c, _ in HELD], into.alias("into")))
             pieces = rows.groupBy("segment", "shard").applyInArrow(_split, PIECES)
-            into = f"{old[-1]}+{level + 1}"
-            self._write_labels(into, self._read("labels", LABELS, old).drop("segment"))
-            self._commit(into, level + 1, pieces.groupBy("shard").applyInArrow(_join, ROWS), old)
+            self._commit(name, level + 1, pieces.groupBy("shard").applyInArrow(_join, ROWS), old)
 
     def fingerprint(self) -> DataFrame:
         """merkle() of the labels; it reads the leaves, no chunks, and does not depend on segments."""
@@ -666,63 +679,62 @@ class SegmentedIndex:
 
 
 HELD = (("keys", "array<string>"), ("dls", "binary"), ("facets", "array<string>"), ("facet", "binary"), ("vectors", "binary"))
-PIECES = "shard int, piece string, term string, ords binary, tfs binary, " + ", ".join(f"{c} {t}" for c, t in HELD)
+PIECES = "shard int, terms array<string>, sizes binary, ords binary, tfs binary, " + ", ".join(f"{c} {t}" for c, t in HELD)
 
 
-def _flat(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the lists, and how many each has."""
-    return np.frombuffer(b"".join(lists), "<u4").astype(np.int64), np.fromiter((len(x) // 4 for x in lists), np.int64, len(lists))
+    data, bounds = words.content(words.whole(lists))
+    return np.frombuffer(data.tobytes(), "<u4").astype(np.int64), np.diff(bounds) // 4
 
 
 def _split(rows: pa.Table) -> pa.Table:
-    """One shard to pieces, by the shard that its chunks go into."""
-    schema = _arrow(PIECES)
-    head = rows.filter(pc.is_valid(rows.column("into")))
+    """One shard to pieces, by the shard that its chunks go into; a piece is one row, its postings lie behind each other."""
+    schema, out = _arrow(PIECES), []
+    head = rows.filter(pc.is_null(rows.column("term")))
     lists = rows.filter(pc.is_valid(rows.column("term")))
-    piece = f"{rows.column('segment')[0].as_py()}/{rows.column('shard')[0].as_py()}"
-    into, keys = np.array(head.column("into")[0].as_py(), np.int64), np.array(head.column("keys")[0].as_py(), object)
-    dls = np.frombuffer(head.column("dls")[0].as_py(), "<u4")
-    names, facet, vectors = (head.column(c)[0].as_py() for c in ("facets", "facet", "vectors"))
+    into, keys = (words.whole(head.column(c)).flatten() for c in ("into", "keys"))
+    into, (dls, _) = into.to_numpy(), _flat(head.column("dls"))
+    names, facet, vectors = (head.column(c)[0].as_py() or None for c in ("facets", "facet", "vectors"))
     facet = np.frombuffer(facet, "<u4") if facet else None
     vectors = np.frombuffer(vectors, "<f8").reshape(len(keys), -1) if vectors else None
-    terms = lists.column("term").to_pylist()
-    (ords, size), (tfs, _) = _flat(lists.column("ords").to_pylist()), _flat(lists.column("tfs").to_pylist())
-    term, out = np.repeat(np.arange(len(terms)), size), []
+    terms, (ords, size), (tfs, _) = words.whole(lists.column("term")), _flat(lists.column("ords")), _flat(lists.column("tfs"))
+    term = np.repeat(np.arange(len(terms)), size)
     for target in np.unique(into).tolist():
         inside = into == target
         number = np.cumsum(inside) - 1
-        mine = inside[ords]
-        cut = np.searchsorted(term[mine], np.arange(len(terms) + 1)).tolist()
-        own, count = _binary(number[ords[mine]]), _binary(tfs[mine])
-        out.append((target, piece, None, None, None, keys[inside].tolist(), _binary(dls[inside]), names, None if facet is None else _binary(facet[inside]), None if vectors is None else _binary(vectors[inside], "<f8")))
-        out += [(target, piece, terms[t], own[4 * a : 4 * b], count[4 * a : 4 * b], *[None] * len(HELD)) for t, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+        mine = np.flatnonzero(inside[ords])
+        count = np.bincount(term[mine], minlength=len(terms))
+        some = np.flatnonzero(count)
+        held = [keys.take(pa.array(np.flatnonzero(inside))), _binary(dls[inside]), names, None if facet is None else _binary(facet[inside]), None if vectors is None else _binary(vectors[inside], "<f8")]
+        cells = [target, terms.take(pa.array(some)), _binary(count[some]), _binary(number[ords[mine]]), _binary(tfs[mine]), *held]
+        out.append(pa.table([pa.ListArray.from_arrays([0, len(x)], x) if isinstance(x, pa.Array) else pa.array([x], f.type) for x, f in zip(cells, schema, strict=True)], schema=schema))
+    return pa.concat_tables(out) if out else schema.empty_table()
 
 
 def _join(rows: pa.Table) -> pa.Table:
     """One shard from its pieces."""
-    heads = rows.filter(pc.is_valid(rows.column("dls")))
-    lists = rows.filter(pc.is_valid(rows.column("term")))
-    keys, dls = heads.column("keys").to_pylist(), [np.frombuffer(x, "<u4").astype(np.int64) for x in heads.column("dls").to_pylist()]
-    all_keys = np.array([k for own in keys for k in own], object)
-    order = np.argsort(all_keys, kind="stable") if len(all_keys) else np.empty(0, np.int64)
+    keys, terms = (words.whole(rows.column(c)) for c in ("keys", "terms"))
+    each, every = pc.list_value_length(keys).to_numpy(), keys.flatten()
+    order = pc.sort_indices(every).to_numpy().astype(np.int64)
     number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order))
-    base = dict(zip(heads.column("piece").to_pylist(), np.cumsum([0, *map(len, keys)]).tolist(), strict=False))
-    terms = sorted(set(lists.column("term").to_pylist()))
-    code = dict(zip(terms, range(len(terms)), strict=True))
-    (ords, size), (tfs, _) = _flat(lists.column("ords").to_pylist()), _flat(lists.column("tfs").to_pylist())
-    ords = number[ords + np.repeat([base[p] for p in lists.column("piece").to_pylist()], size).astype(np.int64)]
-    codes = np.repeat([code[t] for t in lists.column("term").to_pylist()], size).astype(np.int64)
-    turn = np.lexsort((ords, codes))
-    lengths = np.concatenate(dls)[order] if dls else np.empty(0, np.int64)
-    facets, vectors = [], []
-    for own, names, facet, vector in zip(keys, *(heads.column(c).to_pylist() for c in ("facets", "facet", "vectors")), strict=True):
-        facets += [names[k] for k in np.frombuffer(facet, "<u4").tolist()] if names else [None] * len(own)
-        vectors.append(np.frombuffer(vector, "<f8").reshape(len(own), -1) if vector else None)
+    coded = terms.flatten().dictionary_encode()
+    sort = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(sort), np.int64)
+    place[sort] = np.arange(len(sort))
+    (ords, size), (tfs, _), (counts, _) = (_flat(rows.column(c)) for c in ("ords", "tfs", "sizes"))
+    ords = number[ords + np.repeat(np.cumsum(each) - each, size)]
+    codes = np.repeat(place[coded.indices.to_numpy()], counts)
+    turn = np.argsort(codes * max(1, len(order)) + ords, kind="stable")
+    lengths, facets, vectors = _flat(rows.column("dls"))[0][order], [], []
+    for n, names, facet, vector in zip(each.tolist(), *(rows.column(c).to_pylist() for c in ("facets", "facet", "vectors")), strict=True):
+        facets += [names[k] for k in np.frombuffer(facet, "<u4").tolist()] if names else [None] * n
+        vectors.append(np.frombuffer(vector, "<f8").reshape(n, -1) if vector else None)
     width = max((v.shape[1] for v in vectors if v is not None), default=0)
-    vectors = [np.zeros((len(own), width)) if v is None else v for own, v in zip(keys, vectors, strict=True)]
-    return _shard_table(rows.column("shard")[0].as_py(), pa.array(terms, pa.string()), _posting_rows(codes[turn], ords[turn], tfs[turn], lengths, len(terms)), all_keys[order].tolist(), lengths, [facets[k] for k in order.tolist()], np.concatenate(vectors)[order] if width else None)
+    vectors = [np.zeros((n, width)) if v is None else v for n, v in zip(each.tolist(), vectors, strict=True)]
+    found = _posting_rows(codes[turn], ords[turn], tfs[turn], lengths, len(sort))
+    return _shard_table(rows.column("shard")[0].as_py(), coded.dictionary.take(pa.array(sort)), found, every.take(pa.array(order)), lengths, [facets[k] for k in order.tolist()], np.concatenate(vectors)[order] if width else None)
 
 
 def _plain(chunks: DataFrame, *more: Column) -> DataFrame:
