@@ -197,9 +197,9 @@ def dense_gate(scores: DataFrame, gate: float = K.DENSE_GATE) -> DataFrame:
 
 @dataclass
 class Dense:
-    """The dense side of a request set: its best RRF_CUT chunks (dense_top), and its vectors (qid, vector) for chunks that are scored besides."""
+    """The dense side of a request set: its best RRF_CUT chunks (dense_top; None: they are looked for in the index's shards), and its vectors (qid, vector) for chunks that are scored besides."""
 
-    top: DataFrame
+    top: DataFrame | None
     queries: DataFrame
 
 
@@ -228,9 +228,11 @@ def fused(index: SegmentedIndex, work: Workspace, located: DataFrame, k: int, de
     Without a dense list the section list is in lexical order, so what is in the head of the lexical list is in the head of the section
     list too; of what is only in the section list the first k can be among the first k. The heads of the shards are enough.
     With one, a chunk of the other lists may stand anywhere in the section list, which is ranked whole."""
-    gathered = work.keep(index.gather(section_requests(located, dense), top=K.RRF_CUT, inside=K.RRF_CUT + k if dense is None else None, bins=True))
+    gathered = work.keep(index.gather(section_requests(located, dense), top=K.RRF_CUT, inside=K.RRF_CUT + k if dense is None else None, bins=True, near=K.RRF_CUT if dense is not None and dense.top is None else 0))
     lexical = work.keep(ranked(gathered.where("part = 'top'").select("qid", "chunk_key", "bm25"), "bm25", K.RRF_CUT).drop("rank"))
     sections = section_candidates(gathered)
+    if dense is not None and dense.top is None:
+        dense = Dense(work.keep(ranked(gathered.where("part = 'near'").select("qid", "chunk_key", "dense"), "dense", K.RRF_CUT)), dense.queries)
     if dense is not None:
         near = lexical.select("qid", "chunk_key").union(dense.top.select("qid", "chunk_key")).distinct().withColumn("near", F.lit(True))
         sections = sections.join(near, ["qid", "chunk_key"], "left").where((F.col("rank") <= 2 * K.RRF_CUT + k) | F.col("near"))

@@ -54,6 +54,8 @@ RUN_BYTES, WHOLE = 16 << 20, -1
 WANTED = 250_000
 #: Slack of bounds: sums in another order differ by less.
 SLACK = 1e-7
+#: Vectors of questions that meet those of a shard at a time.
+STEP = 16
 #: Bins between 0 and the largest possible score, in which an order statistic is looked for first.
 BINS = 1024
 TERMS = "shard int, term string, df long, ords binary, tfs binary, max_tf binary, min_dl binary"
@@ -61,7 +63,7 @@ DOCS = "shard int, n long, length long, keys array<string>, dls binary, facets a
 ROWS = f"{TERMS}, n long, length long, keys array<string>, dls binary, facets array<string>, facet binary, vectors binary"
 #: Between the parts of a facet, and for a part that is null.
 MARK, NONE = "\x1f", "\x00"
-#: Of what gather finds: part is top, inside or bin.
+#: Of what gather finds: part is top, near, inside or bin.
 GATHERED = "part string, chunk_key string, tier int, dense double, bm25 double, bin int, n long, top double"
 MANIFEST = "segment string, level int, n long, length long, replaces array<string>"
 LABELS = "label string, n_chunks long, hash string"
@@ -196,6 +198,31 @@ class Held:
                 out += (x or 0.0) * rows[:, k]
         return np.round(out, 9)
 
+    def nearest(self, asked: list[list[float] | None], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the k highest products for each vector, ties by number, and the products. Zeros stand for no vector and are left out; a question without one has none.
+
+        Matrix products of STEP vectors at a time say what may be among them, within what another order of adding up can change; that is scored exactly."""
+        there = np.flatnonzero(self.vectors.any(axis=1)) if self.vectors is not None else np.empty(0, np.int64)
+        longest = np.sqrt((self.vectors**2).sum(axis=1).max(initial=0.0)) if len(there) else 0.0
+        for start in range(0, len(asked), STEP):
+            some = asked[start : start + STEP]
+            if not len(there):
+                yield from ((there, np.empty(0)) for _ in some)
+                continue
+            q = np.array([[x or 0.0 for x in v] if v is not None else [0.0] * self.vectors.shape[1] for v in some])
+            near = (self.vectors @ q.T).T
+            for v, x, line in zip(some, q, near, strict=True):
+                if v is None:
+                    yield np.empty(0, np.int64), np.empty(0)
+                    continue
+                at, x = there, SLACK + 1e-12 * longest * np.sqrt((x * x).sum())
+                if len(at) > k:
+                    own = line[there]
+                    at = there[own >= np.partition(own, len(own) - k)[len(own) - k] - x]
+                exact = self.dense(v, at)
+                best = _best(exact, k)
+                yield at[best], exact[best]
+
 
 def _first(tier: np.ndarray, dense: np.ndarray, bm25: np.ndarray, k: int) -> np.ndarray:
     """Places of the first k by tier, dense score, lexical score, number, in that order."""
@@ -581,11 +608,11 @@ class SegmentedIndex:
         found = self._shards(questions, (), out, score)
         return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_key"))).where(F.col("rank") <= k)
 
-    def gather(self, questions: DataFrame, top: int = 0, inside: int | None = None, soft: bool = False, bins: bool = False) -> DataFrame:
+    def gather(self, questions: DataFrame, top: int = 0, inside: int | None = None, soft: bool = False, bins: bool = False, near: int = 0) -> DataFrame:
         """Rows of GATHERED with their qid, all from one pass over the shards; keep them before they are looked at twice.
 
         questions: qid, question and, as wanted, drugs and loincs (see Held.tiers), asks (false: nothing is looked for inside) and vector.
-        part top: of each shard the best `top` chunks by BM25. part inside: of each shard the first `inside` chunks (None: all of them)
+        part top: of each shard the best `top` chunks by BM25. part near: the best `near` chunks by dense score. part inside: of each shard the first `inside` chunks (None: all of them)
         that drugs and loincs leave, by tier, dense score, lexical score and key; zero scores count. part bin: how many scores of a
         shard are in which bin of the largest possible one (see confidence)."""
         own = {"drugs": F.lit(None).cast("array<string>"), "loincs": F.lit(None).cast("array<string>"), "asks": F.lit(True), "vector": F.lit(None).cast("array<double>"), "most": F.lit(1.0)}
@@ -604,6 +631,9 @@ class SegmentedIndex:
                 for f in kinds:
                     cells[f.name].append(pa.array(values[f.name], f.type) if f.name in values else pa.nulls(rows, f.type))
 
+            if near:
+                for a, (at, dense) in zip(asked, scorer.held.nearest([a["vector"] for a in asked], near), strict=True):
+                    add(a, "near", len(at), at, dense=dense)
             for a in asked:
                 terms = list(Counter(a["tok"]).items())
                 full = scorer.all(terms)

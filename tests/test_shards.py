@@ -58,3 +58,28 @@ def test_rows_of_shards_are_written_without_a_sort_and_in_small_row_groups(spark
     files = [pq.ParquetFile(f).metadata for f in (tmp_path / "i" / "shards" / segment).rglob("*.parquet")]
     assert index.docs().count() == 16
     assert sum(f.num_row_groups for f in files) >= 10  # 50 KB of keys in each of 16 shards; before, 100 such rows at least were held at once
+
+
+def test_the_dense_list_is_found_in_the_shards(spark, tmp_path):
+    from attestor.operators import ranking
+
+    rng = random.Random(11)
+    rows = [(key, text) for key, _, text, _ in corpus(rng, 240)] + [("z", None), ("c00000b", rng.choice(["w1", "w2"]))]
+    chunks = spark.createDataFrame(rows, "chunk_key string, text string").repartition(3)
+    q = encoded(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows[-40:])], "qid long, question string"), "question")
+    index = SegmentedIndex(spark, f"file://{tmp_path}/i")
+    index.load(chunks, directions)
+    near = index.gather(q, near=7).where("part = 'near'").select("qid", "chunk_key", "dense")
+    got = sorted((r.qid, r["rank"], r.chunk_key, r.dense) for r in ranking.ranked(near, "dense", 7).collect())
+    want = sorted((r.qid, r["rank"], r.chunk_key, r.dense) for r in ranking.dense_top(q, encoded(chunks, "text"), 7).collect())
+    assert got == want and len(got) > 200
+
+
+def test_fusion_with_vectors_cuts_chunks_once(spark, monkeypatch):
+    from attestor.operators import chunking
+    from attestor.plans import retrieval
+
+    cuts, build = [], chunking.build_chunks
+    monkeypatch.setattr(chunking, "build_chunks", lambda *a, **k: cuts.append(a) or build(*a, **k))
+    retrieval.fusion_dense(spark, "/root/testdata/sf0.001")
+    assert len(cuts) == 1  # before: again for a table of all vectors, which was shuffled
